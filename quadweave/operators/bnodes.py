@@ -122,9 +122,13 @@ def inlined_blocks(
         .groupBy("s_kind", "s", "part")
         .agg(F.sort_array(F.collect_set(outer_entry)).alias("entries"))
     )
-    # A node above max_group may be cut into several blocks, which only a label can hold together.
-    anonymous = nodes.where((F.col("uses") == 0) & (F.col("size") <= max_group)).select(F.col("label").alias("_anon"))
-    groups = groups.join(anonymous, (F.col("s") == F.col("_anon")) & _is_bnode("s_kind"), "left")
+    # Without a label a node has to be one block, so its block must hold all of its statements.
+    anonymous = nodes.where(F.col("uses") == 0).select(F.col("label").alias("_anon"), "size")
+    groups = groups.join(
+        anonymous,
+        (F.col("s") == F.col("_anon")) & (F.size("entries") == F.col("size")) & _is_bnode("s_kind"),
+        "left",
+    )
     text = predicate_lists(F.col("entries"), "p", "o", next_predicate=" ;\n    ", next_object=", ")
     subject = F.when(F.col("_anon").isNotNull(), "[]").otherwise(rendering.subject_text(prefixes))
     return groups.select("s_kind", "s", F.concat(subject, F.lit("\n    "), text, F.lit(" .")).alias("block"))

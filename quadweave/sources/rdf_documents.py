@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ from quadweave.vocab import (
 
 Node = tuple[str, str]  # kind, value
 Statement = tuple  # in the order of STATEMENT_COLUMNS
+# Workers need no copy of this package on their path: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DOCUMENT_SCHEMA = "file string, " + ", ".join(f"{name} string" for name in STATEMENT_COLUMNS)
 BATCH = 10_000
 

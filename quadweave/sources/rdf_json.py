@@ -16,7 +16,7 @@ def _texts(spark: SparkSession, paths: list[str], whole: bool) -> DataFrame:
         spark.read.option("recursiveFileLookup", True)
         .text(paths, wholetext=whole)
         .select("value", F.col("_metadata.file_path").alias("file"))
-        .where(F.trim("value") != "")
+        .where(F.col("value").rlike(r"\S"))
     )
 
 

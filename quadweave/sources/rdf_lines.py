@@ -67,8 +67,8 @@ def _kind(term: Column) -> Column:
 
 def parse_lines(lines: DataFrame, *, graphs: bool = True) -> DataFrame:
     """Statements of a frame with ``value`` (a line) and ``file``. A malformed line is an error."""
-    text = F.trim("value")
-    frame = lines.where(~text.rlike(r"^\s*(?:#|$)")).select("file", "value", F.regexp_extract("value", HEAD, 0).alias("_head"))
+    frame = lines.where(~F.col("value").rlike(r"^\s*(?:#|$)"))
+    frame = frame.select("file", "value", F.regexp_extract("value", HEAD, 0).alias("_head"))
     frame = frame.withColumn("_rest", F.substring(F.col("value"), F.length("_head") + 1, F.lit(REST)))
     is_literal = F.startswith("_rest", F.lit('"'))
     masked = F.replace(F.replace(F.col("_rest"), F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))

@@ -70,7 +70,7 @@ def scan_trix(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     checked = records.where(
         F.when(
-            F.contains("value", F.lit("<graph")) | F.trim("value").rlike(r"^(?:<\?xml[^>]*>\s*)?(?:</?TriX[^>]*>\s*)*$"),
+            F.contains("value", F.lit("<graph")) | F.col("value").rlike(r"^\s*(?:<\?xml[^>]*>\s*)?(?:</?TriX[^>]*>\s*)*$"),
             True,
         ).otherwise(
             F.raise_error(F.concat(F.lit("Exception occurred while parsing "), F.col("file"))).cast("boolean")
