@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 STATEMENT_COLUMNS = ["s_kind", "s", "p", "o_kind", "o", "o_dt", "o_lang", "g"]
 STATEMENT_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in STATEMENT_COLUMNS])
 
 
-def statement_struct(**parts: Column) -> Column:
-    """A struct in statement order; parts that are left out are NULL."""
-    nothing = F.lit(None).cast("string")
-    return F.struct(*[parts.get(name, nothing).alias(name) for name in STATEMENT_COLUMNS])
+def sql_text(value: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def statement_sql(fields: Mapping[str, str]) -> str:
+    """SQL of a statement struct; fields that are left out are NULL."""
+    parts = [f"'{name}', {fields.get(name, 'CAST(NULL AS STRING)')}" for name in STATEMENT_COLUMNS]
+    return f"named_struct({', '.join(parts)})"
 
 
 def complete(frame: DataFrame) -> DataFrame:
     """Drop rows that lack a subject, predicate or object: no term, no statement."""
-    return frame.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+    return frame.where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
 
 def no_statements(spark: SparkSession) -> DataFrame:

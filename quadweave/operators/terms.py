@@ -144,12 +144,19 @@ def bnode_label(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Reference:
-    """A source column as term maps see it. ``dtype`` is the element type when it holds several values."""
+    """A source column as term maps see it. ``dtype`` is the element type when it holds several values.
 
-    column: Column
+    ``source`` is the column name, or the column itself where a single value has been picked.
+    """
+
+    source: str | Column
     dtype: T.DataType
     multi: bool = False
 
+    @property
+    def column(self) -> Column:
+        return F.col(f"`{self.source}`") if isinstance(self.source, str) else self.source
+
     def text(self) -> Column:
         return lexical(self.column, self.dtype)
 
@@ -168,7 +175,7 @@ def scope_of(schema: T.StructType) -> dict[str, Reference]:
     for field in schema.fields:
         multi = isinstance(field.dataType, T.ArrayType)
         dtype = field.dataType.elementType if multi else field.dataType
-        found[field.name] = Reference(F.col(f"`{field.name}`"), dtype, multi)
+        found[field.name] = Reference(field.name, dtype, multi)
     return found
 
 
@@ -247,13 +254,19 @@ def raw_value(term: TermMap, kind: str, scope: Mapping[str, Reference], context:
     return F.concat(*pieces) if len(pieces) > 1 else pieces[0].cast("string")
 
 
+def constant_text(term: TermMap, kind: str, context: TermContext) -> str:
+    if kind == IRI and not re.match(ABSOLUTE_IRI, term.value):
+        return context.base_iri + term.value
+    return term.value
+
+
 def finish_value(term: TermMap, kind: str, value: Column, context: TermContext) -> Column:
     if kind == BNODE:
         return bnode_label(value)
     if kind != IRI:
         return value
     if term.kind == "constant":
-        return F.lit(term.value if re.match(ABSOLUTE_IRI, term.value) else context.base_iri + term.value)
+        return F.lit(constant_text(term, kind, context))
     if term.kind == "template":
         absolute = _scheme_of_template(term.template_parts())
         if absolute is not None:

@@ -20,7 +20,6 @@ from quadweave.functions import FunctionRegistry, default_functions
 from quadweave.model import (
     BNODE,
     IRI,
-    LITERAL,
     Mapping,
     ParentObject,
     Source,
@@ -29,10 +28,10 @@ from quadweave.model import (
     expand_pairs,
 )
 from quadweave.operators import terms
-from quadweave.operators.schema import STATEMENT_COLUMNS, complete, no_statements, statement_struct
+from quadweave.operators.schema import complete, no_statements, sql_text, statement_sql
 from quadweave.plans import rewrite
 from quadweave.sources.logical import load_source
-from quadweave.vocab import DEFAULT_GRAPH
+from quadweave.vocab import DEFAULT_GRAPH, RDF_TYPE
 
 
 @dataclass
@@ -123,7 +122,7 @@ def _residual_filter(frame: DataFrame, mapping: Mapping) -> DataFrame:
     if predicates is not None:
         frame = frame.where(F.col("p").isin(sorted(predicates)))
     if classes is not None:
-        frame = frame.where((F.col("p") != F.lit(terms_type())) | F.col("o").isin(sorted(classes)))
+        frame = frame.where((F.col("p") != RDF_TYPE) | F.col("o").isin(sorted(classes)))
     if graphs is not None:
         named = sorted(graphs - {DEFAULT_GRAPH})
         condition = F.col("g").isin(named) if named else F.lit(False)
@@ -134,12 +133,6 @@ def _residual_filter(frame: DataFrame, mapping: Mapping) -> DataFrame:
     return frame
 
 
-def terms_type() -> str:
-    from quadweave.vocab import RDF_TYPE
-
-    return RDF_TYPE
-
-
 def _check_iris(frame: DataFrame, on_invalid: str) -> DataFrame:
     if on_invalid == "keep":
         return frame
@@ -157,13 +150,13 @@ def _check_iris(frame: DataFrame, on_invalid: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Part:
-    """A term inside the fan-out: a column (or an array column) plus what is known statically."""
+    """A term inside the fan-out, as SQL text: a projected column (maybe an array) or a constant."""
 
-    column: Column
+    sql: str
     multi: bool
     kind: str
     datatype: str | None = None
-    language: Column | None = None
+    language: str | None = None
 
 
 class _Projection:
@@ -175,22 +168,31 @@ class _Projection:
         self.columns: list[Column] = []
         self._names: dict = {}
 
-    def _keep(self, key, column: Column) -> Column:
+    def _keep(self, key, column: Column) -> str:
         if key not in self._names:
             self._names[key] = f"_t{len(self.columns)}"
             self.columns.append(column.alias(self._names[key]))
-        return F.col(self._names[key])
+        return self._names[key]
 
     def part(self, term: TermMap, position: str) -> _Part:
         kind = terms.term_kind(term, position)
-        value = terms.term_value(term, position, self.scope, self.context)
-        multi = terms.is_multi(term, self.scope, self.context)
-        if term.kind != "constant":
-            value = self._keep((term.kind, term.value, term.args, kind), value)
-        language = terms.term_language(term, self.scope, self.context)
-        if language is not None and term.language.kind != "constant":
-            language = self._keep(("language", term.language), language)
-        return _Part(value, multi, kind, terms.term_datatype(term, kind, self.scope, self.context), language)
+        if term.kind == "constant" and kind != BNODE:
+            sql = sql_text(terms.constant_text(term, kind, self.context))
+            multi = False
+        else:
+            multi = terms.is_multi(term, self.scope, self.context)
+            key = (term.kind, term.value, term.args, kind)
+            sql = self._names.get(key) or self._keep(
+                key, terms.term_value(term, position, self.scope, self.context)
+            )
+        language = None
+        if term.language is not None and term.language.kind == "constant":
+            language = sql_text(term.language.value.lower())
+        elif term.language is not None:
+            language = self._keep(
+                ("language", term.language), terms.term_language(term, self.scope, self.context)
+            )
+        return _Part(sql, multi, kind, terms.term_datatype(term, kind, self.scope, self.context), language)
 
 
 class Compiler:
@@ -218,7 +220,7 @@ class Compiler:
                     outputs.append(self._parent_join(item, predicate, obj, graphs))
         if not outputs:
             return no_statements(spark)
-        return reduce(DataFrame.unionByName, outputs)
+        return reduce(DataFrame.union, outputs)
 
     def _by_source(self) -> dict[Source, list[TriplesMap]]:
         grouped: dict[Source, list[TriplesMap]] = {}
@@ -258,8 +260,8 @@ class Compiler:
             return None
         frame = self._narrowed(items[0]) if len(items) == 1 else self.frames[source]
         projection = _Projection(terms.scope_of(frame.schema), self.context)
-        structs: list[Column] = []
-        arrays: list[Column] = []
+        structs: list[str] = []
+        arrays: list[str] = []
         for item, predicate, (obj, position), graphs in branches:
             parts = [
                 projection.part(item.subject, "subject"),
@@ -329,10 +331,10 @@ class Compiler:
         condition = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(joins))]
         joined = left.join(right, condition, how)
 
-        structs: list[Column] = []
-        arrays: list[Column] = []
+        structs: list[str] = []
+        arrays: list[str] = []
         for graph_part in graph_parts:
-            _add_statements([*parts, _Part(F.col("_o"), False, kind)], graph_part, structs, arrays)
+            _add_statements([*parts, _Part("_o", False, kind)], graph_part, structs, arrays)
         return _generate(joined, structs, arrays)
 
     def _same_row(self, source: Source, joins) -> bool:
@@ -355,8 +357,8 @@ class Compiler:
             projection.part(predicate, "predicate"),
             projection.part(other.subject, "subject"),
         ]
-        structs: list[Column] = []
-        arrays: list[Column] = []
+        structs: list[str] = []
+        arrays: list[str] = []
         for graph in _graph_choices(graphs):
             graph_part = None if graph is None else projection.part(graph, "graph")
             _add_statements(parts, graph_part, structs, arrays)
@@ -389,64 +391,45 @@ def _graph_choices(graphs: Sequence[TermMap]) -> list[TermMap | None]:
 
 
 def _add_statements(
-    parts: Sequence[_Part], graph: _Part | None, structs: list[Column], arrays: list[Column]
+    parts: Sequence[_Part], graph: _Part | None, structs: list[str], arrays: list[str]
 ) -> None:
     """Add one branch: a struct if all its terms are single, else an array over the cross product."""
     chosen = [*parts] if graph is None else [*parts, graph]
-
-    def build(values: list[Column]) -> Column:
-        subject, predicate, obj = parts
-        fields = {
-            "s_kind": F.lit(subject.kind),
-            "s": values[0],
-            "p": values[1],
-            "o_kind": F.lit(obj.kind),
-            "o": values[2],
-        }
-        if obj.datatype:
-            fields["o_dt"] = F.lit(obj.datatype)
-        if obj.language is not None:
-            fields["o_lang"] = obj.language
-        if graph is not None:
-            fields["g"] = values[3]
-            if graph.kind == IRI:
-                fields["g"] = F.nullif(values[3], F.lit(DEFAULT_GRAPH))
-        return statement_struct(**fields)
-
-    def unfold(index: int, values: list[Column]) -> tuple[Column, int]:
-        """The statement (or nested arrays of statements) and the nesting depth."""
-        if index == len(chosen):
-            return build(values), 0
-        part = chosen[index]
-        if not part.multi:
-            return unfold(index + 1, [*values, part.column])
-        depth = 0
-
-        def inner(value: Column) -> Column:
-            nonlocal depth
-            column, depth = unfold(index + 1, [*values, value])
-            return column
-
-        column = F.transform(part.column, inner)
-        return (F.flatten(column) if depth else column), 1
-
-    column, depth = unfold(0, [])
+    values = [part.sql if not part.multi else f"x{i}" for i, part in enumerate(chosen)]
+    subject, _, obj = parts
+    fields = {
+        "s_kind": sql_text(subject.kind),
+        "s": values[0],
+        "p": values[1],
+        "o_kind": sql_text(obj.kind),
+        "o": values[2],
+    }
+    if obj.datatype:
+        fields["o_dt"] = sql_text(obj.datatype)
+    if obj.language is not None:
+        fields["o_lang"] = obj.language
+    if graph is not None:
+        fields["g"] = f"nullif({values[3]}, {sql_text(DEFAULT_GRAPH)})" if graph.kind == IRI else values[3]
+    sql = statement_sql(fields)
+    depth = 0
+    for i, part in reversed(list(enumerate(chosen))):
+        if part.multi:
+            sql = f"transform({part.sql}, x{i} -> {sql})"
+            sql = f"flatten({sql})" if depth else sql
+            depth += 1
     if depth:
-        arrays.append(F.coalesce(column, F.array().cast(_STATEMENT_ARRAY)))
+        arrays.append(f"coalesce({sql}, array())")
     else:
-        structs.append(column)
-
-
-_STATEMENT_ARRAY = "array<struct<" + ",".join(f"{name}:string" for name in STATEMENT_COLUMNS) + ">>"
+        structs.append(sql)
 
 
-def _generate(frame: DataFrame, structs: list[Column], arrays: list[Column]) -> DataFrame:
+def _generate(frame: DataFrame, structs: list[str], arrays: list[str]) -> DataFrame:
     """Turn the branches of a row into rows. A single plain branch needs no generator at all."""
     if len(structs) == 1 and not arrays:
-        return complete(frame.select(structs[0].alias("_st")).select("_st.*"))
-    groups = ([F.array(*structs)] if structs else []) + arrays
-    statements = groups[0] if len(groups) == 1 else F.concat(*groups)
-    return complete(frame.select(F.inline(statements)))
+        return complete(frame.selectExpr(f"{structs[0]} AS _st").selectExpr("_st.*"))
+    groups = ([f"array({', '.join(structs)})"] if structs else []) + arrays
+    statements = groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
+    return complete(frame.selectExpr(f"inline({statements})"))
 
 
 def _explode_keys(frame: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -60,6 +60,8 @@ def _bound(frame: DataFrame, source: Source, references: Sequence[str]) -> DataF
 def _pick(frame: DataFrame, references: Sequence[str]) -> DataFrame:
     """One column per reference: a column of that name, else a dotted path into nested columns."""
     known = set(frame.columns)
+    if set(references) <= known:
+        return frame  # unused columns never leave the scan anyway
     columns = []
     for name in references:
         column = F.col(f"`{name}`") if name in known else F.col(name)
