@@ -195,12 +195,14 @@ FRAMES = {
 
 def _framed(text: DataFrame, opening: str, closing: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def line(value: str) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([value], pa.string())], ["value"])
-
-        yield line(opening)
-        yield from batches
-        yield line(closing)
+        def rows(values: pa.Array) -> pa.RecordBatch:
+            # All batches of a stream need one schema, whatever the input says about NULLs.
+            return pa.RecordBatch.from_arrays([values.cast(pa.string())], ["value"])
+
+        yield rows(pa.array([opening]))
+        for batch in batches:
+            yield rows(batch.column(0))
+        yield rows(pa.array([closing]))
 
     return text.mapInArrow(run, "value string")
 

@@ -23,8 +23,8 @@ TEXT = "_VALUE"
 def parse_reference(path: str) -> tuple[list[str], str | None]:
     """Element steps and the final attribute or text field, if the path ends in one."""
     steps = [step for step in path.strip().split("/") if step not in ("", ".")]
-    if path.strip().startswith("/"):
-        raise SourceError(f"unsupported XPath reference '{path}': it has to be relative to the iterator")
+    if path.strip().startswith("/") or "//" in path:
+        raise SourceError(f"unsupported XPath reference '{path}': it has to be child steps from the iterator")
     last = None
     if steps and steps[-1] == "text()":
         last, steps = TEXT, steps[:-1]
@@ -42,6 +42,8 @@ def parse_reference(path: str) -> tuple[list[str], str | None]:
 def parse_iterator(path: str | None) -> tuple[list[str], bool]:
     """Element names of the iterator and whether it matches at any depth."""
     anywhere = bool(path) and path.startswith("//")
+    if path and "//" in path[1:]:
+        raise SourceError(f"unsupported XPath iterator '{path}': // may only come first")
     steps = [step for step in (path or "").split("/") if step]
     if not steps or not path.startswith("/") or any(not _NAME.match(s) or s.startswith("@") for s in steps):
         raise SourceError(f"unsupported XPath iterator '{path}': use /root/element or //element")
