@@ -13,7 +13,7 @@ from quadweave.vocab import XSD_STRING
 GRAPH_NAME = r"<graph[^>]*>\s*<(uri|id)>([^<]*)</"
 TRIPLE = (
     r"^\s*<(uri|id)>([^<]*)</(?:uri|id)>\s*<uri>([^<]*)</uri>\s*"
-    r"<(uri|id|plainLiteral|typedLiteral)([^>/]*)(?:/>|>([^<]*)</(?:uri|id|plainLiteral|typedLiteral)>)\s*$"
+    r"<(uri|id|plainLiteral|typedLiteral)((?:\s+[\w:]+=\"[^\"]*\")*)\s*(?:/>|>([^<]*)</(?:uri|id|plainLiteral|typedLiteral)>)\s*$"
 )
 
 
