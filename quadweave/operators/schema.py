@@ -16,6 +16,11 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def statement_columns(fields: Mapping[str, str]) -> list[str]:
+    """SQL of the statement columns; fields that are left out are NULL."""
+    return [f"{fields.get(name, 'CAST(NULL AS STRING)')} AS {name}" for name in STATEMENT_COLUMNS]
+
+
 def statement_sql(fields: Mapping[str, str]) -> str:
     """SQL of a statement struct; fields that are left out are NULL."""
     parts = [f"'{name}', {fields.get(name, 'CAST(NULL AS STRING)')}" for name in STATEMENT_COLUMNS]

@@ -28,7 +28,7 @@ from quadweave.model import (
     expand_pairs,
 )
 from quadweave.operators import terms
-from quadweave.operators.schema import complete, no_statements, sql_text, statement_sql
+from quadweave.operators.schema import complete, no_statements, sql_text, statement_columns, statement_sql
 from quadweave.plans import rewrite
 from quadweave.sources.logical import load_source
 from quadweave.vocab import DEFAULT_GRAPH, RDF_TYPE
@@ -260,7 +260,7 @@ class Compiler:
             return None
         frame = self._narrowed(items[0]) if len(items) == 1 else self.frames[source]
         projection = _Projection(terms.scope_of(frame.schema), self.context)
-        structs: list[str] = []
+        structs: list[dict[str, str]] = []
         arrays: list[str] = []
         for item, predicate, (obj, position), graphs in branches:
             parts = [
@@ -271,7 +271,14 @@ class Compiler:
             for graph in _graph_choices(graphs):
                 graph_part = None if graph is None else projection.part(graph, "graph")
                 _add_statements(parts, graph_part, structs, arrays)
-        return _generate(frame.select(*projection.columns), structs, arrays)
+        # What every statement needs is tested on the source columns, where the scan can see it.
+        always = [items[0].subject] if len(items) == 1 else []
+        single = len(structs) == 1 and not arrays
+        if single:
+            item, predicate, (obj, _), _ = branches[0]
+            always = [item.subject, predicate, obj]
+        frame, known = _with_references(frame, always, projection.scope)
+        return _generate(frame.select(*projection.columns), structs, arrays, known and single)
 
     def _object_term(self, item: TriplesMap, obj) -> tuple[TermMap, str]:
         """A plain object, or the parent's subject evaluated on the same row."""
@@ -289,53 +296,70 @@ class Compiler:
     def _parent_join(
         self, item: TriplesMap, predicate: TermMap, obj: ParentObject, graphs: Sequence[TermMap]
     ) -> DataFrame:
+        """Join on the keys and make terms afterwards, so that only source columns are shuffled."""
         other = self.mapping.find(obj.parent)
         joins = obj.joins
         if item.source == other.source and self._same_row(item.source, joins):
             return self._parent_same_row(item, predicate, other, graphs)
-        child = self._narrowed(item)
-        parent = self.frames[other.source]
-        child = _explode_keys(child, [join.child for join in joins])
-        parent = _explode_keys(parent, [join.parent for join in joins])
+        child, parent = self._narrowed(item), self.frames[other.source]
         child_scope = terms.scope_of(child.schema)
         parent_scope = terms.scope_of(parent.schema)
         child_keys, parent_keys = _comparable_keys(joins, child_scope, parent_scope)
-
-        projection = _Projection(child_scope, self.context)
-        parts = [projection.part(item.subject, "subject"), projection.part(predicate, "predicate")]
-        graph_parts = [
-            None if graph is None else projection.part(graph, "graph") for graph in _graph_choices(graphs)
-        ]
-        kind = terms.term_kind(other.subject, "subject")
-        key_columns = [key.alias(f"_k{i}") for i, key in enumerate(child_keys)]
+        graph_terms = _graph_choices(graphs)
+        child_terms = [item.subject, predicate, *[g for g in graph_terms if g is not None]]
+        child, child_known = _with_references(child, [item.subject, predicate], child_scope)
 
         by_key = {join.parent: join.child for join in joins}
-        if self._subject_is_function_of_keys(other.subject, by_key, child_scope, parent_scope):
+        only_exists = self._subject_is_function_of_keys(other.subject, by_key, child_scope, parent_scope)
+        needed = [name for term in child_terms for name in term.all_references()]
+        if only_exists:
+            needed += [by_key[name] for name in other.subject.references()]
+        left, left_scope = _carried(child, needed, child_keys, child_scope, "_c", "_k")
+
+        object_terms = (other.subject, "subject")
+        if only_exists:
             # The parent's subject can be made from the child's key, so the parent only has to exist:
-            # a semi join moves keys alone and needs no duplicate removal.
-            scope = {name: child_scope[by_key[name]] for name in other.subject.references()}
-            value = terms.term_value(other.subject, "subject", scope, self.context)
-            left = child.select(*projection.columns, *key_columns, value.alias("_o"))
-            right = parent.select(*[key.alias(f"_r{i}") for i, key in enumerate(parent_keys)])
+            # a semi join needs no columns but the keys, and no duplicate removal.
+            right, _ = _carried(parent, [], parent_keys, parent_scope, "_p", "_r")
             how = "left_semi"
+            object_scope = {name: left_scope[by_key[name]] for name in other.subject.references()}
+            object_known = True
         else:
-            left = child.select(*projection.columns, *key_columns)
-            value = terms.term_value(other.subject, "subject", parent_scope, self.context)
-            if terms.is_multi(other.subject, parent_scope, self.context):
-                value = F.explode(value)
-            right = parent.select(*[key.alias(f"_r{i}") for i, key in enumerate(parent_keys)], value.alias("_o"))
-            right = right.where(F.col("_o").isNotNull())
+            parent, object_known = _with_references(parent, [other.subject], parent_scope)
+            right, object_scope = _carried(
+                parent, other.subject.references(), parent_keys, parent_scope, "_p", "_r"
+            )
+            how = "inner"
             if not self._parent_is_unique(other, joins):
+                if not rewrite.is_injective(other.subject):
+                    # Different rows may make one subject, so copies only show in the subject itself.
+                    value = terms.term_value(other.subject, "subject", object_scope, self.context)
+                    if terms.is_multi(other.subject, object_scope, self.context):
+                        value = F.explode(value)
+                    keys = [f"_r{i}" for i in range(len(joins))]
+                    right = right.select(*keys, value.alias("_o")).where("_o IS NOT NULL")
+                    object_terms = None
                 right = right.dropDuplicates()
-            how = "inner"
         condition = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(joins))]
         joined = left.join(right, condition, how)
 
-        structs: list[str] = []
+        projection = _Projection(left_scope, self.context)
+        parts = [projection.part(item.subject, "subject"), projection.part(predicate, "predicate")]
+        graph_parts = [None if graph is None else projection.part(graph, "graph") for graph in graph_terms]
+        kind = terms.term_kind(other.subject, "subject")
+        columns = list(projection.columns)
+        multi = False
+        if object_terms is None:
+            columns.append(F.col("_o"))
+        else:
+            multi = terms.is_multi(other.subject, object_scope, self.context)
+            columns.append(terms.term_value(*object_terms, object_scope, self.context).alias("_o"))
+        structs: list[dict[str, str]] = []
         arrays: list[str] = []
         for graph_part in graph_parts:
-            _add_statements([*parts, _Part("_o", False, kind)], graph_part, structs, arrays)
-        return _generate(joined, structs, arrays)
+            _add_statements([*parts, _Part("_o", multi, kind)], graph_part, structs, arrays)
+        known = child_known and object_known and not arrays
+        return _generate(joined.select(*columns), structs, arrays, known)
 
     def _same_row(self, source: Source, joins) -> bool:
         """A self join on a declared key only ever finds the row itself."""
@@ -357,12 +381,13 @@ class Compiler:
             projection.part(predicate, "predicate"),
             projection.part(other.subject, "subject"),
         ]
-        structs: list[str] = []
+        structs: list[dict[str, str]] = []
         arrays: list[str] = []
         for graph in _graph_choices(graphs):
             graph_part = None if graph is None else projection.part(graph, "graph")
             _add_statements(parts, graph_part, structs, arrays)
-        return _generate(frame.select(*projection.columns), structs, arrays)
+        frame, known = _with_references(frame, [item.subject, predicate, other.subject], projection.scope)
+        return _generate(frame.select(*projection.columns), structs, arrays, known and not arrays)
 
     def _subject_is_function_of_keys(self, subject: TermMap, by_key, child_scope, parent_scope) -> bool:
         if subject.kind not in ("template", "reference"):
@@ -391,9 +416,9 @@ def _graph_choices(graphs: Sequence[TermMap]) -> list[TermMap | None]:
 
 
 def _add_statements(
-    parts: Sequence[_Part], graph: _Part | None, structs: list[str], arrays: list[str]
+    parts: Sequence[_Part], graph: _Part | None, structs: list[dict[str, str]], arrays: list[str]
 ) -> None:
-    """Add one branch: a struct if all its terms are single, else an array over the cross product."""
+    """Add one branch: its fields if all its terms are single, else an array over the cross product."""
     chosen = [*parts] if graph is None else [*parts, graph]
     values = [part.sql if not part.multi else f"x{i}" for i, part in enumerate(chosen)]
     subject, _, obj = parts
@@ -410,6 +435,9 @@ def _add_statements(
         fields["o_lang"] = obj.language
     if graph is not None:
         fields["g"] = f"nullif({values[3]}, {sql_text(DEFAULT_GRAPH)})" if graph.kind == IRI else values[3]
+    if not any(part.multi for part in chosen):
+        structs.append(fields)
+        return
     sql = statement_sql(fields)
     depth = 0
     for i, part in reversed(list(enumerate(chosen))):
@@ -417,39 +445,89 @@ def _add_statements(
             sql = f"transform({part.sql}, x{i} -> {sql})"
             sql = f"flatten({sql})" if depth else sql
             depth += 1
-    if depth:
-        arrays.append(f"coalesce({sql}, array())")
-    else:
-        structs.append(sql)
-
+    arrays.append(f"coalesce({sql}, array())")
 
-def _generate(frame: DataFrame, structs: list[str], arrays: list[str]) -> DataFrame:
-    """Turn the branches of a row into rows. A single plain branch needs no generator at all."""
-    if len(structs) == 1 and not arrays:
-        return complete(frame.selectExpr(f"{structs[0]} AS _st").selectExpr("_st.*"))
-    groups = ([f"array({', '.join(structs)})"] if structs else []) + arrays
-    statements = groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
-    return complete(frame.selectExpr(f"inline({statements})"))
 
+def _generate(frame: DataFrame, structs: list[dict[str, str]], arrays: list[str], known: bool) -> DataFrame:
+    """Turn the branches of a row into rows. A single plain branch needs no generator at all.
 
-def _explode_keys(frame: DataFrame, names: Sequence[str]) -> DataFrame:
-    """A multi-valued join key joins through each of its values."""
-    for name in dict.fromkeys(names):
-        if isinstance(frame.schema[name].dataType, T.ArrayType):
-            frame = frame.withColumn(name, F.explode(F.array_distinct(F.col(f"`{name}`"))))
-    return frame
-
-
-def _comparable_keys(joins, child_scope, parent_scope) -> tuple[list[Column], list[Column]]:
-    """Key columns of equal type. Equal types compare natively, so scans still see the filter."""
-    child_keys, parent_keys = [], []
+    ``known`` says that no statement can lack a term, so that nothing has to be dropped.
+    """
+    if len(structs) == 1 and not arrays:
+        result = frame.selectExpr(*statement_columns(structs[0]))
+    else:
+        groups = ([f"array({', '.join(map(statement_sql, structs))})"] if structs else []) + arrays
+        statements = groups[0] if len(groups) == 1 else f"concat({', '.join(groups)})"
+        result = frame.selectExpr(f"inline({statements})")
+    return result if known else complete(result)
+
+
+def _with_references(
+    frame: DataFrame, needed: Sequence[TermMap], scope: MappingType[str, terms.Reference]
+) -> tuple[DataFrame, bool]:
+    """Keep rows that have every reference of the terms; whether that rules out missing terms.
+
+    A constant, reference or template is missing exactly when one of its references is. A function
+    may give NULL for any arguments, and an array may be empty.
+    """
+    names: dict[str, None] = {}
+    known = True
+    for term in needed:
+        if term.kind == "function":
+            known = False
+            continue
+        for name in term.references():
+            known = known and not terms.look_up(scope, name).multi
+            names[name] = None
+    if names:
+        frame = frame.where(" AND ".join(f"`{name}` IS NOT NULL" for name in names))
+    return frame, known
+
+
+def _carried(
+    frame: DataFrame,
+    names: Sequence[str],
+    keys: Sequence[Column | str],
+    scope: MappingType[str, terms.Reference],
+    column_prefix: str,
+    key_prefix: str,
+) -> tuple[DataFrame, dict[str, terms.Reference]]:
+    """One side of a join: its keys and the columns terms will need, under names of their own.
+
+    A key may be the name of a multi-valued reference: then each of its values is a key.
+    """
+    names = list(dict.fromkeys(names))
+    columns = [F.col(f"`{name}`").alias(f"{column_prefix}{i}") for i, name in enumerate(names)]
+    plain = [key.alias(f"{key_prefix}{i}") for i, key in enumerate(keys) if isinstance(key, Column)]
+    multi = {i: key for i, key in enumerate(keys) if isinstance(key, str)}
+    raw = [F.col(f"`{key}`").alias(f"{key_prefix}{i}") for i, key in multi.items()]
+    result = frame.select(*columns, *plain, *raw)
+    for i, key in multi.items():
+        dtype = terms.look_up(scope, key).dtype
+        result = result.withColumn(f"{key_prefix}{i}", F.explode(F.array_distinct(F.col(f"{key_prefix}{i}"))))
+        result = result.withColumn(f"{key_prefix}{i}", terms.lexical(F.col(f"{key_prefix}{i}"), dtype))
+    carried = {}
+    for i, name in enumerate(names):
+        reference = terms.look_up(scope, name)
+        carried[name] = terms.Reference(f"{column_prefix}{i}", reference.dtype, reference.multi)
+    return result, carried
+
+
+def _comparable_keys(joins, child_scope, parent_scope) -> tuple[list[Column | str], list[Column | str]]:
+    """Key columns of equal type. Equal types compare natively, so scans still see the filter.
+
+    A multi-valued key is given by its name; its values compare as text, like the other side then.
+    """
+    child_keys: list[Column | str] = []
+    parent_keys: list[Column | str] = []
     for join in joins:
         mine = terms.look_up(child_scope, join.child)
         theirs = terms.look_up(parent_scope, join.parent)
         integral = isinstance(mine.dtype, T.IntegralType) and isinstance(theirs.dtype, T.IntegralType)
         native = integral or (mine.dtype == theirs.dtype and isinstance(mine.dtype, (T.StringType, T.DateType)))
-        child_keys.append(mine.column if native else mine.text())
-        parent_keys.append(theirs.column if native else theirs.text())
+        native = native and not mine.multi and not theirs.multi
+        child_keys.append(join.child if mine.multi else mine.column if native else mine.text())
+        parent_keys.append(join.parent if theirs.multi else theirs.column if native else theirs.text())
     return child_keys, parent_keys
 
 

@@ -32,6 +32,12 @@ def list_files(spark: SparkSession, location: str) -> list[str]:
         raise SourceError(f"Exception occurred while reading path {location}") from error
 
 
+def require_path(spark: SparkSession, location: str) -> None:
+    path, file_system = _path(spark, location)
+    if not file_system.exists(path):
+        raise SourceError(f"Exception occurred while reading path {location}")
+
+
 def output_location(spark: SparkSession, location: str) -> str:
     """Where to write: a directory that is no earlier output gets a child named ``output``."""
     path, file_system = _path(spark, location)

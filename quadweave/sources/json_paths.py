@@ -138,8 +138,9 @@ def expand_json(frame: DataFrame, column: str, iterator: str, references: Sequen
         document = F.col(f"`{column}`")
     else:
         document = F.from_json(_keep_number_text(F.col(f"`{column}`")), dtype)
-    rows = _iterate(frame.select(*kept, document.alias("_json")), "_json", steps)
-    return _references(rows, "_json", outer, paths, references)
+    # The generator keeps filters on parsed values above it; below, they would parse once more each.
+    rows = frame.select(*kept, F.explode(F.array(document)).alias("_json"))
+    return _references(_iterate(rows, "_json", steps), "_json", outer, paths, references)
 
 
 def _references(rows: DataFrame, value: str, outer, paths, references) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadweave.errors import FormatError
 from quadweave.operators.schema import STATEMENT_COLUMNS, no_statements
 from quadweave.sources import rdf_documents, rdf_json, rdf_lines, rdf_xml
-from quadweave.sources.files import list_files
+from quadweave.sources.files import list_files, require_path
 
 # Format names and the file extensions that mean them.
 EXTENSIONS = {
@@ -65,7 +65,7 @@ def read_rdf(
     by_format: dict[str, list[str]] = {}
     for location in given:
         if fmt is not None:
-            list_files(spark, location)
+            require_path(spark, location)
             by_format.setdefault(fmt, []).append(location)
             continue
         for path in list_files(spark, location):

@@ -136,5 +136,5 @@ def expand_xml(frame: DataFrame, column: str, iterator: str | None, references:
     if anywhere:
         raise SourceError("an iterator over a column of documents has to start at the root element")
     schema = _nested(_element_for(references).dtype(), steps[1:])
-    frame = frame.select(F.from_xml(F.col(f"`{column}`"), schema).alias("_xml"))
+    frame = frame.select(F.explode(F.array(F.from_xml(F.col(f"`{column}`"), schema))).alias("_xml"))
     return _references(_iterate(frame, "_xml", steps[1:]), "_xml", references)
