@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quadweave.errors import FormatError
 from quadweave.operators.schema import STATEMENT_COLUMNS, no_statements
-from quadweave.sources import rdf_documents, rdf_json, rdf_lines, rdf_xml
-from quadweave.sources.files import list_files, require_path
+from quadweave.sources import rdf_documents, rdf_json, rdf_lines, rdf_xml, turtle_split
+from quadweave.sources.files import large_files, list_files, require_path
 
 # Format names and the file extensions that mean them.
 EXTENSIONS = {
@@ -37,11 +37,23 @@ SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
     "trix": rdf_xml.scan_trix,
     **{
         name: (lambda spark, paths, name=name: rdf_documents.scan_documents(spark, paths, name))
-        for name in ("ttl", "ttls", "trig", "trigs", "n3", "rdf", "jsonld")
+        for name in ("trig", "trigs", "rdf", "jsonld")
     },
+    **dict.fromkeys(("ttl", "ttls", "n3"), lambda spark, paths: scan_turtle(spark, paths)),
 }
 
 
+def scan_turtle(spark: SparkSession, paths: list[str], split_bytes: int = turtle_split.SPLIT_BYTES) -> DataFrame:
+    """Small files are one task's row each; large ones are cut at statement ends where that is safe."""
+    large = large_files(spark, paths, split_bytes)
+    if not large:
+        return rdf_documents.scan_documents(spark, paths, "ttl")
+    cut = turtle_split.scan_large_turtle(spark, large)
+    wanted = set(large)
+    small = [f for p in paths for f in list_files(spark, p) if f not in wanted and _is_visible(f)]
+    return cut.unionByName(rdf_documents.scan_documents(spark, small, "ttl")) if small else cut
+
+
 def format_by_extension(path: str) -> str:
     extension = path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
     for name, extensions in EXTENSIONS.items():

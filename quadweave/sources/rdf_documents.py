@@ -71,6 +71,17 @@ def parse_documents(documents: DataFrame, fmt: str) -> DataFrame:
     return documents.select("file", "value").mapInPandas(run, DOCUMENT_SCHEMA)
 
 
+def parse_piece(text: str, file: str, place: int, prefixes: dict[str, str]) -> list[tuple]:
+    """Statements of a piece of a Turtle file, cut at a full stop that ended a line."""
+    text = text.rstrip()
+    try:
+        reader = _TurtleReader(text if text.endswith(".") else text + " .", file, f"{place}.")
+        reader.prefixes = {name[:-1]: reader.resolve(iri) for name, iri in prefixes.items()}
+        return [(file, *statement) for statement in reader.statements()]
+    except ValueError as error:
+        raise ValueError(f"Exception occurred while parsing {file}: {error}") from error
+
+
 def _row(subject: Node, predicate: str, obj: tuple, graph: str | None) -> Statement:
     kind, value, datatype, language = (*obj, None, None)[:4]
     if language:
@@ -110,8 +121,8 @@ def _unescape(text: str) -> str:
 class _TurtleReader:
     """Recursive reader over one document; ``emit`` collects what the current statement produced."""
 
-    def __init__(self, text: str, base: str) -> None:
-        self.text, self.position, self.base = text, 0, base
+    def __init__(self, text: str, base: str, place: str = "") -> None:
+        self.text, self.position, self.base, self.place = text, 0, base, place
         self.prefixes: dict[str, str] = {}
         self.graph: str | None = None
         self.counter = 0
@@ -149,7 +160,7 @@ class _TurtleReader:
 
     def fresh(self) -> Node:
         self.counter += 1
-        return "bnode", f"[{self.counter}]"
+        return "bnode", f"[{self.place}{self.counter}]"
 
     def statements(self) -> Iterator[Statement]:
         while self.kind is not None:

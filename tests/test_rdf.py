@@ -439,3 +439,47 @@ def test_relabel_numbers_are_dense(spark):
 
 def test_render_without_a_path_gives_a_frame(spark):
     assert render_rdf(generated(spark, "x", 2), "nt").columns == ["value"]
+
+
+# --- large Turtle files ------------------------------------------------------------------------
+
+TURTLE = {
+    "plain": '@prefix ex: <http://ex/> .\n@prefix e2: <http://e2/> .\n'
+    + "".join(
+        f'ex:s{i} a ex:T ;\n  e2:p "x. y\\n {i}", {i}.5, [ ex:q ex:o{i} ], (1 2) .\n[] ex:same "a" .\n_:b ex:p {i}.\n'
+        for i in range(300)
+    ),
+    "long": '@prefix ex: <http://ex/> .\n' + "".join(f'ex:s{i} ex:p """line .\nnext .\n""" .\n' for i in range(300)),
+    "comment": '@prefix ex: <http://ex/> .\n' + "".join(f"# note {i}.\nex:s{i} ex:p ex:o .\n" for i in range(300)),
+    "based": '@prefix ex: <http://ex/> .\n@base <http://b/> .\n' + "".join(f"<s{i}> ex:p <o> .\n" for i in range(300)),
+    "redefined": "".join(f"@prefix ex: <http://ex{i}/> .\nex:s ex:p ex:o .\n" for i in range(300)),
+    "sparql": "PREFIX ex: <http://ex/>\n" + "".join(f"ex:s{i} ex:p ex:o .\n" for i in range(300)) + "ex:a ex:b ex:c.",
+}
+
+
+def test_large_turtle_files_are_cut_where_that_is_safe(spark, tmp_path):
+    from quadweave.sources import turtle_split
+    from quadweave.sources.rdf import scan_turtle, scope_bnodes
+
+    for name, text in TURTLE.items():
+        (tmp_path / f"{name}.ttl").write_text(text)
+    (tmp_path / "small.ttl").write_text("<http://ex/a> <http://ex/b> <http://ex/c> .")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        files = turtle_split._describe(
+            spark.read.text(str(tmp_path), lineSep=".\n").select("value", F.col("_metadata.file_path").alias("file"))
+        )
+        assert {r.file.rsplit("/", 1)[1] for r in files.where("splits").collect()} == {"plain.ttl", "small.ttl"}
+        cut = scope_bnodes(scan_turtle(spark, [str(tmp_path)], split_bytes=1000))
+        whole = scope_bnodes(scan_turtle(spark, [str(tmp_path)]))
+        named = (F.col("s_kind") == "iri") & (F.col("o_kind") != "bnode")
+        assert cut.count() == whole.count() > 300 * 6
+        assert cut.where(named).exceptAll(whole.where(named)).count() == 0
+        for kind, name in (("s_kind", "s"), ("o_kind", "o")):
+            nodes = [f.where(F.col(kind) == "bnode").select(name).distinct().count() for f in (cut, whole)]
+            assert nodes[0] == nodes[1]
+        assert sorted(
+            r.n for r in cut.where("s_kind = 'bnode'").groupBy("s").agg(F.count("*").alias("n")).collect()
+        ) == sorted(r.n for r in whole.where("s_kind = 'bnode'").groupBy("s").agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
