@@ -1,5 +1,6 @@
 """quadweave: declarative mappings from tables, files and streams to RDF statements, as Spark jobs."""
 
+from quadweave.job import map_to_rdf
 from quadweave.model import (
     Join,
     Mapping,
@@ -34,6 +35,7 @@ __all__ = [
     "csv_source",
     "json_source",
     "literal",
+    "map_to_rdf",
     "parent",
     "ref",
     "table",

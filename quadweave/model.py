@@ -151,6 +151,8 @@ def json_source(
     unique: Iterable[str | Sequence[str]] = (),
     **options: object,
 ) -> Source:
+    if isinstance(options.get("types"), dict):
+        options["types"] = tuple(sorted(options["types"].items()))
     return Source(name, "json", iterator, column, tuple(sorted(options.items())), _keys(unique))
 
 

@@ -7,7 +7,7 @@ driver, before a job starts.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +124,13 @@ def _keep_number_text(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9]\.[0-9]|[0-9][eE]|[0-9]{19}"), quoted).otherwise(text)
 
 
-def expand_json(frame: DataFrame, column: str, iterator: str, references: Sequence[str]) -> DataFrame:
+def expand_json(
+    frame: DataFrame,
+    column: str,
+    iterator: str,
+    references: Sequence[str],
+    types: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Iterate a column of JSON text; other columns of the frame stay available as references."""
     known = set(frame.columns)
     paths = {name: parse_json_path(name) for name in references if name not in known}
@@ -140,13 +146,19 @@ def expand_json(frame: DataFrame, column: str, iterator: str, references: Sequen
         document = F.from_json(_keep_number_text(F.col(f"`{column}`")), dtype)
     # The generator keeps filters on parsed values above it; below, they would parse once more each.
     rows = frame.select(*kept, F.explode(F.array(document)).alias("_json"))
-    return _references(_iterate(rows, "_json", steps), "_json", outer, paths, references)
+    return _references(_iterate(rows, "_json", steps), "_json", outer, paths, references, types)
 
 
-def _references(rows: DataFrame, value: str, outer, paths, references) -> DataFrame:
+def _references(rows: DataFrame, value: str, outer, paths, references, types) -> DataFrame:
+    """One column per reference; the text of a value is cast where ``types`` wants another type."""
     columns = []
     for name in references:
-        column = F.col(f"`{name}`") if name in outer else _walk(F.col(value), paths[name])[0]
+        if name in outer:
+            column = F.col(f"`{name}`")
+        else:
+            column, multi = _walk(F.col(value), paths[name])
+            if types and name in types:
+                column = column.cast(f"array<{types[name]}>" if multi else types[name])
         columns.append(column.alias(name))
     return rows.select(*columns)
 
@@ -154,21 +166,26 @@ def _references(rows: DataFrame, value: str, outer, paths, references) -> DataFr
 def read_json(
     spark: SparkSession, path: str, iterator: str, references: Sequence[str], options: dict[str, object]
 ) -> DataFrame:
-    """JSON files, one document each; ``lines=True`` reads one document per line and splits files."""
+    """JSON files, one document each; ``lines=True`` reads one document per line and splits files.
+
+    Values are text unless ``types`` gives a reference a Spark SQL type, which then also decides the
+    natural datatype of its literals.
+    """
     lines = bool(options.pop("lines", False))
+    types = dict(options.pop("types", ()))
     steps = parse_json_path(iterator)
     paths = {name: parse_json_path(name) for name in references}
     dtype = _document_type(steps, paths or {"$": []})
     if isinstance(dtype, T.StringType) or (steps and steps[0] is not None and not isinstance(dtype, T.StructType)):
         frame = spark.read.text(path, wholetext=not lines)
-        return expand_json(frame, "value", iterator, references)
+        return expand_json(frame, "value", iterator, references, types)
     if isinstance(dtype, T.ArrayType):
         # Spark's reader streams the elements of a top-level array as rows by itself.
         dtype, steps = dtype.elementType, steps[1:]
         if not isinstance(dtype, T.StructType):
             frame = spark.read.text(path, wholetext=not lines)
-            return expand_json(frame, "value", iterator, references)
+            return expand_json(frame, "value", iterator, references, types)
     reader = spark.read.schema(dtype).options(multiLine=not lines, primitivesAsString=True, **options)
     frame = reader.json(path)
     frame = frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("_json"))
-    return _references(_iterate(frame, "_json", steps), "_json", [], paths, references)
+    return _references(_iterate(frame, "_json", steps), "_json", [], paths, references, types)

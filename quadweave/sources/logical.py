@@ -49,7 +49,8 @@ def _bound(frame: DataFrame, source: Source, references: Sequence[str]) -> DataF
         column = source.column or "value"
         if column not in known:
             raise SourceError(f"the bound input has no column '{column}' with JSON text")
-        return json_paths.expand_json(frame, column, source.iterator or "$", references)
+        types = dict(dict(source.options).get("types", ()))
+        return json_paths.expand_json(frame, column, source.iterator or "$", references, types)
     if source.formulation == "xml" and not set(references) <= known:
         if "value" not in known:
             raise SourceError("the bound input has no column 'value' with XML text")

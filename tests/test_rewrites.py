@@ -178,3 +178,50 @@ def test_two_predicates_and_two_graphs_on_a_join(spark, people):
     frame = Mapping.of(child, triples_map("b", PEOPLE, template("n/{name}"))).run(spark, {"people": people})
     got = {(r.p, r.g): r["count"] for r in frame.groupBy("p", "g").count().collect()}
     assert got == {key: 1000 for key in itertools.product([V + "a", V + "b"], [V + "g", V + "h"])}
+
+
+def test_hot_join_keys_are_split(spark, tmp_path):
+    """A third of the child rows share one key: the sort-merge join reads that partition in pieces."""
+    settings_ = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    spark.range(0, 300_000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("k")
+    ).write.parquet(str(tmp_path / "c"))
+    spark.range(1000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).write.parquet(
+        str(tmp_path / "p")
+    )
+    mapping = Mapping.of(
+        triples_map("c", table("c"), template("c/{id}")).add(V + "p", parent("p", ("k", "k"))),
+        triples_map("p", table("p"), template("p/{name}")),
+    )
+    for key, value in settings_.items():
+        spark.conf.set(key, value)
+    try:
+        frame = mapping.run(
+            spark, {"c": spark.read.parquet(str(tmp_path / "c")), "p": spark.read.parquet(str(tmp_path / "p"))}
+        )
+        rows = frame.groupBy("o").count().orderBy(F.desc("count")).limit(1).collect()
+        assert rows[0]["count"] == 100_200 and frame.count() == 300_000
+        frame.write.format("noop").mode("overwrite").save()
+        frame.collect()
+        assert "skew=true" in plan_of(frame)
+    finally:
+        for key in settings_:
+            spark.conf.unset(key)
+
+
+def test_join_shuffles_source_columns_not_terms(spark, people):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        child = triples_map("c", PEOPLE, template("p/{id}")).add(V + "boss", parent("b", ("boss", "id")))
+        frame = Mapping.of(child, triples_map("b", PEOPLE, template("n/{name}"))).run(spark, {"people": people})
+        plan = plan_of(frame)
+        assert plan.count("Exchange") == 2 and plan.index("concat(") < plan.index("SortMergeJoin")
+        assert "concat(" not in plan[plan.index("SortMergeJoin") :]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
