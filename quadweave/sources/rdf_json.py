@@ -20,11 +20,13 @@ def _texts(spark: SparkSession, paths: list[str], whole: bool) -> DataFrame:
     )
 
 
-def _parsed(texts: DataFrame, dtype: str) -> DataFrame:
-    """Documents as values of ``dtype``; text that is no such document is an error."""
-    document = F.from_json("value", dtype)
+def _parsed(texts: DataFrame, dtype: str, *kept: str) -> DataFrame:
+    """Documents as values of ``dtype``; text that is no such document is an error.
+
+    The generator keeps the check above it; below, the text would be parsed once more.
+    """
     message = F.concat(F.lit("Exception occurred while parsing "), F.col("file"))
-    frame = texts.select("file", document.alias("doc"))
+    frame = texts.select("file", *kept, F.explode(F.array(F.from_json("value", dtype))).alias("doc"))
     return frame.where(
         F.when(F.col("doc").isNotNull(), True).otherwise(F.raise_error(message).cast("boolean"))
     )
@@ -70,66 +72,58 @@ VALUE_OBJECT = "struct<`@id`:string,`@value`:string,`@type`:string,`@language`:s
 
 
 def parse_ndjsonld(texts: DataFrame) -> DataFrame:
-    """Statements of node objects in expanded form, one per line."""
-    nodes = _parsed(texts, "map<string,string>").select(
+    """Statements of node objects in expanded form, one per line, in one pass over the lines.
+
+    A node without ``@id`` is a blank node told apart by the place of its line.
+    """
+    placed = texts.withColumn("place", F.monotonically_increasing_id())
+    documents = _parsed(placed, "map<string,string>", "place")
+    graph = F.col("doc")["@graph"]
+    nodes = F.when(graph.isNull(), F.array("doc")).otherwise(F.from_json(graph, "array<map<string,string>>"))
+    documents = documents.select(
         "file",
-        F.col("doc")["@id"].alias("s"),
-        F.col("doc")["@graph"].alias("graph"),
-        F.col("doc").alias("node"),
-    )
-    default = nodes.where(F.col("graph").isNull()).select("file", "s", "node", F.lit(None).cast("string").alias("g"))
-    named = nodes.where(F.col("graph").isNotNull()).select(
-        "file", F.col("s").alias("g"), F.explode(F.from_json("graph", "array<map<string,string>>")).alias("node")
-    )
-    named = named.select("file", F.col("node")["@id"].alias("s"), "node", "g")
-    both = default.unionByName(named)
-    # A node without @id is a blank node of its own; its text tells it from the others in the file.
-    own_label = F.concat(F.lit("_:n"), F.md5(F.to_json("node")))
-    keyed = both.select("file", F.coalesce("s", own_label).alias("s"), "g", F.explode("node").alias("key", "json"))
-    types = keyed.where(F.col("key") == "@type").select(
-        "file", "s", "g", F.lit(RDF_TYPE).alias("p"), F.explode(F.from_json("json", "array<string>")).alias("id")
+        "place",
+        F.when(graph.isNotNull(), F.col("doc")["@id"]).alias("g"),
+        F.posexplode(nodes).alias("index", "node"),
     )
-    types = types.select(
-        "file", "s", "g", "p", "id", *[F.lit(None).cast("string").alias(n) for n in ("value", "type", "lang", "raw")]
+    own_label = F.format_string("_:[%d.%d]", "place", "index")
+    keyed = documents.select(
+        "file", F.coalesce(F.col("node")["@id"], own_label).alias("s"), "g", F.explode("node").alias("key", "json")
     )
-    properties = keyed.where(~F.startswith("key", F.lit("@"))).select(
+    is_type = F.col("key") == "@type"
+    keyed = keyed.where(is_type | ~F.startswith("key", F.lit("@")))
+    values = keyed.select(
         "file",
         "s",
         "g",
-        F.col("key").alias("p"),
+        is_type.alias("is_type"),
+        F.when(is_type, RDF_TYPE).otherwise(F.col("key")).alias("p"),
         F.explode(F.from_json("json", "array<string>")).alias("raw"),
     )
-    value = F.from_json("raw", VALUE_OBJECT)
-    properties = properties.select(
-        "file",
-        "s",
-        "g",
-        "p",
-        value["@id"].alias("id"),
-        value["@value"].alias("value"),
-        value["@type"].alias("type"),
-        value["@language"].alias("lang"),
-        F.regexp_extract("raw", r'"@value"\s*:\s*(true|false|-?[0-9][0-9.eE+-]*)', 1).alias("raw"),
-    )
-    merged = types.unionByName(properties)
+    # The barrier keeps the value object from being parsed once per use.
+    parsed = F.when(~F.col("is_type"), F.from_json("raw", VALUE_OBJECT))
+    values = values.select("file", "s", "g", "p", "is_type", "raw", F.explode(F.array(parsed)).alias("value"))
+    number_or_boolean = F.regexp_extract("raw", r'"@value"\s*:\s*(true|false|-?[0-9][0-9.eE+-]*)', 1)
     natural = (
-        F.when(F.col("raw").isin("true", "false"), XSD_BOOLEAN)
-        .when(F.col("raw").rlike(r"[.eE]"), XSD_DOUBLE)
-        .when(F.col("raw") != "", XSD_INTEGER)
+        F.when(number_or_boolean.isin("true", "false"), XSD_BOOLEAN)
+        .when(number_or_boolean.rlike(r"[.eE]"), XSD_DOUBLE)
+        .when(number_or_boolean != "", XSD_INTEGER)
     )
-    is_literal = F.col("id").isNull()
-    return merged.select(
+    value = F.col("value")
+    resource = F.when(F.col("is_type"), F.col("raw")).otherwise(value["@id"])
+    is_literal = resource.isNull()
+    language = F.lower(value["@language"])
+    datatype = F.nullif(F.coalesce(value["@type"], natural), F.lit(XSD_STRING))
+    return values.select(
         "file",
         _kind(F.col("s")).alias("s_kind"),
         _label(F.col("s")).alias("s"),
         "p",
-        F.when(is_literal, "literal").otherwise(_kind(F.col("id"))).alias("o_kind"),
-        F.when(is_literal, F.col("value")).otherwise(_label(F.col("id"))).alias("o"),
-        F.when(
-            is_literal & F.col("lang").isNull(), F.nullif(F.coalesce("type", natural), F.lit(XSD_STRING))
-        ).alias("o_dt"),
-        F.when(is_literal, F.lower("lang")).alias("o_lang"),
-        F.col("g"),
+        F.when(is_literal, "literal").otherwise(_kind(resource)).alias("o_kind"),
+        F.when(is_literal, value["@value"]).otherwise(_label(resource)).alias("o"),
+        F.when(is_literal & language.isNull(), datatype).alias("o_dt"),
+        F.when(is_literal, language).alias("o_lang"),
+        "g",
     )
 
 

@@ -483,3 +483,20 @@ def test_large_turtle_files_are_cut_where_that_is_safe(spark, tmp_path):
         ) == sorted(r.n for r in whole.where("s_kind = 'bnode'").groupBy("s").agg(F.count("*").alias("n")).collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ndjsonld_nodes_without_id_and_natural_values(spark, tmp_path):
+    (tmp_path / "x.ndjsonld").write_text(
+        f'{{"@type": ["{V}T"], "{V}n": [{{"@value": 5}}, {{"@value": true}}, {{"@value": 1.5}}]}}\n'
+        f'{{"@type": ["{V}T"], "{V}n": [{{"@value": 5}}]}}\n\n'
+        f'{{"@id": "{V}g", "@graph": [{{"{V}n": [{{"@value": "x", "@language": "DE"}}]}}, {{"{V}n": [{{"@id": "_:b"}}]}}]}}\n'
+    )
+    rows = read_rdf(spark, str(tmp_path)).collect()
+    assert len(rows) == 8 and len({r.s for r in rows}) == 4
+    assert {(r.o, (r.o_dt or "").rpartition("#")[2], r.o_lang) for r in rows if r.o_kind == "literal"} == {
+        ("5", "integer", None),
+        ("true", "boolean", None),
+        ("1.5", "double", None),
+        ("x", "", "de"),
+    }
+    assert {r.g for r in rows} == {None, V + "g"}
