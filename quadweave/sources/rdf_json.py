@@ -23,13 +23,12 @@ def _texts(spark: SparkSession, paths: list[str], whole: bool) -> DataFrame:
 def _parsed(texts: DataFrame, dtype: str, *kept: str) -> DataFrame:
     """Documents as values of ``dtype``; text that is no such document is an error.
 
-    The generator keeps the check above it; below, the text would be parsed once more.
+    The error is part of the value, because a filter on it might run after another one that the
+    optimizer adds; and the generator keeps such filters from parsing the text once more.
     """
     message = F.concat(F.lit("Exception occurred while parsing "), F.col("file"))
-    frame = texts.select("file", *kept, F.explode(F.array(F.from_json("value", dtype))).alias("doc"))
-    return frame.where(
-        F.when(F.col("doc").isNotNull(), True).otherwise(F.raise_error(message).cast("boolean"))
-    )
+    document = F.coalesce(F.from_json("value", dtype), F.raise_error(message).cast(dtype))
+    return texts.select("file", *kept, F.explode(F.array(document)).alias("doc"))
 
 
 def _is_bnode(name: Column) -> Column:
