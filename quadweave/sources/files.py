@@ -6,10 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadweave.errors import SourceError
 
+SPLIT_BYTES = 64 << 20  # files above this are worth a pass to see how they can be cut
+BROADCAST_BYTES = 64 << 20
+
 
 def _path(spark: SparkSession, location: str):
     jvm = spark._jvm
@@ -79,3 +83,10 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch_folder(spark, "checkpoint"))
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Hint a broadcast for a checkpointed table only after its size has been measured."""
+    size = F.length(F.to_json(F.struct(*table.columns)))
+    measured = table.agg(F.sum(size).alias("n")).first()["n"] or 0
+    return F.broadcast(table) if measured <= BROADCAST_BYTES else table

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadweave.errors import FormatError
 from quadweave.operators.schema import STATEMENT_COLUMNS, no_statements
 from quadweave.sources import rdf_documents, rdf_json, rdf_lines, rdf_xml, turtle_split
-from quadweave.sources.files import large_files, list_files, require_path
+from quadweave.sources.files import SPLIT_BYTES, large_files, list_files, require_path
 
 # Format names and the file extensions that mean them.
 EXTENSIONS = {
@@ -34,7 +34,7 @@ SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
     "nq": lambda spark, paths: rdf_lines.scan_lines(spark, paths, graphs=True),
     "rj": rdf_json.scan_rdf_json,
     "ndjsonld": rdf_json.scan_ndjsonld,
-    "trix": rdf_xml.scan_trix,
+    "trix": lambda spark, paths: scan_trix(spark, paths),
     **{
         name: (lambda spark, paths, name=name: rdf_documents.scan_documents(spark, paths, name))
         for name in ("trig", "trigs", "rdf", "jsonld")
@@ -43,15 +43,30 @@ SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
 }
 
 
-def scan_turtle(spark: SparkSession, paths: list[str], split_bytes: int = turtle_split.SPLIT_BYTES) -> DataFrame:
+def scan_turtle(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Small files are one task's row each; large ones are cut at statement ends where that is safe."""
+    return _by_size(
+        spark,
+        paths,
+        split_bytes,
+        lambda spark, files: rdf_documents.scan_documents(spark, files, "ttl"),
+        turtle_split.scan_large_turtle,
+    )
+
+
+def scan_trix(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Small files are cut between graphs; large ones between triples if they hold a single graph."""
+    return _by_size(spark, paths, split_bytes, rdf_xml.scan_graphs, rdf_xml.scan_large_graphs)
+
+
+def _by_size(spark: SparkSession, paths: list[str], split_bytes: int, scan_small, scan_large) -> DataFrame:
     large = large_files(spark, paths, split_bytes)
     if not large:
-        return rdf_documents.scan_documents(spark, paths, "ttl")
-    cut = turtle_split.scan_large_turtle(spark, large)
+        return scan_small(spark, paths)
     wanted = set(large)
     small = [f for p in paths for f in list_files(spark, p) if f not in wanted and _is_visible(f)]
-    return cut.unionByName(rdf_documents.scan_documents(spark, small, "ttl")) if small else cut
+    cut = scan_large(spark, large)
+    return cut.unionByName(scan_small(spark, small)) if small else cut
 
 
 def format_by_extension(path: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadweave.operators.schema import STATEMENT_COLUMNS
+from quadweave.sources.files import broadcast_if_small, ensure_checkpoint_folder
 from quadweave.vocab import XSD_STRING
 
 GRAPH_NAME = r"<graph[^>]*>\s*<(uri|id)>([^<]*)</"
@@ -24,17 +25,24 @@ def unescape_xml(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("&")), plain).otherwise(value)
 
 
+def _graph_name(tag: Column, text: Column) -> Column:
+    name = F.when(tag == "id", F.concat(F.lit("_:"), text)).otherwise(unescape_xml(text))
+    return F.nullif(name, F.lit(""))
+
+
 def parse_graph_elements(records: DataFrame) -> DataFrame:
     """Statements of a frame with ``value`` (text up to the end of one graph element) and ``file``."""
-    graph = F.regexp_extract("value", GRAPH_NAME, 2)
-    name = F.when(F.regexp_extract("value", GRAPH_NAME, 1) == "id", F.concat(F.lit("_:"), graph)).otherwise(graph)
+    name = _graph_name(F.regexp_extract("value", GRAPH_NAME, 1), F.regexp_extract("value", GRAPH_NAME, 2))
     # Every piece but the last ends where a triple element ends.
     pieces = F.split("value", "</triple>")
     triples = records.select(
-        "file",
-        F.nullif(unescape_xml(name), F.lit("")).alias("g"),
-        F.explode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("piece"),
-    ).select("file", "g", F.substring_index("piece", "<triple>", -1).alias("triple"))
+        "file", name.alias("g"), F.explode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("piece")
+    )
+    return parse_triples(triples.select("file", "g", F.substring_index("piece", "<triple>", -1).alias("triple")))
+
+
+def parse_triples(triples: DataFrame) -> DataFrame:
+    """Statements of a frame with ``triple`` (the content of a triple element), ``g`` and ``file``."""
     message = F.concat(F.lit("Exception occurred while parsing "), F.col("file"), F.lit(": "), F.col("triple"))
     triples = triples.where(
         F.when(F.col("triple").rlike(TRIPLE), True).otherwise(F.raise_error(message).cast("boolean"))
@@ -61,19 +69,52 @@ def parse_graph_elements(records: DataFrame) -> DataFrame:
     )
 
 
-def scan_trix(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A record ends with a graph element, so large files split between graphs."""
+def scan_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A record ends with a graph element, so files split between graphs."""
     records = (
         spark.read.option("recursiveFileLookup", True)
         .text(paths, lineSep="</graph>")
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    checked = records.where(
-        F.when(
-            F.contains("value", F.lit("<graph")) | F.col("value").rlike(r"^\s*(?:<\?xml[^>]*>\s*)?(?:</?TriX[^>]*>\s*)*$"),
-            True,
-        ).otherwise(
-            F.raise_error(F.concat(F.lit("Exception occurred while parsing "), F.col("file"))).cast("boolean")
+    return parse_graph_elements(_checked(records)).select("file", *STATEMENT_COLUMNS)
+
+
+def _checked(records: DataFrame) -> DataFrame:
+    around = r"^\s*(?:<\?xml[^>]*>\s*)?(?:</?TriX[^>]*>\s*)*$"
+    message = F.concat(F.lit("Exception occurred while parsing "), F.col("file"))
+    fine = F.contains("value", F.lit("<graph")) | F.col("value").rlike(around)
+    return records.where(F.when(fine, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def scan_large_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A record ends with a triple element. Its graph is only known without looking at its neighbours
+    when the whole file names a single one; files with several graphs are cut between those."""
+    ensure_checkpoint_folder(spark)
+    pieces = spark.read.text(paths, lineSep="</triple>").select("value", F.col("_metadata.file_path").alias("file"))
+    start = r"<graph[^>]*>\s*(?:<(uri|id)>([^<]*)</)?"
+    tags, texts = (F.regexp_extract_all("value", F.lit(start), i) for i in (1, 2))
+    names = (
+        pieces.where(F.contains("value", F.lit("<graph")))
+        .select("file", F.inline(F.arrays_zip(tags.alias("tag"), texts.alias("text"))))
+        .select("file", _graph_name(F.col("tag"), F.col("text")).alias("g"))
+    )
+    # NULL is the default graph, which min and max do not see.
+    files = (
+        names.groupBy("file")
+        .agg(F.min("g").alias("g"), F.max("g").alias("last"), F.max(F.col("g").isNull()).alias("default"))
+        .select(
+            "file",
+            "g",
+            ((F.col("g").isNull() | (F.col("g") == F.col("last"))) & ~(F.col("default") & F.col("g").isNotNull())).alias(
+                "single"
+            ),
         )
+        .checkpoint()
     )
-    return parse_graph_elements(checked).select("file", *STATEMENT_COLUMNS)
+    single = broadcast_if_small(files.where("single").select("file", "g"))
+    several = broadcast_if_small(files.where("NOT single").select("file"))
+    triples = pieces.where(F.contains("value", F.lit("<triple>"))).join(single, "file")
+    cut = parse_triples(triples.select("file", "g", F.substring_index("value", "<triple>", -1).alias("triple")))
+    records = spark.read.text(paths, lineSep="</graph>").select("value", F.col("_metadata.file_path").alias("file"))
+    rest = parse_graph_elements(_checked(records.join(several, "file", "left_semi")))
+    return cut.select("file", *STATEMENT_COLUMNS).unionByName(rest.select("file", *STATEMENT_COLUMNS))

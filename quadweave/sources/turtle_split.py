@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 
 from quadweave.operators.schema import STATEMENT_COLUMNS
 from quadweave.sources import rdf_documents
-from quadweave.sources.files import ensure_checkpoint_folder
+from quadweave.sources.files import broadcast_if_small, ensure_checkpoint_folder
 
-SPLIT_BYTES = 64 << 20
 MAX_PREFIXES = 1000
-BROADCAST_BYTES = 64 << 20
 PREFIX = r"@prefix\s+([^\s:]*:)\s*<([^>]*)>"
 HAZARD = (
     r'"{3}|' + r"'{3}|"  # a long string may hold line ends
@@ -46,9 +44,9 @@ def scan_large_turtle(spark: SparkSession, paths: list[str]) -> DataFrame:
     texts = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     # Blank nodes without a label are told apart by the place of their piece.
     placed = pieces.withColumn("place", F.monotonically_increasing_id())
-    headed = placed.join(_small(files.where("splits").select("file", "prefixes")), "file")
+    headed = placed.join(broadcast_if_small(files.where("splits").select("file", "prefixes")), "file")
     cut = headed.mapInPandas(_parse_pieces, rdf_documents.DOCUMENT_SCHEMA)
-    uncut = rdf_documents.parse_documents(texts.join(_small(whole), "file", "left_semi"), "ttl")
+    uncut = rdf_documents.parse_documents(texts.join(broadcast_if_small(whole), "file", "left_semi"), "ttl")
     return cut.unionByName(uncut)
 
 
@@ -86,13 +84,6 @@ def _describe(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _small(files: DataFrame) -> DataFrame:
-    """Hint a broadcast where the table of files has been measured to be small."""
-    size = F.length("file") + (F.length(F.to_json("prefixes")) if "prefixes" in files.columns else F.lit(0))
-    measured = files.agg(F.sum(size).alias("n")).first()["n"] or 0
-    return F.broadcast(files) if measured <= BROADCAST_BYTES else files
-
-
 def _parse_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["file", *STATEMENT_COLUMNS]
     for batch in batches:

@@ -500,3 +500,32 @@ def test_ndjsonld_nodes_without_id_and_natural_values(spark, tmp_path):
         ("x", "", "de"),
     }
     assert {r.g for r in rows} == {None, V + "g"}
+
+
+def test_large_trix_files(spark, tmp_path):
+    from quadweave.sources.rdf import scan_trix
+
+    def triples(n, word):
+        return "".join(
+            f"<triple><uri>{V}{word}{i}</uri><uri>{V}p</uri><plainLiteral>{word} &lt;{i}&gt;</plainLiteral></triple>\n"
+            for i in range(n)
+        )
+
+    head, end = '<?xml version="1.0"?>\n<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">\n', "</TriX>\n"
+    bodies = {
+        "one": f"<graph><uri>{V}g</uri>\n{triples(200, 'a')}</graph>",
+        "default": f"<graph>\n{triples(200, 'b')}</graph>",
+        "several": f"<graph>{triples(100, 'c')}</graph><graph><uri>{V}g2</uri>{triples(100, 'd')}</graph>",
+        "again": f"<graph><id>n</id>{triples(50, 'e')}</graph><graph><id>n</id>{triples(50, 'f')}</graph>",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.trix").write_text(head + body + end)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        cut = scan_trix(spark, [str(tmp_path)], split_bytes=100)
+        whole = scan_trix(spark, [str(tmp_path)])
+        assert cut.count() == 700 and cut.exceptAll(whole).count() == 0
+        counts = {r.g: r["count"] for r in cut.groupBy("g").count().collect()}
+        assert counts == {V + "g": 200, None: 300, V + "g2": 100, "_:n": 100}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
