@@ -14,14 +14,15 @@ from quadweave.sources.files import scratch_folder
 EVENT_TYPES_SQL = st(iri("user/{}", "user_id"), f"'{TYPE}'", f"'{V}' || event_type", "events", o_kind="iri")
 
 
-def event_types(spark, folder):
+def event_types(spark, folder, **options):
     item = triples_map("e", EVENTS, template("user/{user_id}"))
-    return run(spark, folder, item.add(TYPE, template(V + "{event_type}")))
+    return run(spark, folder, item.add(TYPE, template(V + "{event_type}")), **options)
 
 
 @query(f"SELECT DISTINCT * FROM ({EVENT_TYPES_SQL})")
 def distinct_statements(spark, folder):
-    return statements.distinct(event_types(spark, folder))
+    """The set is found on the source columns, before any IRI is made."""
+    return event_types(spark, folder, distinct=True)
 
 
 @query("SELECT count(*) AS n FROM events")

@@ -220,7 +220,7 @@ def _needs_encoding(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.IntegralType, T.BooleanType, T.DateType))
 
 
-def _scheme_of_template(parts: Sequence[tuple[str, str]]) -> bool | None:
+def scheme_of_template(parts: Sequence[tuple[str, str]]) -> bool | None:
     """Whether a template is absolute (True), relative (False), or only the row can tell (None)."""
     if not parts or parts[0][0] != "text":
         return None
@@ -268,7 +268,7 @@ def finish_value(term: TermMap, kind: str, value: Column, context: TermContext)
     if term.kind == "constant":
         return F.lit(constant_text(term, kind, context))
     if term.kind == "template":
-        absolute = _scheme_of_template(term.template_parts())
+        absolute = scheme_of_template(term.template_parts())
         if absolute is not None:
             return value if absolute else F.concat(F.lit(context.base_iri), value)
     return resolve_iri(value, context.base_iri)

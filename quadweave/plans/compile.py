@@ -71,7 +71,9 @@ def run_mapping(
     frames = {
         source: load_source(spark, source, names, setup.sources, root) for source, names in references.items()
     }
-    result = Compiler(mapping, frames, context, subject).statements(spark)
+    early_distinct = distinct and limit is None and not setup.transforms
+    compiler = Compiler(mapping, frames, context, subject, early_distinct)
+    result = compiler.statements(spark)
     result = _residual_filter(result, mapping)
     if subject is not None:
         result = result.where(F.col("s") == subject)
@@ -80,7 +82,7 @@ def run_mapping(
         result = result.transform(transform)
     if limit is not None:
         result = result.limit(limit)
-    if distinct:
+    if distinct and not compiler.is_set:
         multi = {s: {f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)} for s, df in frames.items()}
         # Transforms are opaque, so nothing can be proven about their output.
         if setup.transforms or not rewrite.provably_distinct(mapping, base_iri, multi):
@@ -202,11 +204,15 @@ class Compiler:
         frames: MappingType[Source, DataFrame],
         context: terms.TermContext,
         subject: str | None = None,
+        distinct: bool = False,
     ) -> None:
         self.mapping = mapping
         self.frames = frames
         self.context = context
         self.subject = subject
+        branches = [graphs for item in mapping.maps for _, _, graphs in expand_pairs(item)]
+        self.may_push_distinct = distinct and len(branches) == 1 and len(branches[0]) <= 1
+        self.is_set = False
 
     def statements(self, spark: SparkSession) -> DataFrame:
         outputs = []
@@ -278,6 +284,14 @@ class Compiler:
             item, predicate, (obj, _), _ = branches[0]
             always = [item.subject, predicate, obj]
         frame, known = _with_references(frame, always, projection.scope)
+        if single and self.may_push_distinct:
+            item, predicate, (obj, position), graphs = branches[0]
+            names = rewrite.statement_references(
+                item.subject, predicate, obj, position, _graph_choices(graphs)[0]
+            )
+            if names and not any(projection.scope[name].multi for name in names):
+                frame = frame.select(*[F.col(f"`{name}`") for name in names]).distinct()
+                self.is_set = True
         return _generate(frame.select(*projection.columns), structs, arrays, known and single)
 
     def _object_term(self, item: TriplesMap, obj) -> tuple[TermMap, str]:
@@ -331,7 +345,7 @@ class Compiler:
             )
             how = "inner"
             if not self._parent_is_unique(other, joins):
-                if not rewrite.is_injective(other.subject):
+                if not rewrite.is_injective(other.subject, "subject"):
                     # Different rows may make one subject, so copies only show in the subject itself.
                     value = terms.term_value(other.subject, "subject", object_scope, self.context)
                     if terms.is_multi(other.subject, object_scope, self.context):

@@ -225,3 +225,22 @@ def test_join_shuffles_source_columns_not_terms(spark, people):
         assert "concat(" not in plan[plan.index("SortMergeJoin") :]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distinct_is_taken_on_source_columns(spark, people):
+    item = triples_map("p", table("people"), template("p/{boss}"), classes=V + "Boss")
+    frame = Mapping.of(item).run(spark, {"people": people}, distinct=True)
+    assert frame.count() == 7 and "Exchange hashpartitioning(boss#" in plan_of(frame)
+    # A limit is taken on what is generated, copies included.
+    assert Mapping.of(item).run(spark, {"people": people}, distinct=True, limit=1000).count() == 7
+
+
+def test_iris_that_meet_at_the_base_are_one(spark):
+    frame = spark.createDataFrame([("x",), (BASE + "x",), ("y",)], "u string")
+    mapping = Mapping.of(triples_map("t", table("t", unique=["u"]), ref("u", term_type="iri"), classes=V + "T"))
+    assert mapping.run(spark, {"t": frame}).count() == 3
+    assert mapping.run(spark, {"t": frame}, distinct=True).count() == 2
+    child = triples_map("c", table("t"), template("c/{u}")).add(V + "p", parent("p", ("k", "k")))
+    frame = frame.withColumn("k", F.lit(1))
+    both = Mapping.of(child, triples_map("p", table("t"), ref("u", term_type="iri")))
+    assert both.run(spark, {"t": frame}).count() == 3 * 2
