@@ -160,6 +160,10 @@ class _Part:
     datatype: str | None = None
     language: str | None = None
 
+    @property
+    def is_constant(self) -> bool:
+        return self.sql.startswith("'")
+
 
 class _Projection:
     """Collects the term columns of one scan; equal terms are computed once."""
@@ -196,6 +200,9 @@ class _Projection:
             )
         return _Part(sql, multi, kind, terms.term_datatype(term, kind, self.scope, self.context), language)
 
+    def graph_parts(self, graphs: Sequence[TermMap]) -> list[_Part | None]:
+        return [None if graph is None else self.part(graph, "graph") for graph in _graph_choices(graphs)]
+
 
 class Compiler:
     def __init__(
@@ -274,9 +281,7 @@ class Compiler:
                 projection.part(predicate, "predicate"),
                 projection.part(obj, position),
             ]
-            for graph in _graph_choices(graphs):
-                graph_part = None if graph is None else projection.part(graph, "graph")
-                _add_statements(parts, graph_part, structs, arrays)
+            _add_branch(parts, projection.graph_parts(graphs), structs, arrays)
         # What every statement needs is tested on the source columns, where the scan can see it.
         always = [items[0].subject] if len(items) == 1 else []
         single = len(structs) == 1 and not arrays
@@ -314,7 +319,7 @@ class Compiler:
         other = self.mapping.find(obj.parent)
         joins = obj.joins
         if item.source == other.source and self._same_row(item.source, joins):
-            return self._parent_same_row(item, predicate, other, graphs)
+            return self._parent_same_row(item, predicate, other, graphs, [join.child for join in joins])
         child, parent = self._narrowed(item), self.frames[other.source]
         child_scope = terms.scope_of(child.schema)
         parent_scope = terms.scope_of(parent.schema)
@@ -359,7 +364,7 @@ class Compiler:
 
         projection = _Projection(left_scope, self.context)
         parts = [projection.part(item.subject, "subject"), projection.part(predicate, "predicate")]
-        graph_parts = [None if graph is None else projection.part(graph, "graph") for graph in graph_terms]
+        graph_parts = projection.graph_parts(graphs)
         kind = terms.term_kind(other.subject, "subject")
         columns = list(projection.columns)
         multi = False
@@ -370,25 +375,29 @@ class Compiler:
             columns.append(terms.term_value(*object_terms, object_scope, self.context).alias("_o"))
         structs: list[dict[str, str]] = []
         arrays: list[str] = []
-        for graph_part in graph_parts:
-            _add_statements([*parts, _Part("_o", multi, kind)], graph_part, structs, arrays)
-        known = child_known and object_known and not arrays
+        _add_branch([*parts, _Part("_o", multi, kind)], graph_parts, structs, arrays)
+        known = child_known and object_known and not arrays and len(graph_parts) == 1
         return _generate(joined.select(*columns), structs, arrays, known)
 
     def _same_row(self, source: Source, joins) -> bool:
-        """A self join on a declared key only ever finds the row itself."""
+        """Whether a self join can only find the row itself: on equal references that hold a key."""
         if any(join.child != join.parent for join in joins):
             return False
         keys = {join.child for join in joins}
-        if terms.scope_of(self.frames[source].schema).keys() < keys:
-            return False
         scope = terms.scope_of(self.frames[source].schema)
-        return any(set(key) <= keys for key in source.unique) and not any(scope[key].multi for key in keys)
+        if any(terms.look_up(scope, key).multi for key in keys):
+            return False
+        return any(set(key) <= keys for key in source.unique)
 
     def _parent_same_row(
-        self, item: TriplesMap, predicate: TermMap, other: TriplesMap, graphs: Sequence[TermMap]
+        self,
+        item: TriplesMap,
+        predicate: TermMap,
+        other: TriplesMap,
+        graphs: Sequence[TermMap],
+        keys: Sequence[str],
     ) -> DataFrame:
-        frame = self._narrowed(item)
+        frame = self._narrowed(item).where(" AND ".join(f"`{key}` IS NOT NULL" for key in keys))
         projection = _Projection(terms.scope_of(frame.schema), self.context)
         parts = [
             projection.part(item.subject, "subject"),
@@ -397,11 +406,11 @@ class Compiler:
         ]
         structs: list[dict[str, str]] = []
         arrays: list[str] = []
-        for graph in _graph_choices(graphs):
-            graph_part = None if graph is None else projection.part(graph, "graph")
-            _add_statements(parts, graph_part, structs, arrays)
+        graph_parts = projection.graph_parts(graphs)
+        _add_branch(parts, graph_parts, structs, arrays)
         frame, known = _with_references(frame, [item.subject, predicate, other.subject], projection.scope)
-        return _generate(frame.select(*projection.columns), structs, arrays, known and not arrays)
+        known = known and not arrays and len(graph_parts) == 1
+        return _generate(frame.select(*projection.columns), structs, arrays, known)
 
     def _subject_is_function_of_keys(self, subject: TermMap, by_key, child_scope, parent_scope) -> bool:
         if subject.kind not in ("template", "reference"):
@@ -429,16 +438,41 @@ def _graph_choices(graphs: Sequence[TermMap]) -> list[TermMap | None]:
     return [None if g.kind == "constant" and g.value == DEFAULT_GRAPH else g for g in graphs]
 
 
+def _add_branch(
+    parts: Sequence[_Part], graphs: Sequence[_Part | None], structs: list[dict[str, str]], arrays: list[str]
+) -> None:
+    """Add a branch once per graph of its set.
+
+    A graph map without a value adds no graph; a set that stays empty is the default graph. So of
+    several graph maps, one without a value is left out, unless it is the first and all are without.
+    """
+    for i, graph in enumerate(graphs):
+        keep = None
+        if len(graphs) > 1 and graph is not None and not graph.is_constant and not graph.multi:
+            keep = f"{graph.sql} IS NOT NULL"
+            others = [other for other in graphs if other is not graph]
+            if i == 0 and all(o is not None and not o.is_constant and not o.multi for o in others):
+                keep += " OR (" + " AND ".join(f"{other.sql} IS NULL" for other in others) + ")"
+        _add_statements(parts, graph, structs, arrays, keep)
+
+
 def _add_statements(
-    parts: Sequence[_Part], graph: _Part | None, structs: list[dict[str, str]], arrays: list[str]
+    parts: Sequence[_Part],
+    graph: _Part | None,
+    structs: list[dict[str, str]],
+    arrays: list[str],
+    keep: str | None = None,
 ) -> None:
-    """Add one branch: its fields if all its terms are single, else an array over the cross product."""
+    """Add statements of one graph: fields if all terms are single, else an array over the cross product.
+
+    Without ``keep`` the subject stays NULL, so that the statement is dropped like any incomplete one.
+    """
     chosen = [*parts] if graph is None else [*parts, graph]
     values = [part.sql if not part.multi else f"x{i}" for i, part in enumerate(chosen)]
     subject, _, obj = parts
     fields = {
         "s_kind": sql_text(subject.kind),
-        "s": values[0],
+        "s": f"CASE WHEN {keep} THEN {values[0]} END" if keep else values[0],
         "p": values[1],
         "o_kind": sql_text(obj.kind),
         "o": values[2],
@@ -456,7 +490,9 @@ def _add_statements(
     depth = 0
     for i, part in reversed(list(enumerate(chosen))):
         if part.multi:
-            sql = f"transform({part.sql}, x{i} -> {sql})"
+            # An empty graph set is the default graph.
+            values_sql = f"if(size({part.sql}) > 0, {part.sql}, array(NULL))" if part is graph else part.sql
+            sql = f"transform({values_sql}, x{i} -> {sql})"
             sql = f"flatten({sql})" if depth else sql
             depth += 1
     arrays.append(f"coalesce({sql}, array())")

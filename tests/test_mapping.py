@@ -392,3 +392,32 @@ def test_mapping_document_equals_the_builder(spark, tmp_path):
 def test_no_triples_map_is_an_error(spark, tmp_path):
     with pytest.raises(MappingError, match="no triples map"):
         Mapping.from_statements(read_rdf(spark, document(tmp_path, "ex:a ex:b ex:c .")))
+
+
+def test_graph_maps_without_a_value(spark):
+    frame = spark.createDataFrame(
+        [("1", "a", "b", ["x"]), ("2", None, "b", []), ("3", None, None, None)], "id string, g string, h string, gs array<string>"
+    )
+    item = triples_map("t", table("t"), template("{id}"))
+    one = item.add(V + "p", ref("id"), template(V + "{g}"))
+    two = item.add(V + "p", ref("id"), [template(V + "{g}"), template(V + "{h}")])
+    fixed = item.add(V + "p", ref("id"), [template(V + "{g}"), V + "k"])
+    many = item.add(V + "p", ref("id"), template(V + "{gs}"))
+
+    def graphs(mapped):
+        return sorted((r.o, (r.g or "")[len(V) :]) for r in Mapping.of(mapped).run(spark, {"t": frame}).collect())
+
+    assert graphs(one) == [("1", "a"), ("2", ""), ("3", "")]
+    assert graphs(two) == [("1", "a"), ("1", "b"), ("2", "b"), ("3", "")]
+    assert graphs(fixed) == [("1", "a"), ("1", "k"), ("2", "k"), ("3", "k")]
+    assert graphs(many) == [("1", "x"), ("2", ""), ("3", "")]
+
+
+def test_self_join_on_a_key_needs_the_key(spark):
+    frame = spark.createDataFrame([(1, "a"), (None, "b")], "id int, name string")
+    source = table("t", unique=["id"])
+    mapping = Mapping.of(
+        triples_map("c", source, template("c/{name}")).add(V + "p", parent("p", ("id", "id"))),
+        triples_map("p", source, template("p/{name}")),
+    )
+    assert objects(mapping.run(spark, {"t": frame})) == [BASE + "p/a"]
