@@ -64,7 +64,7 @@ def _is_bnode(kind: str) -> Column:
 
 
 def inlined_blocks(
-    statements: DataFrame, prefixes: Mapping[str, str] | None = None, max_group: int = MAX_GROUP
+    statements: DataFrame, prefixes: Mapping[str, str] | None = None, max_group: int | None = MAX_GROUP
 ) -> DataFrame:
     """Turtle blocks of one graph with blank nodes written in place, as (s_kind, s, block).
 

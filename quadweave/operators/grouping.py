@@ -19,8 +19,14 @@ HASH_CLASSES = 1 << 18
 MAX_GROUP = 100_000
 
 
-def with_parts(statements: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """Add ``part``: 0 for ordinary subjects, a hash bucket for the statements of large ones."""
+def with_parts(statements: DataFrame, max_group: int | None = MAX_GROUP) -> DataFrame:
+    """Add ``part``: 0 for ordinary subjects, a hash bucket for the statements of large ones.
+
+    ``None`` leaves out the count. It is for callers who know that every subject is small, say because
+    each comes from one row of a table.
+    """
+    if max_group is None:
+        return statements.withColumn("part", F.lit(0))
     hash_class = F.pmod(F.xxhash64("g", "s"), F.lit(HASH_CLASSES))
     sizes = statements.groupBy("g", "s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group)
     large = (
@@ -41,7 +47,7 @@ def with_parts(statements: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 def subject_groups(
     statements: DataFrame,
     entry: Column,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = MAX_GROUP,
     watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per (graph, subject, part) with its distinct ``entry`` values, sorted.
@@ -75,7 +81,7 @@ def predicate_lists(entries: Column, predicate: str, obj: str, *, next_predicate
 def turtle_blocks(
     statements: DataFrame,
     prefixes: Mapping[str, str] | None = None,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = MAX_GROUP,
     watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Turtle blocks as (g, s_kind, s, n, block): predicates and objects sorted by code point."""
@@ -91,7 +97,7 @@ def turtle_blocks(
 def trig_blocks(
     statements: DataFrame,
     prefixes: Mapping[str, str] | None = None,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = MAX_GROUP,
     watch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Turtle blocks wrapped in their graph."""

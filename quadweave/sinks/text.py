@@ -46,7 +46,7 @@ def render_rdf(
     prefixes: Mapping[str, str] | None = None,
     pretty: bool = False,
     inline_bnodes: bool = False,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = MAX_GROUP,
 ) -> DataFrame:
     """The text rows of a format as a column ``value``, with each partition a complete document."""
     return _render(statements, fmt, prefixes, pretty, inline_bnodes, max_group, None, None)
@@ -61,7 +61,7 @@ def write_rdf(
     pretty: bool = False,
     relabel: bool = False,
     inline_bnodes: bool = False,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = MAX_GROUP,
     compression: str | None = None,
 ) -> WriteReport:
     """Write statements below ``path``, replacing an earlier output; counts come from the same pass."""
@@ -117,7 +117,7 @@ def _render(
     prefixes: Mapping[str, str] | None,
     pretty: bool,
     inline_bnodes: bool,
-    max_group: int,
+    max_group: int | None,
     watch: Watch,
     watch_groups: Watch,
 ) -> DataFrame:
@@ -244,14 +244,14 @@ def trix_statement() -> Column:
     return _trix_graph(trix_triple())
 
 
-def trix_groups(statements: DataFrame, max_group: int = MAX_GROUP, watch: Watch = None) -> DataFrame:
+def trix_groups(statements: DataFrame, max_group: int | None = MAX_GROUP, watch: Watch = None) -> DataFrame:
     groups = subject_groups(statements, trix_triple(), max_group, watch)
     return groups.select(
         "g", "s", F.size("entries").alias("n"), _trix_graph(F.array_join("entries", "")).alias("block")
     )
 
 
-def rdf_xml_blocks(statements: DataFrame, max_group: int = MAX_GROUP, watch: Watch = None) -> DataFrame:
+def rdf_xml_blocks(statements: DataFrame, max_group: int | None = MAX_GROUP, watch: Watch = None) -> DataFrame:
     """``rdf:Description`` elements. A predicate is cut after its last ``/`` or ``#``, and the rest has
     to be an XML name; blank-node labels get a letter in front, because names cannot start with a digit."""
     name = r"^(.*[/#])([A-Za-z_][A-Za-z0-9._-]*)$"
@@ -297,7 +297,7 @@ def _object_lists(entries: Column) -> Column:
     return F.concat(text, F.lit("]"))
 
 
-def json_ld_nodes(statements: DataFrame, max_group: int = MAX_GROUP, watch: Watch = None) -> DataFrame:
+def json_ld_nodes(statements: DataFrame, max_group: int | None = MAX_GROUP, watch: Watch = None) -> DataFrame:
     """Node objects in expanded form; a node of a named graph is wrapped in it."""
     name = _node_name(F.col("o_kind"), F.col("o"))
     is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") != "literal")
@@ -323,7 +323,7 @@ def json_ld_nodes(statements: DataFrame, max_group: int = MAX_GROUP, watch: Watc
     return groups.select("g", "s", F.size("entries").alias("n"), block.alias("block"))
 
 
-def rdf_json_objects(statements: DataFrame, max_group: int = MAX_GROUP, watch: Watch = None) -> DataFrame:
+def rdf_json_objects(statements: DataFrame, max_group: int | None = MAX_GROUP, watch: Watch = None) -> DataFrame:
     """RDF/JSON, one object with one subject per row; the format has no graphs."""
     is_literal = F.col("o_kind") == "literal"
     value = F.to_json(

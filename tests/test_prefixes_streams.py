@@ -5,7 +5,7 @@ import logging
 import pytest
 from pyspark.sql import functions as F
 
-from quadweave import Mapping, parent, ref, table, template, triples_map
+from quadweave import Mapping, parent, table, template, triples_map
 from quadweave.errors import FormatError, PrefixError
 from quadweave.operators import prefixes, statements
 from quadweave.sources.files import scratch_folder

@@ -398,6 +398,12 @@ def test_hub_subjects_are_cut_but_whole(spark, tmp_path):
     assert back.exceptAll(hub(spark).distinct()).count() == 0 and back.count() == hub(spark).distinct().count()
 
 
+def test_grouping_without_a_count(spark):
+    blocks = grouping.turtle_blocks(hub(spark), max_group=None)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert blocks.count() == 2001
+
+
 def test_grouping_shuffles_statements_once(spark):
     plan = grouping.turtle_blocks(hub(spark))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
