@@ -1,8 +1,8 @@
 """Subject grouping: the aggregation behind every grouped sink.
 
 A hub subject may own a large part of all statements, so a group is never assumed to be small. A
-first, map-side combined count finds subjects above ``max_group`` statements; only those are cut
-into parts by a hash of their statements. Each part is a group of its own, which all grouped formats
+first, map-side combined count finds subjects above ``max_group`` statements or ``MAX_GROUP_BYTES`` of
+text; only those are cut into parts by a hash of their statements. Each part is a group of its own, which all grouped formats
 allow. What is broadcast for this has at most ``HASH_CLASSES`` rows, whatever the data.
 """
 
@@ -17,6 +17,7 @@ from quadweave.operators import rendering
 
 HASH_CLASSES = 1 << 18
 MAX_GROUP = 100_000
+MAX_GROUP_BYTES = 64 << 20
 
 
 def with_parts(statements: DataFrame, max_group: int | None = MAX_GROUP) -> DataFrame:
@@ -28,11 +29,15 @@ def with_parts(statements: DataFrame, max_group: int | None = MAX_GROUP) -> Data
     if max_group is None:
         return statements.withColumn("part", F.lit(0))
     hash_class = F.pmod(F.xxhash64("g", "s"), F.lit(HASH_CLASSES))
-    sizes = statements.groupBy("g", "s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group)
+    sizes = statements.groupBy("g", "s").agg(
+        F.greatest(
+            F.count(F.lit(1)) / max_group, F.sum(F.octet_length("o") + F.octet_length("p")) / MAX_GROUP_BYTES
+        ).alias("_n")
+    )
     large = (
-        sizes.groupBy(hash_class.alias("_class"))
-        .agg(F.max("_n").alias("_n"))
-        .select("_class", F.ceil(F.col("_n") / max_group).cast("int").alias("_parts"))
+        sizes.where("_n > 1")
+        .groupBy(hash_class.alias("_class"))
+        .agg(F.ceil(F.max("_n")).cast("int").alias("_parts"))
     )
     statement_hash = F.xxhash64("p", "o_kind", "o", "o_dt", "o_lang")
     part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(statement_hash, F.col("_parts")).cast("int"))

@@ -398,6 +398,16 @@ def test_hub_subjects_are_cut_but_whole(spark, tmp_path):
     assert back.exceptAll(hub(spark).distinct()).count() == 0 and back.count() == hub(spark).distinct().count()
 
 
+def test_subjects_with_much_text_are_cut_too(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "MAX_GROUP_BYTES", 10_000)
+    frame = spark.range(60).selectExpr(
+        "'iri' s_kind", f"'{V}s' s", f"'{V}p' p", "'literal' o_kind", "concat(id, repeat('x', 1000)) o",
+        "string(null) o_dt", "string(null) o_lang", "string(null) g",
+    )
+    blocks = grouping.turtle_blocks(frame).collect()
+    assert len(blocks) == 7 and sum(r.n for r in blocks) == 60
+
+
 def test_grouping_without_a_count(spark):
     blocks = grouping.turtle_blocks(hub(spark), max_group=None)
     assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
