@@ -123,18 +123,19 @@ def _ordered_prefixes(table: DataFrame, numerator: int, denominator: int, freque
         rank = np.arange(len(values)) - np.repeat(bounds[:-1], n)
         kept = rank < np.repeat(_prefix_sizes(n, numerator, denominator), n)
         row = row[kept].astype(np.int64)
-        return [
+        return [  # the rank is the place in the order
             pa.array((key[kept] & np.uint64((1 << HASH_BITS) - 1)).view(np.int64)),
             pa.array(sig[row]),
             pa.array(n[row]),
+            pa.array(rank[kept].astype(np.int32)),
             pa.array(in_bitmap(copied.value, sig)[row]),
         ]
 
-    return _over_sets(table, run, "gram bigint, sig bigint, n bigint, copied boolean")
+    return _over_sets(table, run, "gram bigint, sig bigint, n bigint, rank int, copied boolean")
 
 
 def _chosen_sets(table: DataFrame, sigs: DataFrame, fragments: range | None) -> DataFrame:
-    """The sets of the classes in sigs, one row each: whole and packed, or arrays of the given fragments."""
+    """The sets of the classes in sigs, and of a few others: whole and packed, or arrays of the given fragments."""
     wanted = table.sparkSession.sparkContext.broadcast(bitmap(sigs, "sig"))
     shift = np.uint64(HASH_BITS - FRAGMENTS.bit_length() + 1)
 
@@ -163,8 +164,8 @@ def _chosen_sets(table: DataFrame, sigs: DataFrame, fragments: range | None) ->
 
     source = table.select("sig", "n", "grams")
     if fragments is None:
-        found = source.mapInArrow(run, source.schema).groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-        return found.join(sigs.select("sig").distinct(), "sig", "left_semi")
+        found = source.mapInArrow(run, source.schema)
+        return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     found = source.mapInArrow(run, "sig bigint, fragment int, part array<bigint>")
     return found.groupBy("sig", "fragment").agg(F.first("part").alias("part"))
 
@@ -214,26 +215,37 @@ def _block_links(numerator: int, denominator: int):
 
 
 def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links between classes that meet in a short list: (a, b)."""
+    """Links between classes that meet in a short list: (a, b).
+
+    A link's sets differ in at most total - 2 ceil(numerator total / (numerator + denominator)) n-grams. Up to the
+    last prefix n-gram that two classes share, they differ in all but the shared ones, and those are the lists they meet
+    in; so pairs that differ too much there go before any set is looked at. Classes with an entry in a long list, which
+    isn't counted here, are excepted.
+    """
+    allowed = F.expr(f"total - 2 * ceil({numerator} * total / {numerator + denominator}BD)")
     pairs = (
-        lists.groupBy("gram")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("m"))
+        lists.filter(F.col("length") <= LONG_LIST)
+        .groupBy("gram")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "sig", "rank"))).alias("m"))
         .select(
             F.explode(
                 F.expr(
                     f"""flatten(transform(sequence(1, size(m)), i -> transform(
                     filter(slice(m, i + 1, size(m)), y -> y.n * {numerator} <= m[i - 1].n * {denominator}),
-                    y -> struct(m[i - 1].sig as x, m[i - 1].n as nx, y.sig as y, y.n as ny))))"""
+                    y -> struct(m[i - 1].sig as x, y.sig as y, m[i - 1].n + y.n as total,
+                                m[i - 1].rank + y.rank + 2 as reach))))"""
                 )
             ).alias("p")
         )
-        .select(
-            F.least("p.x", "p.y").alias("a"),
-            F.greatest("p.x", "p.y").alias("b"),
-            (F.col("p.nx") + F.col("p.ny")).alias("total"),
-        )
-        .filter("a <> b")
-        .distinct()
+        .groupBy(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"), F.col("p.total").alias("total"))
+        .agg(F.max("p.reach").alias("reach"), F.count("*").alias("met"))
+    )
+    long = lists.filter(F.col("length") > LONG_LIST).select("sig").distinct()
+    pairs = (
+        pairs.join(long.select(F.col("sig").alias("a"), F.lit(True).alias("la")), "a", "left")
+        .join(long.select(F.col("sig").alias("b"), F.lit(True).alias("lb")), "b", "left")
+        .filter((F.col("reach") - 2 * F.col("met") <= allowed) | F.col("la").isNotNull() | F.col("lb").isNotNull())
+        .select("a", "b", "total")
     )
     pairs = shared_table(pairs, "pairs")
 
@@ -250,8 +262,6 @@ def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator:
         )
         return partial.groupBy("a", "b", "total").agg(F.sum("o").alias("overlap"), F.sum("s").alias("sizes"))
 
-    # the least overlap of a link is ceil(numerator * total / (numerator + denominator))
-    allowed = F.expr(f"total - 2 * ceil({numerator} * total / {numerator + denominator}BD)")
     first = shared_table(
         counted(pairs, range(1)).filter(F.col("sizes") - 2 * F.col("overlap") <= allowed), "first"
     ).withColumnRenamed("overlap", "before")
@@ -266,6 +276,7 @@ def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator:
 
 def _dense_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links between classes that meet in long lists, as forests of blocks: (a, b)."""
+    lists = lists.filter(F.col("length") > LONG_LIST)
     heads = lists.groupBy("gram").agg(F.min("sig").alias("b"))
     groups = shared_table(components(lists.join(heads, "gram").select(F.col("sig").alias("a"), "b")), "groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
@@ -320,8 +331,7 @@ def ngram_components(
     lists = shared_table(
         entries.withColumn("length", F.count("*").over(Window.partitionBy("gram"))).filter("length > 1"), "lists"
     )
-    links = _pair_links(full, lists.filter(F.col("length") <= LONG_LIST).drop("length"), numerator, denominator)
-    links = links.union(_dense_links(full, lists.filter(F.col("length") > LONG_LIST).drop("length"), numerator, denominator))
+    links = _pair_links(full, lists, numerator, denominator).union(_dense_links(full, lists, numerator, denominator))
     reached = components(links)
     joined = classes.join(reached, classes["sig"] == reached["node"]).select("sig", "least", "component")
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("head")), "component").select("sig", "head")
