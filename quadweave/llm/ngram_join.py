@@ -217,10 +217,10 @@ def _block_links(numerator: int, denominator: int):
 def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links between classes that meet in a short list: (a, b).
 
-    A link's sets differ in at most total - 2 ceil(numerator total / (numerator + denominator)) n-grams. Up to the
-    last prefix n-gram that two classes share, they differ in all but the shared ones, and those are the lists they meet
-    in; so pairs that differ too much there go before any set is looked at. Classes with an entry in a long list, which
-    isn't counted here, are excepted.
+    A link's sets differ in at most total - 2 ceil(numerator total / (numerator + denominator)) n-grams. Up to the end
+    of the prefix that ends first they share only what they meet in. That is the whole prefix of the one and, of the
+    other, its n-grams up to the last shared one at least; pairs that differ too much there go before any set is
+    looked at. Classes with an entry in a long list, which isn't counted here, are excepted.
     """
     allowed = F.expr(f"total - 2 * ceil({numerator} * total / {numerator + denominator}BD)")
     pairs = (
@@ -232,19 +232,21 @@ def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator:
                 F.expr(
                     f"""flatten(transform(sequence(1, size(m)), i -> transform(
                     filter(slice(m, i + 1, size(m)), y -> y.n * {numerator} <= m[i - 1].n * {denominator}),
-                    y -> struct(m[i - 1].sig as x, y.sig as y, m[i - 1].n + y.n as total,
-                                m[i - 1].rank + y.rank + 2 as reach))))"""
+                    y -> struct(m[i - 1] as x, y as y))))"""
                 )
             ).alias("p")
         )
-        .groupBy(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"), F.col("p.total").alias("total"))
-        .agg(F.max("p.reach").alias("reach"), F.count("*").alias("met"))
+        .groupBy(F.col("p.x.sig").alias("a"), F.col("p.y.sig").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
+        .agg(F.max("p.x.rank").alias("ra"), F.max("p.y.rank").alias("rb"), F.count("*").alias("met"))
+        .withColumn("total", F.col("na") + F.col("nb"))
     )
+    prefix = f"{{0}} - ceil({{0}} * {numerator} / {denominator}BD) + 1"
+    apart = F.expr(f"least({prefix.format('na')} + rb + 1, {prefix.format('nb')} + ra + 1) - 2 * met")
     long = lists.filter(F.col("length") > LONG_LIST).select("sig").distinct()
     pairs = (
         pairs.join(long.select(F.col("sig").alias("a"), F.lit(True).alias("la")), "a", "left")
         .join(long.select(F.col("sig").alias("b"), F.lit(True).alias("lb")), "b", "left")
-        .filter((F.col("reach") - 2 * F.col("met") <= allowed) | F.col("la").isNotNull() | F.col("lb").isNotNull())
+        .filter((apart <= allowed) | F.col("la").isNotNull() | F.col("lb").isNotNull())
         .select("a", "b", "total")
     )
     pairs = shared_table(pairs, "pairs")
