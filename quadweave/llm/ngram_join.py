@@ -6,12 +6,12 @@ that order where needed:
 1. *Classes.* Documents with equal sets are one class; only classes are joined.
 2. *Prefix fragment.* Two sets with similarity t share an n-gram among the first n - ceil(t n) + 1 of each, in any
    fixed order. Counts of all n-grams in hash-ordered prefixes say which are frequent; those go last.
-3. *Short lists* of classes that share a prefix n-gram give candidate pairs. *Fragments* of the hash order count
-   partial overlaps; the first drops pairs whose difference there exceeds the whole difference allowed, the
-   others are counted separately and summed per pair.
-4. *Long lists* (near copies of one text) give no pairs. Classes connected by them are dealt to blocks, every two
-   blocks meet in one task, overlaps are counted fragment by fragment as products of 0/1 matrices, and a spanning
-   forest of the links leaves the task.
+3. *Short lists* of classes that share a prefix n-gram are counted per pair: partial overlaps of the prefix fragment.
+   A pair that differs there more than a link may differ altogether goes. *Long lists* (near copies of one text)
+   give no pairs.
+4. Classes connected by remaining pairs or long lists are dealt to blocks and every two blocks of a group meet in one
+   task. The rest of the order is cut into fragments of n-grams; each fragment's overlaps are counted separately, as
+   products of 0/1 matrices, and summed per pair. A spanning forest of the links leaves the task.
 5. Connected components of the links.
 
 No list, pair or candidate is dropped. Frequent n-grams are kept as a bitmap of fixed size; false positives only
@@ -28,16 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadweave.llm.common import bitmap, components, in_bitmap, shared_table
+from quadweave.llm.common import bitmap, broadcast_if_small, components, in_bitmap, shared_table
 from quadweave.llm.tokens import HASH_BITS, mixed, pieces
 
 #: Lists of at most this many classes give pairs, longer ones blocks.
 LONG_LIST = 32
 #: Classes in a block; a task compares two blocks.
 BLOCK_CLASSES = 384
-#: Fragments of the hash order, a power of two.
-FRAGMENTS = 8
-#: Columns of a 0/1 matrix at a time.
+#: n-grams in a fragment (columns of a 0/1 matrix).
 COLUMNS = 4096
 #: Rows of packed sets that a task unpacks at a time.
 SETS_AT_A_TIME = 1024
@@ -134,42 +132,6 @@ def _ordered_prefixes(table: DataFrame, numerator: int, denominator: int, freque
     return _over_sets(table, run, "gram bigint, sig bigint, n bigint, rank int, copied boolean")
 
 
-def _chosen_sets(table: DataFrame, sigs: DataFrame, fragments: range | None) -> DataFrame:
-    """The sets of the classes in sigs, and of a few others: whole and packed, or arrays of the given fragments."""
-    wanted = table.sparkSession.sparkContext.broadcast(bitmap(sigs, "sig"))
-    shift = np.uint64(HASH_BITS - FRAGMENTS.bit_length() + 1)
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            sig = batch.column(0).to_numpy()
-            for i in np.flatnonzero(in_bitmap(wanted.value, sig)):
-                if sig[i] in seen:
-                    continue
-                seen.add(int(sig[i]))
-                row = batch.slice(int(i), 1)
-                if fragments is None:
-                    yield row
-                    continue
-                values, _ = _sets(row.column(2))
-                cuts = np.searchsorted(values >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(sig[i])] * len(fragments), pa.int64()),
-                        pa.array(list(fragments), pa.int32()),
-                        pa.array([values[cuts[f] : cuts[f + 1]].view(np.int64) for f in fragments], pa.list_(pa.int64())),
-                    ],
-                    ["sig", "fragment", "part"],
-                )
-
-    source = table.select("sig", "n", "grams")
-    if fragments is None:
-        found = source.mapInArrow(run, source.schema)
-        return found.groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    found = source.mapInArrow(run, "sig bigint, fragment int, part array<bigint>")
-    return found.groupBy("sig", "fragment").agg(F.first("part").alias("part"))
-
-
 def _block_links(numerator: int, denominator: int):
     def forest(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("sig").sort_values("sig", ignore_index=True)
@@ -214,15 +176,21 @@ def _block_links(numerator: int, denominator: int):
     return forest
 
 
-def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links between classes that meet in a short list: (a, b).
+def _long_groups(lists: DataFrame) -> DataFrame:
+    """(node, component): classes connected by lists of more than LONG_LIST classes."""
+    lists = lists.filter(F.col("length") > LONG_LIST)
+    heads = lists.groupBy("gram").agg(F.min("sig").alias("b"))
+    return components(lists.join(heads, "gram").select(F.col("sig").alias("a"), "b"))
+
+
+def _pairs(lists: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b): classes that meet in short lists, are in no common group and may link by their counts in the prefix.
 
     A link's sets differ in at most total - 2 ceil(numerator total / (numerator + denominator)) n-grams. Up to the end
-    of the prefix that ends first they share only what they meet in. That is the whole prefix of the one and, of the
-    other, its n-grams up to the last shared one at least; pairs that differ too much there go before any set is
-    looked at. Classes with an entry in a long list, which isn't counted here, are excepted.
+    of the prefix that ends first, they share only what they meet in. That is the whole prefix of the one and, of the
+    other, its n-grams up to the last shared one at least. (Classes that also meet in a long list, which isn't counted
+    here, are in one group.)
     """
-    allowed = F.expr(f"total - 2 * ceil({numerator} * total / {numerator + denominator}BD)")
     pairs = (
         lists.filter(F.col("length") <= LONG_LIST)
         .groupBy("gram")
@@ -238,67 +206,45 @@ def _pair_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator:
         )
         .groupBy(F.col("p.x.sig").alias("a"), F.col("p.y.sig").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
         .agg(F.max("p.x.rank").alias("ra"), F.max("p.y.rank").alias("rb"), F.count("*").alias("met"))
-        .withColumn("total", F.col("na") + F.col("nb"))
     )
     prefix = f"{{0}} - ceil({{0}} * {numerator} / {denominator}BD) + 1"
     apart = F.expr(f"least({prefix.format('na')} + rb + 1, {prefix.format('nb')} + ra + 1) - 2 * met")
-    long = lists.filter(F.col("length") > LONG_LIST).select("sig").distinct()
-    pairs = (
-        pairs.join(long.select(F.col("sig").alias("a"), F.lit(True).alias("la")), "a", "left")
-        .join(long.select(F.col("sig").alias("b"), F.lit(True).alias("lb")), "b", "left")
-        .filter((apart <= allowed) | F.col("la").isNotNull() | F.col("lb").isNotNull())
-        .select("a", "b", "total")
-    )
-    pairs = shared_table(pairs, "pairs")
-
-    def counted(pairs: DataFrame, fragments: range) -> DataFrame:
-        """Each pair's overlap and sizes summed over the fragments."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        parts = shared_table(_chosen_sets(sets, needed, fragments), "fragments")
-        left = parts.select(F.col("sig").alias("a"), "fragment", F.col("part").alias("l"))
-        right = parts.select(F.col("sig").alias("b"), "fragment", F.col("part").alias("r"))
-        partial = (
-            pairs.join(left, "a")
-            .join(right, ["b", "fragment"])
-            .select("a", "b", "total", F.size(F.array_intersect("l", "r")).alias("o"), (F.size("l") + F.size("r")).alias("s"))
-        )
-        return partial.groupBy("a", "b", "total").agg(F.sum("o").alias("overlap"), F.sum("s").alias("sizes"))
-
-    first = shared_table(
-        counted(pairs, range(1)).filter(F.col("sizes") - 2 * F.col("overlap") <= allowed), "first"
-    ).withColumnRenamed("overlap", "before")
-    rest = counted(first.select("a", "b", "total"), range(1, FRAGMENTS))
+    allowed = F.expr(f"na + nb - 2 * ceil({numerator} * (na + nb) / {numerator + denominator}BD)")
     return (
-        first.drop("sizes")
-        .join(rest, ["a", "b", "total"])
-        .filter((F.col("before") + F.col("overlap")) * (numerator + denominator) >= numerator * F.col("total"))
+        pairs.filter(apart <= allowed)
+        .join(groups.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left")
+        .join(groups.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
+        .filter("ga IS NULL OR gb IS NULL OR ga <> gb")
         .select("a", "b")
     )
 
 
-def _dense_links(sets: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links between classes that meet in long lists, as forests of blocks: (a, b)."""
-    lists = lists.filter(F.col("length") > LONG_LIST)
-    heads = lists.groupBy("gram").agg(F.min("sig").alias("b"))
-    groups = shared_table(components(lists.join(heads, "gram").select(F.col("sig").alias("a"), "b")), "groups")
+def _links(sets: DataFrame, classes: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) between classes, as spanning forests of blocks."""
+    long = shared_table(_long_groups(lists), "long")
+    edges = _pairs(lists, long, numerator, denominator).union(long.select("node", "component"))
+    groups = components(edges)
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
-    chosen = _chosen_sets(sets, groups.select(F.col("node").alias("sig")), None)
-    dealt = (
+    dealt = shared_table(
         groups.withColumnRenamed("node", "sig")
         .join(sizes, "component")
         .withColumn("block", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
-        .join(chosen, "sig")
+        .join(classes.select("sig", "least"), "sig"),
+        "dealt",
+    )
+    blocks = (
+        sets.join(broadcast_if_small(dealt), (sets["sig"] == dealt["sig"]) & sets["id"].eqNullSafe(dealt["least"]))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
             "component",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
-            "sig",
+            sets["sig"],
             "n",
             "grams",
         )
     )
-    return dealt.groupBy("component", "i", "j").applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint")
+    return blocks.groupBy("component", "i", "j").applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint")
 
 
 def ngram_components(
@@ -333,8 +279,7 @@ def ngram_components(
     lists = shared_table(
         entries.withColumn("length", F.count("*").over(Window.partitionBy("gram"))).filter("length > 1"), "lists"
     )
-    links = _pair_links(full, lists, numerator, denominator).union(_dense_links(full, lists, numerator, denominator))
-    reached = components(links)
+    reached = components(_links(full, classes, lists, numerator, denominator))
     joined = classes.join(reached, classes["sig"] == reached["node"]).select("sig", "least", "component")
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("head")), "component").select("sig", "head")
     ids = classes.join(named, "sig", "left").select(
