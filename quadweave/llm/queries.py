@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from quadweave.llm.common import shared_table
 from quadweave.llm.decontaminate import benchmark_overlaps
+from quadweave.llm.fingerprint import edited_fingerprints
+from quadweave.llm.line_dedup import dedup_lines
 from quadweave.llm.mixing import mix_sources, word_count
 from quadweave.llm.ngram_join import ngram_components
 from quadweave.llm.quality import fit_quality, held_out, score
+from quadweave.llm.secrets import scan_secrets
 from quadweave.llm.sharding import shard_records
+from quadweave.llm.url_filter import url_verdicts
+from quadweave.llm.warc import archive_folder, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,12 +37,45 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The rules of the URL query.
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT d, max(page_id) AS first FROM p GROUP BY d)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform(range(0, 4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST((CAST('0x' || substr(p.d, CAST(5 * i + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * j AS INT)) & 31 AS INT) + 1, 1)), '')), '')
+        AS payload_digest,
+      CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM p JOIN f USING (d)
+    """
+)
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    archives = archive_folder(pages)
+    index = write_archives(pages, archives)
+    return read_records(index, archives).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query()
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item, and where."""
     return benchmark_overlaps(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "n_near", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
 @query()
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -45,6 +83,21 @@ def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return totals.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query()
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(read(spark, folder, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query()
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(read(spark, folder, "documents"))
+
+
+@query()
+def op7_document_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(read(spark, folder, "documents"))
+
+
 @query()
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
