@@ -27,13 +27,13 @@ def tree(text: Column) -> Column:
     def cut(x: Column, pattern: str) -> Column:
         return F.filter(F.split(x, pattern), lambda y: y != "")
 
-    def leaves(paragraph: Column) -> Column:
+    def cut_leaves(paragraph: Column) -> Column:
         return F.transform(
             F.regexp_extract_all(paragraph, F.lit(LEAF_PATTERN), F.lit(0)), lambda x: F.left(F.sha2(x, 256), F.lit(DIGITS))
         )
 
     text = F.coalesce(text, F.lit(""))
-    return F.transform(cut(text, SECTION_CUT), lambda s: F.transform(cut(s, PARAGRAPH_CUT), leaves))
+    return F.transform(cut(text, SECTION_CUT), lambda s: F.transform(cut(s, PARAGRAPH_CUT), cut_leaves))
 
 
 def root(nodes: Column) -> Column:
@@ -52,9 +52,13 @@ def fingerprint(nodes: Column) -> Column:
     return F.concat(root(nodes), F.lit(":"), F.array_join(inner, "|"))
 
 
+def leaves(nodes: Column) -> Column:
+    """Numbers that stand for the leaves of a tree."""
+    return F.transform(F.flatten(F.flatten(nodes)), lambda x: F.xxhash64(x))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared share of the distinct leaves of two trees, 0 to 1; two empty trees are alike."""
-    a, b = F.flatten(F.flatten(a)), F.flatten(F.flatten(b))
     both = F.size(F.array_intersect(a, b))
     every = F.size(F.array_union(a, b))
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
@@ -87,13 +91,17 @@ def neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
     return linked.join(after, "to").drop("at", "to")
 
 
+def _key(column: str) -> list[Column]:
+    return [F.coalesce(F.col(column), F.lit(0)).alias("_id"), F.col(column).isNull().alias("_null")]
+
+
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last third of the text (floor of its code points) replaced by as many of the next document,
     or all. Documents follow each other by descending id, nulls last, then by a hash of the text; after the last comes
     the first. Rows that are equal in id and text are one document in that order and give equal results. A null text is
-    empty. Other columns are ignored; an empty table gives no rows; a single document follows itself.
+    empty. Other columns are ignored; an empty table gives no rows; a single document follows itself. Ids are integers.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("n"), text.alias("text"))
@@ -109,18 +117,24 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         )
     )
     same = rows["id"].eqNullSafe(back["id"]) & (rows["hash"] == back["hash"])
+    # ids that may be null are compared as two columns, so that removing repeated rows and joining share a shuffle
     sent = (
         rows.join(back, same)
-        .select("to_id", "to_hash", F.substring("text", F.lit(1), F.col("k")).alias("head"), tree(F.col("text")).alias("next_tree"))
-        .dropDuplicates(["to_id", "to_hash"])
+        .select(
+            *_key("to_id"),
+            F.col("to_hash").alias("hash"),
+            F.substring("text", F.lit(1), F.col("k")).alias("head"),
+            leaves(tree(F.col("text"))).alias("next_leaves"),
+        )
+        .dropDuplicates(["_id", "_null", "hash"])
     )
     k = F.floor(F.col("n") / 3).cast("int")
-    joined = rows.join(sent, rows["id"].eqNullSafe(sent["to_id"]) & (rows["hash"] == sent["to_hash"])).select(
+    joined = rows.select("*", *_key("id")).join(sent, ["_id", "_null", "hash"]).select(
         "id",
         "n",
         F.concat(F.substring("text", F.lit(1), F.col("n") - k), "head").alias("edited"),
         tree(F.col("text")).alias("own"),
-        "next_tree",
+        "next_leaves",
     )
     grown = joined.withColumn("edited_tree", tree(F.col("edited")))
     return grown.select(
@@ -129,6 +143,6 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_tree")).alias("near_next"),
+        likeness(leaves(F.col("own")), leaves(F.col("edited_tree"))).alias("near_edited"),
+        likeness(leaves(F.col("own")), F.col("next_leaves")).alias("near_next"),
     )
