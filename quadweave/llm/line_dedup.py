@@ -9,11 +9,14 @@ banded edit distance. Lines connected by verified pairs are one class; the first
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadweave.llm.common import broadcast_if_small, components, shared_table
 
+#: Letters that are counted to tell lines apart before their texts are compared.
+LETTERS = "eant"
+
 
 def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, size) of the edits + 1 segments of a line of that length; the last ones are one longer."""
@@ -53,7 +56,22 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
                     f"struct(xxhash64({other}, {i}, substring(line, {start} + {shift} + 1, {size})) as key, false as files), null)"
                 )
     keys = F.explode(F.expr(f"filter(array({', '.join(entries)}), x -> x IS NOT NULL)")).alias("x")
-    return lines.select("h", keys).select("h", "x.key", "x.files")
+    return lines.select("h", "letters", keys).select("h", "letters", "x.key", "x.files")
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS occurs, 16 bits each (as many as fit)."""
+    out = F.lit(0).cast("bigint")
+    for letter in LETTERS:
+        count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
+        out = F.shiftleft(out, 16).bitwiseOR(F.least(count, F.lit(0xFFFF)))
+    return out
+
+
+def letters_apart(x: str, y: str) -> str:
+    """SQL of the sum of differences of two letter counts. An edit changes two counts by one at most."""
+    field = "(shiftrightunsigned({0}, {1}) & 65535)"
+    return " + ".join(f"abs({field.format(x, 16 * i)} - {field.format(y, 16 * i)})" for i in range(len(LETTERS)))
 
 
 def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, least_chars: int) -> DataFrame:
@@ -63,16 +81,17 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     ).filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
     lines = cut.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.length("line").alias("length"))
     where = shared_table(lines.select("id", "line_no", "h"), "lines")
-    long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select("h", "line", "length")
-    keys = segment_keys(long, edits).groupBy("key", "h").agg(F.max("files").alias("files"), F.min("files").alias("only"))
-    keys = shared_table(keys.withColumn("probes", ~F.col("only")).drop("only"), "segments")
-    met = keys.filter("files").groupBy("key").agg(F.count("*").alias("filed"), F.min("h").alias("head"))
-    crowd = keys.join(met, "key").filter("filed > 1 OR NOT files")
+    long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select(
+        "h", "line", "length", letter_counts(F.col("line")).alias("letters")
+    )
+    keys = segment_keys(long, edits).groupBy("key", "h", "letters").agg(F.max("files").alias("files"))
+    keys = shared_table(keys, "segments")
     # every probe, and every filed line for lines of its own length, against the filed ones
+    probes = keys.select("key", F.col("h").alias("x"), F.col("letters").alias("lx"))
+    filed = keys.filter("files").select("key", F.col("h").alias("y"), F.col("letters").alias("ly"))
+    apart = F.expr(letters_apart("lx", "ly"))
     pairs = (
-        crowd.select("key", F.col("h").alias("x"))
-        .join(keys.filter("files").select("key", F.col("h").alias("y")), "key")
-        .filter("x <> y")
+        probes.join(filed, (probes["key"] == filed["key"]) & (F.col("x") != F.col("y")) & (apart <= 2 * edits))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
