@@ -21,6 +21,8 @@ coincide with a chance of about n*m / 2**48.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql.window import Window
 from quadweave.llm.common import bitmap, broadcast_if_small, components, in_bitmap, shared_table
 from quadweave.llm.tokens import HASH_BITS, mixed, pieces
 
+#: n-grams in more prefixes than this go last in the order.
+FREQUENT = 16
 #: Lists of at most this many classes give pairs, longer ones blocks.
 LONG_LIST = 32
 #: Classes in a block; a task compares two blocks.
@@ -105,9 +109,11 @@ def _over_sets(table: DataFrame, function, schema: str) -> DataFrame:
 
 
 def _hash_prefixes(table: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """n-grams of half as much again as each prefix in hash order: what may move up into the prefix counts as well."""
+
     def run(sig, n, values, bounds):
         rank = np.arange(len(values)) - np.repeat(bounds[:-1], n)
-        kept = values[rank < np.repeat(_prefix_sizes(n, numerator, denominator), n)]
+        kept = values[rank < np.repeat(_prefix_sizes(n, numerator, denominator) * 3 // 2, n)]
         return [pa.array(kept.view(np.int64))]
 
     return _over_sets(table, run, "gram bigint")
@@ -224,12 +230,20 @@ def _links(sets: DataFrame, classes: DataFrame, lists: DataFrame, numerator: int
     long = shared_table(_long_groups(lists), "long")
     edges = _pairs(lists, long, numerator, denominator).union(long.select("node", "component"))
     groups = components(edges)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("blocks"))
+    members = shared_table(
+        groups.withColumnRenamed("node", "sig").join(classes.select("sig", "least", "n"), "sig"), "members"
+    )
+    # large groups are cut by size of set: sizes of linked sets differ by one band at most, so each goes to two
+    large = members.groupBy("component").count().filter(F.col("count") > BLOCK_CLASSES).select("component", F.lit(True).alias("large"))
+    band = F.floor(F.log("n") / math.log(denominator / numerator) + 1e-9).cast("int")
+    units = members.join(large, "component", "left").withColumn(
+        "band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0))))
+    )
+    sizes = units.groupBy("component", "band").agg(F.count("*").alias("n_unit")).filter("n_unit > 1")
     dealt = shared_table(
-        groups.withColumnRenamed("node", "sig")
-        .join(sizes, "component")
-        .withColumn("block", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
-        .join(classes.select("sig", "least"), "sig"),
+        units.join(sizes, ["component", "band"])
+        .withColumn("blocks", F.ceil(F.col("n_unit") / BLOCK_CLASSES).cast("int"))
+        .select("component", "band", "sig", "least", "blocks", F.expr("cast(pmod(xxhash64(sig), blocks) as int)").alias("block")),
         "dealt",
     )
     blocks = (
@@ -237,6 +251,7 @@ def _links(sets: DataFrame, classes: DataFrame, lists: DataFrame, numerator: int
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
             "component",
+            "band",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
             sets["sig"],
@@ -244,7 +259,7 @@ def _links(sets: DataFrame, classes: DataFrame, lists: DataFrame, numerator: int
             "grams",
         )
     )
-    return blocks.groupBy("component", "i", "j").applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint")
+    return blocks.groupBy("component", "band", "i", "j").applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint")
 
 
 def ngram_components(
@@ -269,9 +284,9 @@ def ngram_components(
     sets = shared_table(shingle_sets(docs, id_col, text_col, words, lower), "sets")
     full = sets.filter("n > 0")
     classes = shared_table(
-        full.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "classes"
+        full.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
     )
-    counts = _hash_prefixes(full, numerator, denominator).groupBy("gram").count().filter(F.col("count") > LONG_LIST)
+    counts = _hash_prefixes(full, numerator, denominator).groupBy("gram").count().filter(F.col("count") > FREQUENT)
     frequent = spark.sparkContext.broadcast(bitmap(counts, "gram"))
     copied = spark.sparkContext.broadcast(bitmap(classes.filter("copies > 1"), "sig"))
     entries = _ordered_prefixes(full, numerator, denominator, frequent, copied)
