@@ -24,7 +24,8 @@ CHARS = 4
 
 
 def _buckets(values: np.ndarray, kind: int) -> np.ndarray:
-    return (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + (kind << BUCKET_BITS)
+    bits = values.dtype.itemsize * 8
+    return (values >> values.dtype.type(bits - BUCKET_BITS)).astype(np.int32) + np.int32(kind << BUCKET_BITS)
 
 
 def features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -39,10 +40,11 @@ def features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     out.append((_buckets(pair, 1), np.searchsorted(second, bounds)))
     data, offsets = texts.data, texts.offsets
     count = max(0, len(data) - CHARS + 1)
-    run = np.zeros(count, dtype=np.uint64)
+    run = np.zeros(count, dtype=np.uint32)
     for j in range(CHARS):
-        run = (run << np.uint64(8)) | data[j : j + count]
-    run *= np.uint64(0x9E3779B97F4A7C15)
+        run <<= np.uint32(8)
+        run |= data[j : j + count]
+    run *= np.uint32(0x9E3779B1)
     inside = np.ones(count, dtype=bool)
     for cut in range(1, CHARS):  # a run may not reach over the end of its row
         at = offsets[1:] - cut

@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 #: Bytes that are hashed at a time; also the size of the tables of powers.
 BLOCK = 1 << 17
 #: Texts are taken this many bytes at a time, a longer one alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: A row number and a shingle's hash share 64 bits, so that one sort orders both.
 HASH_BITS = 48
 MOST_ROWS = 1 << 15
