@@ -24,7 +24,7 @@ GOLDEN = 0.6180339887498949
 #: Slots that are ranked together.
 SLOT_CHUNK = 1 << 16
 #: Documents of a source whose places are summed together, about.
-LANE_ROWS = 20_000
+LANE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
