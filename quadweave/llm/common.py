@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1 << 20
 #: log2 of the bits in a bitmap that is sent to every task (4 MB, whatever the data).
 BITMAP_BITS = 25
+ARROW_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -20,10 +22,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession):
+    """While a job runs: at most ARROW_ROWS rows, which may be whole texts or sets, in a batch between JVM and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, ARROW_ROWS) if before > 0 else ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_table(frame: DataFrame, purpose: str) -> DataFrame:
     """Write once, read many times: cuts the lineage, and lost executors don't lose it."""
     path = shared_folder(frame.sparkSession, purpose)
-    frame.write.parquet(path)
+    with short_batches(frame.sparkSession):
+        frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -43,8 +58,9 @@ def bitmap(frame: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray
         .select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
     )
+    with short_batches(frame.sparkSession):
+        words = words.toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out

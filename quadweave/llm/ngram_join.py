@@ -42,7 +42,7 @@ BLOCK_CLASSES = 384
 #: n-grams in a fragment (columns of a 0/1 matrix).
 COLUMNS = 4096
 #: Rows of packed sets that a task unpacks at a time.
-SETS_AT_A_TIME = 1024
+SETS_AT_A_TIME = 256
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
