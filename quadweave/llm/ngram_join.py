@@ -38,9 +38,9 @@ FREQUENT = 16
 #: Lists of at most this many classes give pairs, longer ones blocks.
 LONG_LIST = 32
 #: Classes in a block; a task compares two blocks.
-BLOCK_CLASSES = 384
+BLOCK_CLASSES = 256
 #: n-grams in a fragment (columns of a 0/1 matrix).
-COLUMNS = 4096
+COLUMNS = 1024
 #: Rows of packed sets that a task unpacks at a time.
 SETS_AT_A_TIME = 256
 
@@ -88,6 +88,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, lower:
                     ],
                     ["id", "n", "sig", "grams"],
                 )
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, sig bigint, grams binary")
@@ -104,6 +105,7 @@ def _over_sets(table: DataFrame, function, schema: str) -> DataFrame:
                 columns = function(part.column(0).to_numpy(), part.column(1).to_numpy(), values, bounds)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+            pa.default_memory_pool().release_unused()
 
     return table.select("sig", "n", "grams").mapInArrow(run, schema)
 

@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 value = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names)
+            pa.default_memory_pool().release_unused()
 
     names = [*docs.columns, name]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
