@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quadweave.llm.tokens import Texts, mixed, pieces
 
@@ -133,27 +132,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the probability of label 1 as a further column (null texts count as empty; replaces a column of that name)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.margins, model.bias))
-    if text_col != name:
-        docs = docs.drop(name)
-    at = docs.columns.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def chance(column: pa.Array) -> pa.Array:
         margins, bias = sent.value
-        for batch in batches:
-            for first, end, texts in pieces(batch.column(at)):
-                total, count = np.zeros(texts.rows), np.zeros(texts.rows)
-                for buckets, bounds in features(texts):
-                    sums = np.concatenate([[0.0], np.cumsum(margins[buckets], dtype=np.float64)])
-                    total += sums[bounds[1:]] - sums[bounds[:-1]]
-                    count += np.diff(bounds)
-                margin = total / np.maximum(count, 1) + bias
-                value = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-                part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names)
-            pa.default_memory_pool().release_unused()
-
-    names = [*docs.columns, name]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+        out = np.full(len(column), bias)
+        for first, end, texts in pieces(column):
+            total, count = np.zeros(texts.rows), np.zeros(texts.rows)
+            for buckets, bounds in features(texts):
+                sums = np.concatenate([[0.0], np.cumsum(margins[buckets], dtype=np.float64)])
+                total += sums[bounds[1:]] - sums[bounds[:-1]]
+                count += np.diff(bounds)
+            out[first:end] += total / np.maximum(count, 1)
+        pa.default_memory_pool().release_unused()
+        return pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
+
+    return docs.withColumn(name, chance(F.col(text_col)))
 
 
 def held_out(id_col: str | Column, folds: int = 5) -> Column:

@@ -269,7 +269,7 @@ def test_quality_on_the_held_out_fold(spark, odd):
     scored = score(docs, model).filter(held_out("doc_id")).join(labels, "doc_id").select("score", "quality").toPandas()
     assert ((scored["score"] >= 0.3) == (scored["quality"] == 1)).mean() > 0.95
     more = score(odd, model)
-    assert more.columns == [c for c in odd.columns if c != "score"] + ["score"]
+    assert more.columns == odd.columns
     assert more.filter("score BETWEEN 0 AND 1").count() == odd.count()
     none = fit_quality(docs.limit(0), labels)
     assert {r.score for r in score(odd, none).collect()} == {0.5} and score(odd.limit(0), model).count() == 0
