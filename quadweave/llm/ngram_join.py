@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadweave.llm.common import bitmap, broadcast_if_small, components, in_bitmap, shared_table
-from quadweave.llm.tokens import HASH_BITS, mixed, pieces
+from quadweave.llm.tokens import HASH_BITS, give_back, mixed, pieces
 
 #: n-grams in more prefixes than this go last in the order.
 FREQUENT = 16
@@ -88,7 +88,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, lower:
                     ],
                     ["id", "n", "sig", "grams"],
                 )
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, sig bigint, grams binary")
@@ -105,7 +105,7 @@ def _over_sets(table: DataFrame, function, schema: str) -> DataFrame:
                 columns = function(part.column(0).to_numpy(), part.column(1).to_numpy(), values, bounds)
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return table.select("sig", "n", "grams").mapInArrow(run, schema)
 
@@ -178,6 +178,7 @@ def _block_links(numerator: int, denominator: int):
                     parent[b] = a
                     out.append((i, j))
         sig = frame["sig"].to_numpy()
+        give_back()
         i, j = np.array(out, dtype=np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": sig[i], "b": sig[j]})
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadweave.llm.tokens import Texts, mixed, pieces
+from quadweave.llm.tokens import Texts, give_back, mixed, pieces
 
 #: log2 of the buckets of each kind of feature.
 BUCKET_BITS = 17
@@ -120,6 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                     ],
                     ["label", "buckets", "counts"],
                 )
+            give_back()
 
     joined = texts.join(F.broadcast(chosen), "id").select("label", "text")
     table = joined.mapInArrow(run, "label int, buckets binary, counts binary").toArrow().sort_by([("buckets", "ascending")])
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 total += sums[bounds[1:]] - sums[bounds[:-1]]
                 count += np.diff(bounds)
             out[first:end] += total / np.maximum(count, 1)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
     return docs.withColumn(name, chance(F.col(text_col)))

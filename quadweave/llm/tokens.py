@@ -6,6 +6,7 @@ code points. A word's hash is a polynomial over its bytes modulo 2**64, taken fr
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory of a task to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mixed_int(x: int) -> int:
     return int(mixed(np.array([x & _MASK], dtype=np.uint64))[0])
 
