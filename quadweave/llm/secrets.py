@@ -121,7 +121,12 @@ def scan_secrets(
         )
         .select("key", _joined(F.col("kept")).alias("spans"), "n_live", "n_example")
     )
-    return rows.join(looked, "key", "left").select(
+    # rows without candidates have no key; they would meet in one task
+    none = rows.filter("key IS NULL").withColumns(
+        {"spans": F.lit(""), "n_live": F.lit(0).cast("bigint"), "n_example": F.lit(0).cast("bigint")}
+    )
+    joined = rows.filter("key IS NOT NULL").join(looked, "key", "left").unionByName(none)
+    return joined.select(
         F.col("id").alias(id_col),
         *(f"n_{kind.name}" for kind in KINDS if kind.base),
         "base_sha256",
