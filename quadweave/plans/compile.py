@@ -415,6 +415,9 @@ class Compiler:
     def _subject_is_function_of_keys(self, subject: TermMap, by_key, child_scope, parent_scope) -> bool:
         if subject.kind not in ("template", "reference"):
             return False
+        # one of several values that match says nothing about the others
+        if any(child_scope[mine].multi or parent_scope[theirs].multi for theirs, mine in by_key.items()):
+            return False
         for name in subject.references():
             if name not in by_key:
                 return False

@@ -244,3 +244,14 @@ def test_iris_that_meet_at_the_base_are_one(spark):
     frame = frame.withColumn("k", F.lit(1))
     both = Mapping.of(child, triples_map("p", table("t"), ref("u", term_type="iri")))
     assert both.run(spark, {"t": frame}).count() == 3 * 2
+
+
+def test_parent_join_on_a_key_with_several_values(spark):
+    child = spark.createDataFrame([(1, ["a", "b"])], "id int, ks array<string>")
+    owner = spark.createDataFrame([("a",), ("c",)], "k string")
+    mapping = Mapping.of(
+        triples_map("owner", table("owner"), template("p/{k}"), classes="http://example.org/P"),
+        triples_map("child", table("child"), template("c/{id}")).add("http://example.org/in", parent("owner", ("ks", "k"))),
+    )
+    rows = mapping.run(spark, {"owner": owner, "child": child}).where("p = 'http://example.org/in'").collect()
+    assert [r.o.rsplit("/", 2)[-2:] for r in rows] == [["p", "a"]]
