@@ -185,7 +185,7 @@ def read_json(
         if not isinstance(dtype, T.StructType):
             frame = spark.read.text(path, wholetext=not lines)
             return expand_json(frame, "value", iterator, references, types)
-    reader = spark.read.schema(dtype).options(multiLine=not lines, primitivesAsString=True, **options)
+    reader = spark.read.schema(dtype).options(multiLine=not lines, primitivesAsString=True, **{"mode": "FAILFAST", **options})
     frame = reader.json(path)
     frame = frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("_json"))
     return _references(_iterate(frame, "_json", steps), "_json", [], paths, references, types)

@@ -77,7 +77,8 @@ def read_csv(spark: SparkSession, path: str, options: dict[str, object] | None =
 
     Quoted line breaks are legal, so files are read whole per task by default; ``multi_line=False``
     lets Spark split large files that have none. An empty field is an empty text, unless
-    ``null_value`` names the text that stands for a missing value.
+    ``null_value`` names the text that stands for a missing value. A row with too few or too many
+    fields is an error, unless the option ``mode`` says otherwise.
     """
     options = dict(options or {})
     null_value = options.pop("null_value", None)
@@ -90,6 +91,7 @@ def read_csv(spark: SparkSession, path: str, options: dict[str, object] | None =
         multiLine=multi_line,
         nullValue="\u0000" if null_value is None else null_value,
         emptyValue="",
+        mode="FAILFAST",
     ).options(**options)
     frame = reader.csv(path)
     if null_value is None:

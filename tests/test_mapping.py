@@ -421,3 +421,12 @@ def test_self_join_on_a_key_needs_the_key(spark):
         triples_map("p", source, template("p/{name}")),
     )
     assert objects(mapping.run(spark, {"t": frame})) == [BASE + "p/a"]
+
+
+@pytest.mark.parametrize("name, text", [("x.csv", "a,b\n1,2\n3\n"), ("x.json", '{"a": 1}\n{"a": \n{"a": 3}\n')])
+def test_broken_files_are_errors(spark, tmp_path, name, text):
+    (tmp_path / name).write_text(text)
+    source = csv_source(name) if name.endswith("csv") else json_source(name, "$", lines=True)
+    mapping = Mapping.of(triples_map("m", source, template("x/{a}"), classes=V + "C"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        mapping.run(spark, root=str(tmp_path)).collect()
