@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,12 @@ def features(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest needs; the reader tells the width from the length."""
+    width = np.min_scalar_type(int(counts.max(initial=0))).itemsize
+    return counts.astype(f"<u{width}")
+
+
 def _rows(found: list[tuple[np.ndarray, np.ndarray]], row: int) -> np.ndarray:
     return np.concatenate([buckets[bounds[row] : bounds[row + 1]] for buckets, bounds in found])
 
@@ -68,7 +75,9 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int,
     """rows: label, feature buckets and how often each occurs."""
     rng = np.random.default_rng(7)
     size = 3 << BUCKET_BITS
-    vectors = rng.uniform(-1, 1, (dim, size)).astype(np.float32) / dim
+    vectors = np.empty((dim, size), dtype=np.float32)
+    for k in range(dim):
+        vectors[k] = rng.uniform(-1, 1, size) / dim
     output, bias = np.zeros((dim, 2)), np.zeros(2)
     rows = [row for row in rows if len(row[1])]
     steps, total = 0, max(1, epochs * -(-len(rows) // batch))
@@ -92,8 +101,8 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int,
             for k in range(dim):
                 np.add.at(vectors[k], index, (-step * back[:, k].astype(np.float32))[owner] * weight)
             steps += 1
-    margins = (output[:, 1] - output[:, 0]) @ vectors
-    return Model(margins.astype(np.float32), float(bias[1] - bias[0]))
+    margins = (output[:, 1] - output[:, 0]).astype(np.float32) @ vectors
+    return Model(margins, float(bias[1] - bias[0]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int):
@@ -116,18 +125,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                     [
                         batch.column(0).slice(first, end - first),
                         pa.array([x[0].astype("<i4").tobytes() for x in unique], pa.binary()),
-                        pa.array([x[1].astype("<f4").tobytes() for x in unique], pa.binary()),
+                        pa.array([_narrow(x[1]).tobytes() for x in unique], pa.binary()),
                     ],
                     ["label", "buckets", "counts"],
                 )
             give_back()
 
     joined = texts.join(F.broadcast(chosen), "id").select("label", "text")
-    table = joined.mapInArrow(run, "label int, buckets binary, counts binary").toArrow().sort_by([("buckets", "ascending")])
-    return [
-        (label, np.frombuffer(buckets, "<i4"), np.frombuffer(counts, "<f4"))
-        for label, buckets, counts in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True)
-    ]
+    table = joined.mapInArrow(run, "label int, buckets binary, counts binary").toArrow()
+    order = pc.sort_indices(table, sort_keys=[("buckets", "ascending"), ("label", "ascending")])
+    label, buckets, counts = table.columns
+    out = []
+    for i in order.to_pylist():  # views of what arrived, no copies
+        found = np.frombuffer(buckets[i].as_buffer(), "<i4")
+        often = counts[i].as_buffer()
+        out.append((label[i].as_py(), found, np.frombuffer(often, f"<u{often.size // max(1, len(found)) or 1}")))
+    return out
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -174,4 +187,6 @@ def fit_quality(
     Labels other than 0 and 1, and null ids, are left out; of several labels of an id the largest counts, and
     repeated documents count as often as they come. Without labelled rows every score is 0.5.
     """
-    return train(training_rows(docs, labels, id_col, text_col, label_col, sample_rows), dim, epochs, rate, batch)
+    model = train(training_rows(docs, labels, id_col, text_col, label_col, sample_rows), dim, epochs, rate, batch)
+    give_back()
+    return model
