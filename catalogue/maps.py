@@ -291,10 +291,10 @@ def function_map(spark, folder):
 # --- sources -----------------------------------------------------------------------------------
 
 
-@query(st(iri("car-make/{}", "p_brand").replace("CAST(p_brand AS VARCHAR)", "url_encode(p_brand)"), f"'{TYPE}'", v("Make"), "part", o_kind="iri"))
+@query(st(iri("brand/{}", "p_brand").replace("CAST(p_brand AS VARCHAR)", "url_encode(p_brand)"), f"'{TYPE}'", v("Brand"), "part", o_kind="iri"))
 def bound_table_map(spark, folder):
     """The unnamed input, bound to a DataFrame at run time."""
-    item = triples_map("m", csv_source(None), template("car-make/{p_brand}"), classes=V + "Make")
+    item = triples_map("m", csv_source(None), template("brand/{p_brand}"), classes=V + "Brand")
     return Mapping.of(item).run(spark, {None: read(spark, folder, "part")["part"]})
 
 

@@ -34,19 +34,21 @@ def prefixes_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def _flat_yaml(text: Column) -> Column:
-    """A flat ``key: value`` document as a map; later keys win."""
-    lines = F.filter(
-        F.transform(F.split(text, r"\r?\n"), F.trim),
-        lambda line: (line != "") & (line != "---") & ~F.startswith(line, F.lit("#")),
-    )
+    """A flat ``key: value`` document as a map; later keys win.
+
+    A value in quotes ends with them; any other ends before a `` #`` comment. Indented lines, and values that are
+    lists, maps, anchors, tags or blocks, are errors.
+    """
+    lines = F.filter(F.split(text, r"\r?\n"), lambda line: ~F.rlike(line, F.lit(r"^\s*(#.*)?$|^---\s*$")))
+    pattern = r"""^("[^"]+"|'[^']+'|[^\s"'#\[{&*!|>?-][^\s"']*?)\s*:\s+("[^"]*"|'[^']*'|[^\s"'#\[{&*!|>].*?)(?:\s+#.*|\s*)$"""
 
     def unquote(part: Column) -> Column:
-        return F.regexp_replace(F.trim(part), "^[\"'](.*)[\"']$", "$1")
+        return F.regexp_replace(part, "^([\"'])(.*)\\1$", "$2")
 
     def entry(line: Column) -> Column:
-        parts = F.split(line, r":\s+", 2)
         bad = F.raise_error(F.concat(F.lit("not a flat YAML mapping: "), line)).cast("string")
-        return F.struct(unquote(parts[0]), F.when(F.size(parts) == 2, unquote(F.get(parts, F.lit(1)))).otherwise(bad))
+        value = unquote(F.regexp_extract(line, pattern, 2))
+        return F.struct(unquote(F.regexp_extract(line, pattern, 1)), F.when(F.rlike(line, F.lit(pattern)), value).otherwise(bad))
 
     return F.map_from_entries(F.transform(lines, entry))
 
@@ -61,8 +63,7 @@ def load_prefixes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         extension = name.rsplit(".", 1)[-1] if "." in name else ""
         if extension not in formats:
             raise PrefixError(
-                f"Could not determine prefix mapping file format for [{path}]. "
-                "Files must end in '.json', '.yaml', or '.yml.'"
+                f"Could not determine prefix mapping file format for [{path}]: known extensions are {sorted(formats)}"
             )
         rows.append((path, ordinal, formats[extension]))
     if not rows:

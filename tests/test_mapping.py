@@ -33,12 +33,13 @@ PREFIXES = """@prefix rr: <http://www.w3.org/ns/r2rml#> .
 @prefix ex: <http://example.org/> .
 @prefix in: <http://example.org/stream#> .
 """
-BUSES = """<?xml version="1.0" encoding="UTF-8"?>
-<transport>
-  <bus id="106"><route><stop id="1">Airport</stop><stop id="2">Beurs &amp; Plein</stop></route></bus>
-  <bus id="007"><route><stop id="645">Int. Airport</stop></route></bus>
-  <depot><bus id="99"/></depot>
-</transport>"""
+ORCHARD = """<orchard>
+  <plot name="slope">
+    <tree tag="q7"><graft><scion year="1998">Boskoop</scion></graft></tree>
+    <tree tag="041"><graft><scion year="2004">Ribston &lt;red&gt;</scion><scion year="2011">Gräfin</scion></graft></tree>
+  </plot>
+  <nursery><bed><tree tag="z0"/></bed></nursery>
+</orchard>"""
 
 
 def objects(frame, predicate=None):
@@ -47,49 +48,47 @@ def objects(frame, predicate=None):
 
 
 @pytest.fixture
-def transport(tmp_path):
-    (tmp_path / "transport.xml").write_text(BUSES)
+def orchard(tmp_path):
+    (tmp_path / "trees.xml").write_text(ORCHARD, encoding="utf-8")
     return str(tmp_path)
 
 
-def bus_map(iterator="/transport/bus", **options):
-    return triples_map("bus", xml_source("transport.xml", iterator, **options), template("{@id}"), classes=V + "Bus")
+def tree_map(iterator="/orchard/plot/tree", **options):
+    return triples_map("tree", xml_source("trees.xml", iterator, **options), template("{@tag}"), classes=V + "Tree")
 
 
-# --- the reference's end-to-end cases -----------------------------------------------------------
+# --- sources, base and limit --------------------------------------------------------------------
 
 
-def test_xml_source_gives_one_statement_per_bus(spark, transport):
-    rows = Mapping.of(bus_map()).run(spark, root=transport).collect()
-    assert sorted(row.s for row in rows) == [BASE + "007", BASE + "106"]
-    assert {row.o for row in rows} == {V + "Bus"}
+def test_xml_source_gives_one_statement_per_element(spark, orchard):
+    rows = Mapping.of(tree_map()).run(spark, root=orchard).collect()
+    assert sorted(row.s for row in rows) == [BASE + "041", BASE + "q7"]
+    assert {row.o for row in rows} == {V + "Tree"}
 
 
-def test_limit(spark, transport):
-    assert Mapping.of(bus_map()).run(spark, root=transport, limit=1).count() == 1
+def test_limit(spark, orchard):
+    assert Mapping.of(tree_map()).run(spark, root=orchard, limit=1).count() == 1
 
 
-def test_base_iri(spark, transport):
-    rows = Mapping.of(bus_map()).run(spark, root=transport, base_iri="https://foo.bar/").collect()
-    assert all(row.s.startswith("https://foo.bar/") for row in rows)
+def test_base_iri(spark, orchard):
+    rows = Mapping.of(tree_map()).run(spark, root=orchard, base_iri="https://archive.test/").collect()
+    assert all(row.s.startswith("https://archive.test/") for row in rows)
 
 
 def test_unnamed_input(spark):
-    makes = spark.createDataFrame([("1", "Toyota"), ("2", "Mercedes")], "id string, make string")
-    mapping = Mapping.of(
-        triples_map("make", csv_source(None), template("http://example.org/car-make/{make}"), classes=V + "Make")
-    )
-    rows = mapping.run(spark, {None: makes}).collect()
-    assert sorted(row.s for row in rows) == [V + "car-make/Mercedes", V + "car-make/Toyota"]
+    lamps = spark.createDataFrame([(9, "Kullen"), (4, "Utsira"), (4, "Oland")], "range int, name string")
+    mapping = Mapping.of(triples_map("light", csv_source(None), template(V + "light/{name}"), classes=V + "Light"))
+    rows = mapping.run(spark, {None: lamps}).collect()
+    assert sorted(row.s for row in rows) == [V + "light/" + name for name in ("Kullen", "Oland", "Utsira")]
 
 
 def test_unbound_input_is_an_error(spark):
-    mapping = Mapping.of(triples_map("m", csv_source(None), template("x/{make}"), classes=V + "Make"))
+    mapping = Mapping.of(triples_map("m", csv_source(None), template("x/{name}"), classes=V + "Light"))
     with pytest.raises(SourceError, match="unnamed input"):
         mapping.run(spark)
 
 
-@pytest.mark.parametrize("text, valid", [("foo.bar/", False), ("https://foo.bar/", True), ("http://a b/", False)])
+@pytest.mark.parametrize("text, valid", [("archive.test/", False), ("https://archive.test/", True), ("http://a b/", False)])
 def test_base_iri_check(text, valid):
     if valid:
         assert terms.check_iri(text) == text
@@ -101,13 +100,13 @@ def test_base_iri_check(text, valid):
 # --- sources -----------------------------------------------------------------------------------
 
 
-def test_xml_iterators(spark, transport):
-    everywhere = Mapping.of(bus_map("//bus")).run(spark, root=transport)
-    assert sorted(row.s for row in everywhere.collect()) == [BASE + "007", BASE + "106", BASE + "99"]
-    item = bus_map().add(V + "stop", ref("route/stop")).add(V + "stopId", ref("route/stop/@id"))
-    frame = Mapping.of(item).run(spark, root=transport)
-    assert objects(frame, "stop") == ["Airport", "Beurs & Plein", "Int. Airport"]
-    assert objects(frame, "stopId") == ["1", "2", "645"]
+def test_xml_iterators(spark, orchard):
+    everywhere = Mapping.of(tree_map("//tree")).run(spark, root=orchard)
+    assert sorted(row.s for row in everywhere.collect()) == [BASE + "041", BASE + "q7", BASE + "z0"]
+    item = tree_map().add(V + "sort", ref("graft/scion")).add(V + "year", ref("graft/scion/@year"))
+    frame = Mapping.of(item).run(spark, root=orchard)
+    assert objects(frame, "sort") == ["Boskoop", "Gräfin", "Ribston <red>"]
+    assert objects(frame, "year") == ["1998", "2004", "2011"]
 
 
 def test_xml_text_column(spark):
@@ -117,9 +116,9 @@ def test_xml_text_column(spark):
 
 
 @pytest.mark.parametrize("path", ["a[1]", "a//b", "count(a)", "/a"])
-def test_unsupported_xpath_is_rejected(spark, transport, path):
+def test_unsupported_xpath_is_rejected(spark, orchard, path):
     with pytest.raises(SourceError, match="unsupported XPath"):
-        Mapping.of(bus_map().add(V + "x", ref(path))).run(spark, root=transport)
+        Mapping.of(tree_map().add(V + "x", ref(path))).run(spark, root=orchard)
 
 
 def test_csv_keeps_text_quotes_and_empty_fields(spark, tmp_path):
@@ -341,47 +340,46 @@ def document(tmp_path, body):
     return str(path)
 
 
-def test_mapping_document_with_xml_source(spark, transport, tmp_path):
+def test_mapping_document_with_xml_source(spark, orchard, tmp_path):
     path = document(
         tmp_path,
-        """<#Bus> rml:logicalSource [ rml:source "transport.xml" ; rml:iterator "/transport/bus" ;
-             rml:referenceFormulation ql:XPath ] ;
-           rr:subjectMap [ rr:template "{@id}" ; rr:class ex:Bus ; ] ; .""",
+        """ex:trees rr:subjectMap [ rr:class ex:Tree ; rr:template "{@tag}" ] ; rml:logicalSource ex:file .
+           ex:file rml:iterator "/orchard/plot/tree" ; rml:source "trees.xml" ; rml:referenceFormulation ql:XPath .""",
     )
     mapping = Mapping.from_statements(read_rdf(spark, path))
-    assert mapping.run(spark, root=transport).exceptAll(Mapping.of(bus_map()).run(spark, root=transport)).count() == 0
-    assert mapping.run(spark, root=transport).count() == 2
+    assert mapping.run(spark, root=orchard).exceptAll(Mapping.of(tree_map()).run(spark, root=orchard)).count() == 0
+    assert mapping.run(spark, root=orchard).count() == 2
 
 
 def test_mapping_document_equals_the_builder(spark, tmp_path):
     path = document(
         tmp_path,
-        """ex:Make rml:logicalSource [ rml:source [ a in:Stream ] ; rml:referenceFormulation ql:CSV ] ;
-          rr:subjectMap [ rr:template "http://example.org/make/{make}" ; rr:class ex:Make ; rr:graph ex:g ] ;
+        """ex:Light rml:logicalSource [ rml:source [ a in:Stream ] ; rml:referenceFormulation ql:CSV ] ;
+          rr:subjectMap [ rr:template "http://example.org/light/{name}" ; rr:class ex:Light ; rr:graph ex:g ] ;
           rr:predicateObjectMap [ rr:predicate ex:kind ; rr:object ex:Car ],
-            [ rr:predicate ex:label ; rr:objectMap [ rml:reference "make" ; rr:language "en" ] ],
+            [ rr:predicate ex:label ; rr:objectMap [ rml:reference "name" ; rr:language "en" ] ],
             [ rr:predicate ex:shout ; rr:objectMap [ fnml:functionValue [
                 rr:predicateObjectMap [ rr:predicate fno:executes ; rr:object ex:upper ],
-                  [ rr:predicate ex:value ; rr:objectMap [ rml:reference "make" ] ] ] ] ],
-            [ rr:predicate ex:owner ; rr:objectMap [ rr:parentTriplesMap ex:Owner ;
-                rr:joinCondition [ rr:child "id" ; rr:parent "make_id" ] ] ] .
-          ex:Owner rml:logicalSource [ rml:source "owners" ] ;
-          rr:subjectMap [ rr:template "o/{make_id}/{name}" ; rr:termType rr:BlankNode ] .""",
+                  [ rr:predicate ex:value ; rr:objectMap [ rml:reference "name" ] ] ] ] ],
+            [ rr:predicate ex:keeper ; rr:objectMap [ rr:parentTriplesMap ex:Owner ;
+                rr:joinCondition [ rr:child "id" ; rr:parent "light_id" ] ] ] .
+          ex:Owner rml:logicalSource [ rml:source "keepers" ] ;
+          rr:subjectMap [ rr:template "o/{light_id}/{name}" ; rr:termType rr:BlankNode ] .""",
     )
     read = Mapping.from_statements(read_rdf(spark, path))
     built = Mapping.of(
         triples_map(
-            "m", csv_source(None), template("http://example.org/make/{make}"), classes=V + "Make", graphs=V + "g"
+            "m", csv_source(None), template("http://example.org/light/{name}"), classes=V + "Light", graphs=V + "g"
         )
         .add(V + "kind", const(V + "Car"))
-        .add(V + "label", ref("make", language="en"))
-        .add(V + "shout", call(V + "upper", value="make"))
-        .add(V + "owner", parent("o", ("id", "make_id"))),
-        triples_map("o", table("owners"), template("o/{make_id}/{name}", term_type="bnode")),
+        .add(V + "label", ref("name", language="en"))
+        .add(V + "shout", call(V + "upper", value="name"))
+        .add(V + "keeper", parent("o", ("id", "light_id"))),
+        triples_map("o", table("keepers"), template("o/{light_id}/{name}", term_type="bnode")),
     )
     sources = {
-        None: spark.createDataFrame([("1", "Toyota"), ("2", "Kia")], "id string, make string"),
-        "owners": spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "C")], "make_id int, name string"),
+        None: spark.createDataFrame([("1", "Kullen"), ("2", "Utsira")], "id string, name string"),
+        "keepers": spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (3, "C")], "light_id int, name string"),
     }
     functions = FunctionRegistry().register(V + "upper", lambda value: F.upper(value))
     one, two = (m.run(spark, sources, functions=functions) for m in (read, built))

@@ -20,22 +20,18 @@ from quadweave.sources.rdf import format_by_extension, read_rdf
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 V = "http://example.org/"
-DOCUMENT = """@prefix rr: <http://www.w3.org/ns/r2rml#> .
-@prefix rml: <http://semweb.mmlab.be/ns/rml#> .
-@prefix ql: <http://semweb.mmlab.be/ns/ql#> .
-@prefix : <http://example.org/mapping/> .
-
-:Test{n} a rr:TriplesMap ;
-  rml:logicalSource [ rml:source "" ; rml:referenceFormulation ql:JSONPath ; rml:iterator "$" ; ] ;
-  rr:subjectMap [ rml:reference "" ; rr:class :Test{n} ; ] ;
-.
+#: Eight statements, two of whose nodes have no name: an instrument with a sensor and a place.
+DOCUMENT = """PREFIX s: <http://stations.test/terms#>
+<http://stations.test/{n}> a s:Station ; s:code "st-{n}" ;
+  s:sensor [ a s:Thermometer ; s:unit "K" ] ; s:place [ s:height 4.5 ; s:name "dune"@en ] .
 """
 
 
 @pytest.fixture
 def tree(tmp_path):
     """Two Turtle documents and one N3 document, and beside them a file of an unknown format."""
-    for path, n in (("rml/ttl/test-1.rml.ttl", 1), ("rml/ttl/test-2.rml.ttl", 2), ("rml/n3/test-3.rml.n3", 3), ("rml-2/ttl/test-1.rml.ttl", 1), ("rml-2/foo/test-1.rml.foo", 1)):
+    places = ["coast/north/a.ttl", "coast/north/b.ttl", "coast/south/c.n3", "mixed/old/a.ttl", "mixed/new/a.sheet"]
+    for n, path in enumerate(places):
         target = tmp_path / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text(DOCUMENT.replace("{n}", str(n)))
@@ -45,10 +41,10 @@ def tree(tmp_path):
 @pytest.mark.parametrize(
     "path, fmt, size",
     [
-        ("rml/ttl/test-1.rml.ttl", "ttl", 8),
-        ("rml/ttl/test-1.rml.ttl", None, 8),
-        ("rml/ttl", "ttl", 16),
-        ("rml", None, 24),
+        ("coast/north/a.ttl", "ttl", 8),
+        ("coast/north/a.ttl", None, 8),
+        ("coast/north", "ttl", 16),
+        ("coast", None, 24),
     ],
 )
 def test_load_sizes(spark, tree, path, fmt, size):
@@ -56,12 +52,12 @@ def test_load_sizes(spark, tree, path, fmt, size):
 
 
 def test_unknown_extension(spark, tree):
-    path = str(tree / "rml-2/foo/test-1.rml.foo")
-    with pytest.raises(FormatError, match="Could not determine mapping format by file extension for path '.*foo'"):
+    path = str(tree / "mixed/new/a.sheet")
+    with pytest.raises(FormatError, match="Could not determine mapping format by file extension for path '.*sheet'"):
         read_rdf(spark, path)
 
 
-@pytest.mark.parametrize("path", ["rml/ttl", "rml-2"])
+@pytest.mark.parametrize("path", ["coast/north", "mixed"])
 @pytest.mark.parametrize("fmt", ["nq", "nt", "trix", "rj", "rdf", "jsonld"])
 def test_wrong_format(spark, tree, path, fmt):
     with pytest.raises(Exception, match="Exception occurred while parsing"):
@@ -69,17 +65,17 @@ def test_wrong_format(spark, tree, path, fmt):
 
 
 def test_unknown_format_name(spark, tree):
-    with pytest.raises(FormatError, match="Could not determine RDFFormat for `foo`"):
-        read_rdf(spark, str(tree / "rml"), "foo")
+    with pytest.raises(FormatError, match="Could not determine RDFFormat for `sheet`"):
+        read_rdf(spark, str(tree / "coast"), "sheet")
 
 
 def test_path_resolution(spark, tree):
-    assert [p.rsplit("/", 1)[1] for p in list_files(spark, str(tree / "rml"))] == [
-        "test-3.rml.n3",
-        "test-1.rml.ttl",
-        "test-2.rml.ttl",
+    assert [p.rsplit("/", 1)[1] for p in list_files(spark, str(tree / "coast"))] == [
+        "a.ttl",
+        "b.ttl",
+        "c.n3",
     ]
-    assert len(list_files(spark, str(tree / "rml/n3/test-3.rml.n3"))) == 1
+    assert len(list_files(spark, str(tree / "coast/south/c.n3"))) == 1
     with pytest.raises(SourceError, match="Exception occurred while reading path"):
         list_files(spark, str(tree / "missing"))
     with pytest.raises(SourceError, match="Exception occurred while reading path"):
@@ -97,7 +93,7 @@ def test_format_by_extension():
 
 def generated(spark, name, n):
     return spark.createDataFrame(
-        [("bnode", f"sub-{name}-{i}", TYPE, "bnode", f"obj-{name}-{i}", None, None, None) for i in range(n)],
+        [("bnode", f"{name}{i}", TYPE, "bnode", f"kind{i}{name}", None, None, None) for i in range(n)],
         STATEMENT_SCHEMA,
     ).coalesce(1)
 
@@ -109,14 +105,14 @@ def written(path):
 
 @pytest.mark.parametrize("pretty", [True, False])
 def test_nquads(spark, tmp_path, pretty):
-    report = write_rdf(generated(spark, "foo", 5), str(tmp_path / "x.nq"), "nq", pretty=pretty)
+    report = write_rdf(generated(spark, "tide", 5), str(tmp_path / "x.nq"), "nq", pretty=pretty)
     assert report.written_raw == 5
     assert "".join(written(report.path)).count(TYPE) == 5
 
 
 def test_pretty_turtle_inlines_blank_nodes(spark, tmp_path):
     report = write_rdf(
-        generated(spark, "bar", 4), str(tmp_path / "x"), "ttl", prefixes={"ex": V}, pretty=True, inline_bnodes=True
+        generated(spark, "reef", 4), str(tmp_path / "x"), "ttl", prefixes={"ex": V}, pretty=True, inline_bnodes=True
     )
     text = "".join(written(report.path))
     assert report.written_raw == 4
@@ -125,15 +121,15 @@ def test_pretty_turtle_inlines_blank_nodes(spark, tmp_path):
 
 
 def test_streamed_turtle(spark, tmp_path):
-    report = write_rdf(generated(spark, "bar", 4), str(tmp_path / "x"), "ttl", prefixes={"ex": V})
+    report = write_rdf(generated(spark, "reef", 4), str(tmp_path / "x"), "ttl", prefixes={"ex": V})
     (text,) = written(report.path)
     assert text.count(f"@prefix ex: <{V}> .") == 1 and text.startswith("@prefix")
     for i in range(4):
-        assert f"_:sub-bar-{i} a _:obj-bar-{i} ." in text
+        assert f"_:reef{i} a _:kind{i}reef ." in text
 
 
 def test_sequential_labels(spark, tmp_path):
-    report = write_rdf(generated(spark, "bar", 4), str(tmp_path / "x"), "ttl", relabel=True)
+    report = write_rdf(generated(spark, "reef", 4), str(tmp_path / "x"), "ttl", relabel=True)
     text = "".join(written(report.path))
     assert all(f"_:b{4 + i} a _:b{i} ." in text for i in range(4))
 
@@ -147,14 +143,14 @@ def test_output_planning(fmt, pretty, streamable):
 
 
 def test_format_names():
-    with pytest.raises(FormatError, match="Unsupported RDF Format reference specified: 'foo'."):
-        output_format("foo")
+    with pytest.raises(FormatError, match="Unsupported RDF Format reference specified: 'sheet'."):
+        output_format("sheet")
     assert not supports_graphs("ttl") and supports_graphs("trig")
     assert (output_format("xml"), output_format("owl"), output_format("jsonld11")) == ("trix", "rdf", "jsonld")
 
 
 def test_counts_and_sets(spark, tmp_path):
-    twice = generated(spark, "foo", 5).unionAll(generated(spark, "foo", 5))
+    twice = generated(spark, "tide", 5).unionAll(generated(spark, "tide", 5))
     streamed = write_rdf(twice, str(tmp_path / "a"), "nq", pretty=True)
     assert (streamed.written_raw, streamed.written_distinct) == (10, None)
     grouped = write_rdf(twice, str(tmp_path / "b"), "ttl", pretty=True)
@@ -164,7 +160,7 @@ def test_counts_and_sets(spark, tmp_path):
 
 
 def test_output_path_rules(spark, tmp_path):
-    frame = generated(spark, "foo", 3)
+    frame = generated(spark, "tide", 3)
     first = write_rdf(frame, str(tmp_path / "deep" / "er" / "out"), "nq")
     assert first.path.endswith("/deep/er/out")
     again = write_rdf(frame.limit(1), first.path, "nq")
