@@ -70,7 +70,8 @@ def inlined_blocks(
 
     A blank node nobody refers to becomes ``[]`` as a subject. One that is referred to once becomes
     ``[ ... ]`` (or ``[]``) where it is used, unless its own block refers to blank nodes again:
-    deeper levels keep their labels. The result means the same whichever way a node is written.
+    deeper levels keep their labels, and so do nodes of more than ``max_group`` statements. Subjects are cut by
+    what is written for them, nodes in place included. The result means the same whichever way a node is written.
     """
     statements = statements.select(*STATEMENT_COLUMNS).dropDuplicates()
     uses = (
@@ -90,8 +91,10 @@ def inlined_blocks(
         F.coalesce("size", F.lit(0)).alias("size"),
         F.coalesce("refers", F.lit(0)).alias("refers"),
     )
-    # An inlined block sits inside one row of its referrer, so it has to be small.
-    in_place = nodes.where((F.col("uses") == 1) & (F.col("refers") == 0) & (F.col("size") <= 1000))
+    # An inlined block sits inside one row of its referrer, so the bound of a block holds for it too.
+    in_place = nodes.where((F.col("uses") == 1) & (F.col("refers") == 0))
+    if max_group is not None:
+        in_place = in_place.where(F.col("size") <= max_group)
     entry = F.struct(
         rendering.predicate_text(prefixes, shorthand=True).alias("p"), rendering.object_text(prefixes).alias("o")
     )
@@ -118,7 +121,7 @@ def inlined_blocks(
         rendering.predicate_text(prefixes, shorthand=True).alias("p"), F.col("_object").alias("o"), F.col("o").alias("k")
     )
     groups = (
-        with_parts(outer, max_group)
+        with_parts(outer, max_group, "_object")
         .groupBy("s_kind", "s", "part")
         .agg(F.sort_array(F.collect_set(outer_entry)).alias("entries"))
     )

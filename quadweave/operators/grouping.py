@@ -20,18 +20,18 @@ MAX_GROUP = 100_000
 MAX_GROUP_BYTES = 64 << 20
 
 
-def with_parts(statements: DataFrame, max_group: int | None = MAX_GROUP) -> DataFrame:
+def with_parts(statements: DataFrame, max_group: int | None = MAX_GROUP, object_text: str = "o") -> DataFrame:
     """Add ``part``: 0 for ordinary subjects, a hash bucket for the statements of large ones.
 
     ``None`` leaves out the count. It is for callers who know that every subject is small, say because
-    each comes from one row of a table.
+    each comes from one row of a table. ``object_text`` is the column that holds what is written for the object.
     """
     if max_group is None:
         return statements.withColumn("part", F.lit(0))
     hash_class = F.pmod(F.xxhash64("g", "s"), F.lit(HASH_CLASSES))
     sizes = statements.groupBy("g", "s").agg(
         F.greatest(
-            F.count(F.lit(1)) / max_group, F.sum(F.octet_length("o") + F.octet_length("p")) / MAX_GROUP_BYTES
+            F.count(F.lit(1)) / max_group, F.sum(F.octet_length(object_text) + F.octet_length("p")) / MAX_GROUP_BYTES
         ).alias("_n")
     )
     large = (

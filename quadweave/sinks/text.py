@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -85,7 +86,17 @@ def write_rdf(
 
     text = _render(statements, fmt, prefixes, pretty, False, max_group, watch_raw, watch_groups)
     _write_text(text, location, compression)
-    return WriteReport(location, raw.get["n"], distinct.get["n"] if plan.grouped else None)
+    return WriteReport(location, _counted(raw, statements), _counted(distinct, statements) if plan.grouped else None)
+
+
+def _counted(observation: Observation, statements: DataFrame) -> int:
+    """An observed count. Spark drops the observing node where it finds its input empty: no metric then means zero."""
+    try:
+        return observation.get["n"]
+    except Py4JJavaError:
+        if statements.isEmpty():
+            return 0
+        raise
 
 
 def _write_text(text: DataFrame, location: str, compression: str | None) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import PySparkException
@@ -66,15 +65,8 @@ def output_location(spark: SparkSession, location: str) -> str:
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Only a local session without that setting falls back to a temporary folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise SourceError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="quadweave-")
+    """A fresh folder below ``spark.checkpoint.dir``, else below the warehouse; every executor can reach either."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/quadweave-{purpose}-{uuid.uuid4().hex}"
 
 

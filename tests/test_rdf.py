@@ -120,6 +120,30 @@ def test_pretty_turtle_inlines_blank_nodes(spark, tmp_path):
     assert all(part.startswith(f"@prefix ex: <{V}> .\n") for part in written(report.path) if part)
 
 
+@pytest.mark.parametrize("fmt", ["nq", "ttl", "trig", "trix", "rdf", "jsonld", "ndjsonld", "rj"])
+def test_nothing_to_write(spark, tmp_path, fmt):
+    static = spark.createDataFrame([], STATEMENT_SCHEMA)
+    for name, frame in (("static", static), ("late", generated(spark, "tide", 3).where(F.rand(1) < -1))):
+        report = write_rdf(frame, str(tmp_path / name), fmt, pretty=True)
+        assert report.written_raw == 0 and not report.written_distinct
+
+
+def test_hub_over_inlined_nodes_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "MAX_GROUP_BYTES", 2000)
+    rows = [("iri", V + "hub", V + "has", "bnode", f"n{i}", None, None, None) for i in range(20)]
+    rows += [("bnode", f"n{i}", V + "note", "literal", f"{i} " + "w" * 400, None, None, None) for i in range(20)]
+    blocks = [r.block for r in bnodes.inlined_blocks(spark.createDataFrame(rows, STATEMENT_SCHEMA)).collect()]
+    assert len(blocks) > 2 and "".join(blocks).count("[ <") == 20
+
+
+def test_large_node_in_place_up_to_the_bound(spark):
+    rows = [("iri", V + "x", V + "has", "bnode", "n", None, None, None)]
+    rows += [("bnode", "n", V + "p", "literal", str(i), None, None, None) for i in range(1200)]
+    frame = spark.createDataFrame(rows, STATEMENT_SCHEMA)
+    assert len(bnodes.inlined_blocks(frame).collect()) == 1
+    assert len(bnodes.inlined_blocks(frame, max_group=1100).collect()) > 1
+
+
 def test_streamed_turtle(spark, tmp_path):
     report = write_rdf(generated(spark, "reef", 4), str(tmp_path / "x"), "ttl", prefixes={"ex": V})
     (text,) = written(report.path)
