@@ -28,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quadweave.llm.common import bitmap, broadcast_if_small, components, in_bitmap, shared_table
 from quadweave.llm.tokens import HASH_BITS, give_back, mixed, pieces
@@ -294,9 +293,10 @@ def ngram_components(
     copied = spark.sparkContext.broadcast(bitmap(classes.filter("copies > 1"), "sig"))
     entries = _ordered_prefixes(full, numerator, denominator, frequent, copied)
     entries = entries.filter("not copied").union(entries.filter("copied").distinct()).drop("copied")
-    lists = shared_table(
-        entries.withColumn("length", F.count("*").over(Window.partitionBy("gram"))).filter("length > 1"), "lists"
-    )
+    # counted apart and joined: counting merges a frequent n-gram's rows before the shuffle, the join splits them
+    entries = shared_table(entries, "entries")
+    lengths = entries.groupBy("gram").agg(F.count("*").alias("length")).filter("length > 1")
+    lists = shared_table(entries.join(lengths, "gram"), "lists")
     reached = components(_links(full, classes, lists, numerator, denominator))
     joined = classes.join(reached, classes["sig"] == reached["node"]).select("sig", "least", "component")
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("head")), "component").select("sig", "head")
