@@ -187,8 +187,8 @@ def _block_links(numerator: int, denominator: int):
 def _long_groups(lists: DataFrame) -> DataFrame:
     """(node, component): classes connected by lists of more than LONG_LIST classes."""
     lists = lists.filter(F.col("length") > LONG_LIST)
-    heads = lists.groupBy("gram").agg(F.min("sig").alias("b"))
-    return components(lists.join(heads, "gram").select(F.col("sig").alias("a"), "b"))
+    heads = shared_table(lists.groupBy("gram").agg(F.min("sig").alias("b")), "heads")
+    return components(lists.join(broadcast_if_small(heads), "gram").select(F.col("sig").alias("a"), "b"))
 
 
 def _pairs(lists: DataFrame, groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
