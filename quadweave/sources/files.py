@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quadweave.errors import SourceError
 
-SPLIT_BYTES = 64 << 20  # files above this are worth a pass to see how they can be cut
 BROADCAST_BYTES = 64 << 20
 
 
@@ -35,19 +34,6 @@ def list_files(spark: SparkSession, location: str) -> list[str]:
         raise SourceError(f"Exception occurred while reading path {location}") from error
 
 
-def large_files(spark: SparkSession, locations: list[str], size: int) -> list[str]:
-    """Visible files at or below the locations that have more than ``size`` bytes."""
-    found = []
-    for location in locations:
-        path, file_system = _path(spark, location)
-        listing = file_system.listFiles(path, True)
-        while listing.hasNext():
-            status = listing.next()
-            if status.getLen() > size and not status.getPath().getName().startswith(("_", ".")):
-                found.append(status.getPath().toString())
-    return found
-
-
 def require_path(spark: SparkSession, location: str) -> None:
     path, file_system = _path(spark, location)
     if not file_system.exists(path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quadweave.errors import FormatError
 from quadweave.operators.schema import STATEMENT_COLUMNS, no_statements
 from quadweave.sources import rdf_documents, rdf_json, rdf_lines, rdf_xml, turtle_split
-from quadweave.sources.files import SPLIT_BYTES, large_files, list_files, require_path
+from quadweave.sources.files import list_files, require_path
 
 # Format names and the file extensions that mean them.
 EXTENSIONS = {
@@ -43,30 +43,24 @@ SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
 }
 
 
-def scan_turtle(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Small files are one task's row each; large ones are cut at statement ends where that is safe."""
-    return _by_size(
-        spark,
-        paths,
-        split_bytes,
-        lambda spark, files: rdf_documents.scan_documents(spark, files, "ttl"),
-        turtle_split.scan_large_turtle,
-    )
+def scan_turtle(spark: SparkSession, paths: list[str], cut: bool = False) -> DataFrame:
+    """A document is one task's row. With ``cut`` it is cut at statement ends where the text shows that this is safe."""
+    if cut:
+        return turtle_split.scan_large_turtle(spark, _visible_files(spark, paths))
+    return rdf_documents.scan_documents(spark, paths, "ttl")
 
 
-def scan_trix(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Small files are cut between graphs; large ones between triples if they hold a single graph."""
-    return _by_size(spark, paths, split_bytes, rdf_xml.scan_graphs, rdf_xml.scan_large_graphs)
+def scan_trix(spark: SparkSession, paths: list[str], cut: bool = False) -> DataFrame:
+    """Documents are cut between graphs; with ``cut`` between triples where a document holds a single graph."""
+    return rdf_xml.scan_large_graphs(spark, _visible_files(spark, paths)) if cut else rdf_xml.scan_graphs(spark, paths)
 
 
-def _by_size(spark: SparkSession, paths: list[str], split_bytes: int, scan_small, scan_large) -> DataFrame:
-    large = large_files(spark, paths, split_bytes)
-    if not large:
-        return scan_small(spark, paths)
-    wanted = set(large)
-    small = [f for p in paths for f in list_files(spark, p) if f not in wanted and _is_visible(f)]
-    cut = scan_large(spark, large)
-    return cut.unionByName(scan_small(spark, small)) if small else cut
+#: Scans that can cut documents finer if the caller asks for it.
+CUT_SCANS = {"trix": scan_trix, **dict.fromkeys(("ttl", "ttls", "n3"), scan_turtle)}
+
+
+def _visible_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    return [f for p in paths for f in list_files(spark, p) if _is_visible(f)]
 
 
 def format_by_extension(path: str) -> str:
@@ -78,13 +72,14 @@ def format_by_extension(path: str) -> str:
 
 
 def read_rdf(
-    spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, *, distinct: bool = True
+    spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, *, distinct: bool = True, cut: bool = False
 ) -> DataFrame:
     """The statements of all files at or below ``paths``, as a set.
 
     An explicit format holds for every file; otherwise each file's extension decides. A blank-node
     label means the same node only within one file. ``distinct=False`` leaves out the shuffle when
-    copies do not matter.
+    copies do not matter. ``cut=True`` reads Turtle and TriX documents in pieces, whatever their size; the
+    default reads them alike at every size.
     """
     if fmt is not None and fmt not in SCANS:
         raise FormatError(f"Could not determine RDFFormat for `{fmt}`")
@@ -100,7 +95,10 @@ def read_rdf(
                 by_format.setdefault(format_by_extension(path), []).append(path)
     if not by_format:
         return no_statements(spark)
-    scans = [scope_bnodes(SCANS[name](spark, files)) for name, files in by_format.items()]
+    scans = [
+        scope_bnodes(CUT_SCANS[name](spark, files, cut=True) if cut and name in CUT_SCANS else SCANS[name](spark, files))
+        for name, files in by_format.items()
+    ]
     statements = reduce(DataFrame.unionByName, scans)
     return statements.dropDuplicates() if distinct else statements
 

@@ -1,4 +1,4 @@
-"""Large Turtle files, read by many tasks.
+"""Turtle files read by many tasks, if the caller asks for it.
 
 A file is cut where a full stop ends a line. Outside long strings and comments that is always the end
 of a statement, so two cheap text passes over the pieces tell which files can be cut: those without
@@ -24,8 +24,8 @@ MAX_PREFIXES = 1000
 PREFIX = r"@prefix\s+([^\s:]*:)\s*<([^>]*)>"
 HAZARD = (
     r'"{3}|' + r"'{3}|"  # a long string may hold line ends
-    r"(?:^|\s)#[^\n]*$|"  # the piece ends in a comment, or in something that looks like one
-    r"(?i:(?:^|\n)\s*@?base\b)|(?i:(?:^|\n)\s*prefix\b)"  # a base, or directives without a full stop
+    r"(?:^|\n)(?:[^<#\n]++|<[^<>\n]*+>|<(?![^<>\n]*>))*+#[^\n]*$|"  # the piece may end in a comment
+    r"(?i:@base\b)|(?i:(?:^|[\n.>])\s*(?:base|prefix)\b)"  # a base, or directives without a full stop
 )
 
 

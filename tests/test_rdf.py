@@ -506,7 +506,7 @@ def test_large_turtle_files_are_cut_where_that_is_safe(spark, tmp_path):
             spark.read.text(str(tmp_path), lineSep=".\n").select("value", F.col("_metadata.file_path").alias("file"))
         )
         assert {r.file.rsplit("/", 1)[1] for r in files.where("splits").collect()} == {"plain.ttl", "small.ttl"}
-        cut = scope_bnodes(scan_turtle(spark, [str(tmp_path)], split_bytes=1000))
+        cut = scope_bnodes(scan_turtle(spark, [str(tmp_path)], cut=True))
         whole = scope_bnodes(scan_turtle(spark, [str(tmp_path)]))
         named = (F.col("s_kind") == "iri") & (F.col("o_kind") != "bnode")
         assert cut.count() == whole.count() > 300 * 6
@@ -558,10 +558,27 @@ def test_large_trix_files(spark, tmp_path):
         (tmp_path / f"{name}.trix").write_text(head + body + end)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
     try:
-        cut = scan_trix(spark, [str(tmp_path)], split_bytes=100)
+        cut = scan_trix(spark, [str(tmp_path)], cut=True)
         whole = scan_trix(spark, [str(tmp_path)])
         assert cut.count() == 700 and cut.exceptAll(whole).count() == 0
         counts = {r.g: r["count"] for r in cut.groupBy("g").count().collect()}
         assert counts == {V + "g": 200, None: 300, V + "g2": 100, "_:n": 100}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cut_turtle_reads_as_the_whole_document(spark, tmp_path):
+    from quadweave.sources.rdf import read_rdf
+
+    documents = {
+        "base": "@prefix v: <http://v/> . @base <http://b/> .\n<x> v:p v:o .\n",
+        "comment": "@prefix v: <http://v/> .\nv:a v:p v:b ;# see there.\n  v:q v:c ;\n  v:r v:d .\n",
+        "glued": "@prefix v: <http://v/> .\nv:a v:p v:b# see there.\n .\n",
+        "late": "@prefix v: <http://v/> . PREFIX w: <http://w/>\nw:a v:p w:b .\nv:a v:p v:b .\n",
+    }
+    for name, text in documents.items():
+        (tmp_path / f"{name}.ttl").write_text(text)
+    for name in documents:
+        cut, whole = (read_rdf(spark, str(tmp_path / f"{name}.ttl"), "ttl", cut=c) for c in (True, False))
+        assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+        assert whole.count() > 0
