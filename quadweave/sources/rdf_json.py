@@ -70,16 +70,26 @@ def scan_rdf_json(spark: SparkSession, paths: list[str], *, whole_documents: boo
 VALUE_OBJECT = "struct<`@id`:string,`@value`:string,`@type`:string,`@language`:string>"
 
 
+def _expanded(rows: DataFrame, fine: Column, text: Column) -> DataFrame:
+    """The rows, or an error where one is not expanded form."""
+    message = F.concat(
+        F.lit("Exception occurred while parsing "), F.col("file"), F.lit(": no expanded JSON-LD: "), F.coalesce(text, F.lit("null"))
+    )
+    return rows.where(F.when(fine, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def parse_ndjsonld(texts: DataFrame) -> DataFrame:
     """Statements of node objects in expanded form, one per line, in one pass over the lines.
 
-    A node without ``@id`` is a blank node told apart by the place of its line.
+    A node without ``@id`` is a blank node told apart by the place of its line. Anything that is not expanded form
+    (contexts, lists, nested nodes, values outside arrays) is an error, never left out.
     """
     placed = texts.withColumn("place", F.monotonically_increasing_id())
     documents = _parsed(placed, "map<string,string>", "place")
     graph = F.col("doc")["@graph"]
     nodes = F.when(graph.isNull(), F.array("doc")).otherwise(F.from_json(graph, "array<map<string,string>>"))
-    documents = documents.select(
+    apart = F.forall(F.map_keys("doc"), lambda key: key.isin("@id", "@graph"))
+    documents = _expanded(documents, graph.isNull() | (apart & nodes.isNotNull()), graph).select(
         "file",
         "place",
         F.when(graph.isNotNull(), F.col("doc")["@id"]).alias("g"),
@@ -90,7 +100,9 @@ def parse_ndjsonld(texts: DataFrame) -> DataFrame:
         "file", F.coalesce(F.col("node")["@id"], own_label).alias("s"), "g", F.explode("node").alias("key", "json")
     )
     is_type = F.col("key") == "@type"
-    keyed = keyed.where(is_type | ~F.startswith("key", F.lit("@")))
+    keyed = keyed.where("key <> '@id'")
+    in_array = F.col("json").isNull() | F.startswith(F.ltrim("json"), F.lit("["))
+    keyed = _expanded(keyed, (is_type | ~F.startswith("key", F.lit("@"))) & in_array, F.col("json"))
     values = keyed.select(
         "file",
         "s",
@@ -102,6 +114,10 @@ def parse_ndjsonld(texts: DataFrame) -> DataFrame:
     # The barrier keeps the value object from being parsed once per use.
     parsed = F.when(~F.col("is_type"), F.from_json("raw", VALUE_OBJECT))
     values = values.select("file", "s", "g", "p", "is_type", "raw", F.explode(F.array(parsed)).alias("value"))
+    keys = F.json_object_keys("raw")
+    reference = F.col("value")["@id"].isNotNull() & (F.size(keys) == 1)
+    literal = F.col("value")["@value"].isNotNull() & F.forall(keys, lambda key: key.isin("@value", "@type", "@language"))
+    values = _expanded(values, F.when(F.col("is_type"), F.col("raw").isNotNull()).otherwise(reference | literal), F.col("raw"))
     number_or_boolean = F.regexp_extract("raw", r'"@value"\s*:\s*(true|false|-?[0-9][0-9.eE+-]*)', 1)
     natural = (
         F.when(number_or_boolean.isin("true", "false"), XSD_BOOLEAN)

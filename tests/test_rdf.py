@@ -582,3 +582,22 @@ def test_cut_turtle_reads_as_the_whole_document(spark, tmp_path):
         cut, whole = (read_rdf(spark, str(tmp_path / f"{name}.ttl"), "ttl", cut=c) for c in (True, False))
         assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
         assert whole.count() > 0
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        '{"@id":"http://v/a","http://v/p":"text"}',
+        '{"@id":"http://v/a","http://v/p":{"@value":"text"}}',
+        '{"@id":"http://v/a","http://v/p":[{"@list":[{"@value":"x"}]}]}',
+        '{"@id":"http://v/a","http://v/p":[{"@id":"http://v/b","http://v/q":[{"@value":"x"}]}]}',
+        '{"@context":{"v":"http://v/"},"@id":"v:a","http://v/p":[{"@value":"x"}]}',
+        '{"@id":"http://v/g","@graph":[],"http://v/p":[{"@value":"x"}]}',
+    ],
+)
+def test_lines_that_are_not_expanded_json_ld_are_errors(spark, tmp_path, line):
+    from quadweave.sources.rdf import read_rdf
+
+    (tmp_path / "a.ndjsonld").write_text('{"@id":"http://v/a","http://v/p":[{"@value":"fine"}]}\n' + line + "\n")
+    with pytest.raises(Exception, match="no expanded JSON-LD"):
+        read_rdf(spark, str(tmp_path)).collect()
