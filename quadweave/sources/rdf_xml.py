@@ -22,7 +22,10 @@ def unescape_xml(value: Column) -> Column:
     # The predefined XML entities; the ampersand has to come last.
     pairs = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#13;", "\r"), ("&amp;", "&"))
     plain = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), pairs, value)
-    return F.when(F.contains(value, F.lit("&")), plain).otherwise(value)
+    # Other numeric references are rare; an XML parser knows them all.
+    rare = F.contains(F.replace(value, F.lit("&#13;"), F.lit("")), F.lit("&#"))
+    parsed = F.xpath_string(F.concat(F.lit("<v>"), value, F.lit("</v>")), F.lit("/v"))
+    return F.when(rare, parsed).when(F.contains(value, F.lit("&")), plain).otherwise(value)
 
 
 def _graph_name(tag: Column, text: Column) -> Column:

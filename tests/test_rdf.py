@@ -601,3 +601,11 @@ def test_lines_that_are_not_expanded_json_ld_are_errors(spark, tmp_path, line):
     (tmp_path / "a.ndjsonld").write_text('{"@id":"http://v/a","http://v/p":[{"@value":"fine"}]}\n' + line + "\n")
     with pytest.raises(Exception, match="no expanded JSON-LD"):
         read_rdf(spark, str(tmp_path)).collect()
+
+
+def test_trix_numeric_references_are_decoded(spark, tmp_path):
+    from quadweave.sources.rdf import read_rdf
+
+    triple = "<triple><uri>http://v/a</uri><uri>http://v/p</uri><plainLiteral>caf&#233; &#x41; &amp;amp; \u00fc</plainLiteral></triple>"
+    (tmp_path / "a.trix").write_text(f'<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/"><graph>{triple}</graph></TriX>')
+    assert [r.o for r in read_rdf(spark, str(tmp_path)).collect()] == ["caf\u00e9 A &amp; \u00fc"]
