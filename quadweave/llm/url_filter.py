@@ -1,9 +1,11 @@
 """URL verdicts from rules and, where no rule fits, from a path-template tree.
 
-The tree has one root per host. Level by level, a path segment stays literal if it is no number, date or hash and
-holds a fair share of its parent's URLs; all others become one wildcard branch. Literal branches whose labelled
-rate doesn't differ significantly from their siblings' merge. A template is rejected if enough of its labelled URLs are
-bad: the smoothed share of bad ones exceeds a threshold. URLs that rules decide are the labels.
+The tree has one root per host. Level by level, a path segment stays literal by its own support: enough URLs, or enough
+URLs that rules decide (the labels). Literal branches whose labelled rate doesn't differ significantly from their
+siblings' merge. Numbers, dates and hashes, and apart from them all segments without support, are each a pool that
+becomes one branch. A pool's labels count for its unlabelled segments only if many segments have labels and their
+rates are alike; segments that differ leave it, and if it doesn't hold, all labelled ones do. A template is rejected
+if the smoothed share of bad ones among its labelled URLs exceeds a threshold.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from quadweave.llm.common import broadcast_if_small, shared_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that are variable by their form: numbers, dates, long hexadecimal words, with or without a suffix.
 VARIABLE = r"^(?:[0-9][0-9_.,-]*|[0-9a-fA-F-]{8,})(?:\.[A-Za-z0-9]{1,5})?$"
-WILD, MERGED = "*", "+"
+WILD, FEW, NAMED, MERGED = "*", "~", "", "+"
+#: Rows of a few short texts that may be broadcast.
+BROADCAST_TEXTS = 1 << 17
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,47 +45,81 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def path_templates(
-    paths: DataFrame, *, depth: int = 4, least_share: float = 0.02, least_labelled: int = 5, z: float = 1.96
+    paths: DataFrame, *, depth: int = 4, support: int = 20, least_labelled: int = 5, z: float = 1.96
 ) -> DataFrame:
     """(host, path, template) for rows (host, path, n, labelled, bad), one for each path of a host.
 
-    Segments beyond ``depth`` are one. A parent has at most 1 / least_share literal branches.
+    Segments beyond ``depth`` are one. A segment that is no number, date or hash is literal with ``support`` URLs or
+    ``least_labelled`` labels. Others are '*' (by their form) or '~', one pool each. A pool needs ``support`` labelled
+    segments of like rates to keep their labels: 20 of 20 bad ones leave the lower bound of the rate at 0.84.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     parts = [F.get(segments, F.lit(i)) for i in range(depth - 1)]
     rest = F.nullif(F.array_join(F.slice(segments, depth, F.greatest(F.size(segments), F.lit(1))), "/"), F.lit(""))
     here = paths.withColumn("template", F.lit("")).withColumn("parts", F.array(*parts, rest))
+    node, pool = ["host", "template"], ["host", "template", "kind"]
+    by_form = F.when(F.col("segment").rlike(VARIABLE), WILD).otherwise(FEW)
     for level in range(depth):
         here = shared_table(here, "tree")
         branch = here.withColumn("segment", F.get("parts", F.lit(level))).filter("segment IS NOT NULL")
-        child = branch.groupBy("host", "template", "segment").agg(
+        child = branch.groupBy(*node, "segment").agg(
             F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
         )
-        parent = child.groupBy("host", "template").agg(
-            F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+        supported = (F.col("n") >= support) | (F.col("labelled") >= least_labelled)
+        child = shared_table(child.withColumn("kind", F.when(supported & (by_form == FEW), NAMED).otherwise(by_form)), "segments")
+        told = child.filter("labelled > 0")
+        # named segments are compared with all their siblings, others with their pool
+        scopes = F.when(F.col("kind") == NAMED, F.array(F.lit(NAMED))).otherwise(F.array(F.lit(NAMED), F.col("kind")))
+        sums = (
+            told.select(*node, F.explode(scopes).alias("kind"), "labelled", "bad")
+            .groupBy(*pool)
+            .agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         )
         others, bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_labelled")
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), others)))
-        alike = (
-            (F.col("labelled") >= least_labelled)
-            & (others >= least_labelled)
-            & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(bad, others)) <= z * spread)
+        comparable = (F.col("labelled") >= least_labelled) & (others >= least_labelled)
+        near = F.abs(F.try_divide("bad", "labelled") - F.try_divide(bad, others)) <= z * spread
+        tested = told.join(broadcast_if_small(shared_table(sums, "sums"), BROADCAST_TEXTS), pool).select(
+            *pool, "segment", "labelled", "bad", (comparable & near).alias("alike"), (comparable & ~near).alias("differs")
+        )
+        tested = shared_table(tested, "tested")
+        # the rates of what stays in a pool vary no more than chance allows (chi-squared by its normal approximation)
+        members, rate = F.count("*"), F.sum("bad") / F.sum("labelled")
+        varied = F.sum(F.col("bad") * F.col("bad") / F.col("labelled")) - F.sum("bad") * rate
+        holds = (
+            tested.filter((F.col("kind") != NAMED) & ~F.col("differs"))
+            .groupBy(*pool)
+            .agg(
+                members.alias("members"),
+                (varied <= rate * (1 - rate) * (members - 1 + z * F.sqrt(2.0 * (members - 1))) + 1e-9).alias("even"),
+            )
+            .filter((F.col("members") >= support) & F.col("even"))
+            .select(*pool, F.lit(True).alias("holds"))
+        )
+        own = tested.filter(F.col("kind") != NAMED).join(
+            broadcast_if_small(shared_table(holds, "pools"), BROADCAST_TEXTS), pool, "left"
         )
         literal = (
-            child.filter(~F.col("segment").rlike(VARIABLE))
-            .join(parent, ["host", "template"])
-            .filter(F.col("n") >= least_share * F.col("all_n"))
-            .select("host", "template", "segment", F.when(alike, MERGED).otherwise(F.col("segment")).alias("name"))
+            child.filter((F.col("kind") == NAMED) & (F.col("labelled") == 0))
+            .select(*node, "segment", F.col("segment").alias("name"))
+            .unionByName(
+                tested.filter(F.col("kind") == NAMED).select(
+                    *node, "segment", F.when(F.col("alike"), MERGED).otherwise(F.col("segment")).alias("name")
+                )
+            )
+            .unionByName(
+                own.filter(F.col("differs") | F.col("holds").isNull()).select(*node, "segment", F.col("segment").alias("name"))
+            )
         )
-        literal = broadcast_if_small(shared_table(literal, "branches"))
+        literal = broadcast_if_small(shared_table(literal, "branches"), BROADCAST_TEXTS)
         here = (
             here.withColumn("segment", F.get("parts", F.lit(level)))
-            .join(literal, ["host", "template", "segment"], "left")
+            .join(literal, [*node, "segment"], "left")
             .withColumn(
                 "template",
                 F.when(F.col("segment").isNull(), F.col("template")).otherwise(
-                    F.concat("template", F.lit("/"), F.coalesce("name", F.lit(WILD)))
+                    F.concat("template", F.lit("/"), F.coalesce("name", by_form))
                 ),
             )
             .drop("segment", "name")
