@@ -114,7 +114,7 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, least_chars: int = 16
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least_chars: int = 16
 ) -> DataFrame:
     """One row per document id: id, n_lines, n_dropped, dropped (line numbers from 0), n_near.
 
