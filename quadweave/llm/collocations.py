@@ -32,7 +32,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
 #: Bytes of text that a task makes into stripes at a time (a longer text alone).
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 #: Bits of a bitmap for each phrase in it, and log2 of its bits at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 #: Shares of a language's candidates that are ranked apart before they are ranked together.
@@ -141,7 +141,7 @@ def _striped(langs: pa.Array, words: Words, length: int, parts: int, wanted) ->
             pc.binary_join_element_wise(*prefix, " ") if length > 1 else prefix[0],
             pa.array(part.astype(np.int32)),
             pa.ListArray.from_arrays(bounds, following),
-            pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int64))),
+            pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
         ],
         ["lang", "prefix", "part", "following", "times"],
     )
@@ -159,7 +159,7 @@ def merged_stripes(texts: DataFrame, length: int, least: int, parts: int, wanted
                     yield found
             give_back()
 
-    made = texts.mapInArrow(run, "lang string, prefix string, part int, following array<string>, times array<bigint>")
+    made = texts.mapInArrow(run, "lang string, prefix string, part int, following array<string>, times array<int>")
     # a stripe's rows meet in one task; there its elements are added up without a further shuffle
     met = made.repartition("lang", "prefix", "part").select(
         "lang", "prefix", "part", F.inline(F.arrays_zip("following", "times"))
@@ -195,7 +195,7 @@ def collocations(
     least: int = 10,
     subsumed_percent: int = 50,
     first: int = 2000,
-    parts: int = 32,
+    parts: int = 8,
 ) -> DataFrame:
     """Each language's ``first`` phrases of 2 to ``words`` words: lang, rank, phrase, a, l, r, n, score.
 
@@ -205,6 +205,8 @@ def collocations(
     the earliest cut). Candidates inside a longer one that occurs at least ``subsumed_percent`` percent as often go. Ranks
     are by score, then a (both falling), then phrase in byte order; n counts all words of the language.
 
+    A stripe is spread over ``parts`` tasks; more of them cost more rows for rare prefixes.
+
     A null language is 'und', null and empty texts have no words; repeated rows count as often as they come. Ids and other
     columns are ignored. An empty table gives no rows. Arithmetic is exact (decimals of 38 digits; more is an error).
     """

@@ -47,9 +47,8 @@ class Whitening:
 
 def usable(vector: str) -> Column:
     """Neither null nor empty, all entries finite."""
-    return F.expr(f"size(`{vector}`) > 0 AND forall(`{vector}`, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) <= {LARGEST})") | F.expr(
-        f"exists(`{vector}`, c -> abs(c) > {LARGEST} AND NOT isnan(c) AND abs(c) < double('Infinity')) AND raise_error('entry beyond {LARGEST:g}')"
-    )
+    finite = "c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')"
+    return F.expr(f"size(`{vector}`) > 0 AND forall(`{vector}`, c -> {finite})")
 
 
 def whole_numbers(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int, shift: int) -> DataFrame:
@@ -58,7 +57,11 @@ def whole_numbers(vectors: DataFrame, *, id_col: str, vector_col: str, scale: in
     If lengths differ, the most frequent one counts (of several the greatest) and rows of other lengths go as well. Finite
     entries beyond 2**40 are an error.
     """
-    x = F.expr(f"transform(`{vector_col}`, c -> floor({scale} * cast(c as double)) + {shift}L)")
+    whole = f"floor({scale} * cast(c as double)) + {shift}L"
+    x = F.expr(
+        f"transform(`{vector_col}`, c -> CASE WHEN abs(c) <= {LARGEST} THEN {whole} "
+        f"ELSE cast(raise_error('entry beyond {LARGEST:g}') as bigint) END)"
+    )
     rows = shared_table(vectors.filter(usable(vector_col)).select(F.col(id_col).alias("id"), x.alias("x")), "vectors")
     lengths = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(2).collect()
     return rows.filter(F.size("x") == lengths[0].d) if len(lengths) > 1 else rows
