@@ -140,7 +140,7 @@ def test_near_duplicates_of_odd_rows(odd):  # noqa: F811
 def collocations_by_hand(rows, words, least, first):
     counts, sizes = {}, Counter()
     for lang, text in rows:
-        lang = lang or "und"
+        lang = "und" if lang is None else lang
         for piece in re.split(r"[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
             found = re.findall(r"[^ \t]+", piece)
             sizes[lang] += len(found)
