@@ -34,7 +34,7 @@ SHORT_BUCKET = 8
 #: Classes that are compared with one copy of a set.
 PARTNERS = 512
 #: Classes in a block of a long bucket.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 512
 _SEED = 0x5EED
 
 
@@ -142,26 +142,30 @@ def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, reached: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame | None:
     """Links within long buckets whose classes are not all connected, if there are such buckets.
 
-    Each two blocks of a bucket meet in one task.
+    Each two blocks of a bucket meet in one task, but for two of its largest component.
     """
     placed = members.join(broadcast_if_small(reached), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     open_ones = (
-        placed.groupBy("bucket")
-        .agg(
-            F.count("*").alias("size"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.bit_xor(F.xxhash64("node")).alias("whose"),
-        )
-        .filter("low <> high")
+        placed.groupBy("bucket", "component")
+        .agg(F.count("*").alias("here"), F.bit_xor(F.xxhash64("node")).alias("whose"))
+        .groupBy("bucket")
+        .agg(F.sum("here").alias("size"), F.max(F.struct("here", "component")).alias("main"), F.bit_xor("whose").alias("whose"))
+        .filter("main.here < size")
         .groupBy("whose", "size")  # buckets of the same classes count once
-        .agg(F.min("bucket").alias("bucket"))
+        .agg(F.min(F.struct("bucket", "main")).alias("first"))
+        .select("first.bucket", "size", F.col("first.main.component").alias("main"), F.col("first.main.here").alias("most"))
     )
+    # classes of the bucket's largest component meet the others only
     dealt = shared_table(
-        members.select("bucket", "node")
-        .join(open_ones, "bucket")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK_CLASSES).cast("int"))
-        .select("bucket", "node", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block")),
+        placed.join(open_ones, "bucket")
+        .withColumns(
+            {
+                "rest": F.expr(f"cast(ceil((size - most) / {BLOCK_CLASSES}) as int)"),
+                "large": F.expr(f"cast(ceil(most / {BLOCK_CLASSES}) as int)"),
+            }
+        )
+        .withColumn("block", F.expr("cast(if(component = main, rest + pmod(xxhash64(node), large), pmod(xxhash64(node), rest)) as int)"))
+        .select("bucket", "node", "block", F.expr("if(component = main, rest, rest + large)").alias("others")),
         "dealt",
     )
     if dealt.isEmpty():
@@ -169,7 +173,7 @@ def _blocks(members: DataFrame, reached: DataFrame, sets: DataFrame, similarity:
     blocks = (
         sets.select("row", "n", "grams")
         .join(broadcast_if_small(dealt), F.col("row") == F.col("node"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .withColumn("other", F.explode(F.expr("sequence(0, others - 1)")))
         .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("row").alias("sig"), "n", "grams")
     )
     return shared_table(blocks.groupBy("bucket", "i", "j").applyInPandas(block_links(*similarity), "a bigint, b bigint"), "block-links")
