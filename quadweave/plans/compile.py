@@ -1,8 +1,9 @@
 """From a mapping and its sources to one lazy statement DataFrame.
 
 Per logical source there is one scan and one fan-out: the terms of all its triples maps become
-columns, and a single generator turns a row into its statements. Parent joins are separate narrow
-branches that carry keys and terms only.
+columns, and a single generator turns a row into its statements. Parents that a join finds at most
+once are joined onto that scan before the fan-out, so that they cost no further scan of the child.
+Other parent joins are separate narrow branches that carry keys and terms only.
 """
 
 from __future__ import annotations
@@ -224,12 +225,17 @@ class Compiler:
     def statements(self, spark: SparkSession) -> DataFrame:
         outputs = []
         for source, items in self._by_source().items():
-            fan_out = self._fan_out(source, items)
-            if fan_out is not None:
-                outputs.append(fan_out)
-        for item in self.mapping.maps:
-            for predicate, obj, graphs in expand_pairs(item):
-                if isinstance(obj, ParentObject) and obj.joins and self._may_match(item) is not False:
+            items = [item for item in items if self._may_match(item) is not False]
+            branches = [(item, *branch) for item in items for branch in expand_pairs(item)]
+            joined = [branch for branch in branches if isinstance(branch[2], ParentObject) and branch[2].joins]
+            plain = [branch for branch in branches if branch not in joined]
+            shared = [branch for branch in joined if self._found_once(branch[0], branch[2])]
+            if len(plain) + len(shared) < 2:
+                shared = []  # a single branch is better off with an inner or semi join
+            if plain or shared:
+                outputs.append(self._fan_out(source, items, plain, shared))
+            for item, predicate, obj, graphs in joined:
+                if (item, predicate, obj, graphs) not in shared:
                     outputs.append(self._parent_join(item, predicate, obj, graphs))
         if not outputs:
             return no_statements(spark)
@@ -261,18 +267,21 @@ class Compiler:
 
     # --- fan-out ------------------------------------------------------------------------------
 
-    def _fan_out(self, source: Source, items: Sequence[TriplesMap]) -> DataFrame | None:
-        items = [item for item in items if self._may_match(item) is not False]
+    def _fan_out(self, source: Source, items: Sequence[TriplesMap], plain, shared) -> DataFrame:
+        """All branches of one scan; ``shared`` ones take their object from a parent joined onto it."""
+        frame = self._narrowed(items[0]) if len(items) == 1 else self.frames[source]
+        scope = terms.scope_of(frame.schema)
         branches = [
-            (item, predicate, self._object_term(item, obj), graphs)
-            for item in items
-            for predicate, obj, graphs in expand_pairs(item)
-            if isinstance(obj, TermMap) or not obj.joins
+            (item, predicate, self._object_term(item, obj), graphs) for item, predicate, obj, graphs in plain
         ]
-        if not branches:
-            return None
-        frame = self._narrowed(items[0]) if len(items) == 1 else self.frames[source]
-        projection = _Projection(terms.scope_of(frame.schema), self.context)
+        # What every statement needs is tested on the source columns, where the scan can see it.
+        always = [items[0].subject] if len(items) == 1 else []
+        if len(branches) == 1 and not shared:
+            item, predicate, (obj, _), _ = branches[0]
+            alone = [item.subject, predicate, obj]
+        else:
+            alone = None
+        projection = _Projection(scope, self.context)
         structs: list[dict[str, str]] = []
         arrays: list[str] = []
         for item, predicate, (obj, position), graphs in branches:
@@ -282,13 +291,18 @@ class Compiler:
                 projection.part(obj, position),
             ]
             _add_branch(parts, projection.graph_parts(graphs), structs, arrays)
-        # What every statement needs is tested on the source columns, where the scan can see it.
-        always = [items[0].subject] if len(items) == 1 else []
-        single = len(structs) == 1 and not arrays
-        if single:
-            item, predicate, (obj, _), _ = branches[0]
-            always = [item.subject, predicate, obj]
-        frame, known = _with_references(frame, always, projection.scope)
+        single = alone is not None and len(structs) == 1 and not arrays
+        frame, known = _with_references(frame, alone if single else always, scope)
+        if shared:
+            frame, found = self._with_parents(source, frame, scope, list(dict.fromkeys(obj for _, _, obj, _ in shared)))
+            for item, predicate, obj, graphs in shared:
+                value, kind = found[obj]
+                parts = [
+                    projection.part(item.subject, "subject"),
+                    projection.part(predicate, "predicate"),
+                    _Part(projection._keep(("parent", obj), value), False, kind),
+                ]
+                _add_branch(parts, projection.graph_parts(graphs), structs, arrays)
         if single and self.may_push_distinct:
             item, predicate, (obj, position), graphs = branches[0]
             names = rewrite.statement_references(
@@ -312,6 +326,59 @@ class Compiler:
 
     # --- joins --------------------------------------------------------------------------------
 
+    def _found_once(self, item: TriplesMap, obj: ParentObject) -> bool:
+        """Whether a child row meets at most one parent, whose subject is one value.
+
+        Such a parent can be joined onto the child's scan without adding rows to it. A streaming parent can't: it
+        would be the optional side of an outer join.
+        """
+        other = self.mapping.find(obj.parent)
+        if not self._parent_is_unique(other, obj.joins) or self.frames[other.source].isStreaming:
+            return False
+        child_scope = terms.scope_of(self.frames[item.source].schema)
+        parent_scope = terms.scope_of(self.frames[other.source].schema)
+        keys = [terms.look_up(child_scope, join.child) for join in obj.joins]
+        keys += [terms.look_up(parent_scope, join.parent) for join in obj.joins]
+        return not any(key.multi for key in keys) and not terms.is_multi(other.subject, parent_scope, self.context)
+
+    def _with_parents(
+        self,
+        source: Source,
+        child: DataFrame,
+        child_scope: MappingType[str, terms.Reference],
+        parents: Sequence[ParentObject],
+    ) -> tuple[DataFrame, dict[ParentObject, tuple[Column, str]]]:
+        """The child with each of the parents joined on, at most one row each; their subjects, NULL without a parent.
+
+        Joins on one key follow one another, so the child is distributed once for all of them. A parent on the
+        child's own key is the child's row itself and needs no join.
+        """
+        found: dict[ParentObject, tuple[Column, str]] = {}
+        by_keys = sorted(enumerate(parents), key=lambda x: (sorted(join.child for join in x[1].joins), x[0]))
+        for number, obj in by_keys:
+            other = self.mapping.find(obj.parent)
+            parent = self.frames[other.source]
+            kind = terms.term_kind(other.subject, "subject")
+            if other.source == source and self._same_row(source, obj.joins):
+                value = terms.term_value(other.subject, "subject", child_scope, self.context)
+                there = " AND ".join(f"`{join.child}` IS NOT NULL" for join in obj.joins)
+                found[obj] = F.when(F.expr(there), value), kind
+                continue
+            parent_scope = terms.scope_of(parent.schema)
+            child_keys, parent_keys = _comparable_keys(obj.joins, child_scope, parent_scope)
+            by_key = {join.parent: join.child for join in obj.joins}
+            if self._subject_is_function_of_keys(other.subject, by_key, child_scope, parent_scope):
+                names, scope = [], {name: child_scope[by_key[name]] for name in other.subject.references()}
+            else:
+                names, scope = other.subject.references(), None
+            parent, _ = _with_references(parent, [other.subject], parent_scope)
+            right, carried = _carried(parent, names, parent_keys, parent_scope, f"_p{number}_", f"_r{number}_")
+            same = [key == F.col(f"_r{number}_{i}") for i, key in enumerate(child_keys)]
+            child = child.join(right, reduce(lambda a, b: a & b, same), "left")
+            value = terms.term_value(other.subject, "subject", carried if scope is None else scope, self.context)
+            found[obj] = F.when(F.col(f"_r{number}_0").isNotNull(), value), kind
+        return child, found
+
     def _parent_join(
         self, item: TriplesMap, predicate: TermMap, obj: ParentObject, graphs: Sequence[TermMap]
     ) -> DataFrame:

@@ -255,3 +255,108 @@ def test_parent_join_on_a_key_with_several_values(spark):
     )
     rows = mapping.run(spark, {"owner": owner, "child": child}).where("p = 'http://example.org/in'").collect()
     assert [r.o.rsplit("/", 2)[-2:] for r in rows] == [["p", "a"]]
+
+
+# --- parents joined onto the child's scan ------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def ferries(spark, tmp_path_factory):
+    """Trips with a ferry, two ports (some unknown or missing) and a captain; tables on disk, so that plans show scans."""
+    root = tmp_path_factory.mktemp("ferries")
+    trips = spark.range(400).select(
+        F.col("id").alias("trip"),
+        F.when(F.col("id") % 11 != 0, F.col("id") % 9).alias("ferry"),
+        (F.col("id") % 13).alias("start"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 13).alias("end"),
+        F.concat(F.lit("note "), F.col("id")).alias("note"),
+    )
+    ports = spark.range(10).select(F.col("id").alias("port"), F.concat(F.lit("port "), "id").alias("title"))
+    boats = spark.range(8).select(F.col("id").alias("boat"), F.when(F.col("id") != 3, F.concat(F.lit("b"), "id")).alias("sign"))
+    tables = {}
+    for name, frame in (("trips", trips), ("ports", ports), ("boats", boats)):
+        frame.write.parquet(f"{root}/{name}")
+        tables[name] = spark.read.parquet(f"{root}/{name}")
+    return tables
+
+
+TRIPS, PORTS, BOATS = table("trips", unique=["trip"]), table("ports", unique=["port"]), table("boats", unique=["boat"])
+
+
+def ferry_mapping(*, boats=BOATS):
+    return Mapping.of(
+        triples_map("trip", TRIPS, template("trip/{trip}"), classes=V + "Trip")
+        .add(V + "note", ref("note"))
+        .add(V + "start", parent("port", ("start", "port")))
+        .add([V + "end", V + "last"], parent("port", ("end", "port")), [V + "g1", V + "g2"])
+        .add(V + "boat", parent("boat", ("ferry", "boat")))
+        .add(V + "known", parent("exists", ("start", "port")))
+        .add(V + "itself", parent("self", ("trip", "trip"))),
+        triples_map("port", PORTS, template("port/{title}")),
+        triples_map("exists", PORTS, template("p/{port}")),
+        triples_map("boat", boats, template("boat/{sign}")),
+        triples_map("self", TRIPS, template("self/{note}")),
+    )
+
+
+def ferry_statements():
+    found = []
+    for i in range(400):
+        s = f"{BASE}trip/{i}"
+        found += [(s, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", V + "Trip", None), (s, V + "note", f"note {i}", None)]
+        found.append((s, V + "itself", f"{BASE}self/note%20{i}", None))
+        if i % 13 < 10:
+            found += [(s, V + "start", f"{BASE}port/port%20{i % 13}", None), (s, V + "known", f"{BASE}p/{i % 13}", None)]
+            if i % 5:
+                found += [
+                    (s, V + p, f"{BASE}port/port%20{i % 13}", V + g) for p in ("end", "last") for g in ("g1", "g2")
+                ]
+        if i % 11 and i % 9 < 8 and i % 9 != 3:
+            found.append((s, V + "boat", f"{BASE}boat/b{i % 9}", None))
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_parents_share_one_scan_of_the_child(spark, ferries, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        frame = ferry_mapping().run(spark, ferries, base_iri=BASE)
+        found = sorted(map(tuple, frame.select("s", "p", "o", "g").collect()), key=str)
+        plan = plan_of(frame)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == ferry_statements()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("/trips]") == 1 and initial.count("LeftOuter") == 4 and "Union" not in initial
+
+
+def test_joins_on_one_key_distribute_the_child_once(spark, ferries):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(ferry_mapping().run(spark, ferries))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # of the child for start, end and ferry, where start serves two joins; of every parent once
+    assert plan.count("Exchange hashpartitioning(start") == 1 and plan.count("Exchange hashpartitioning") == 7
+
+
+def test_a_parent_without_a_key_stays_apart(spark, ferries):
+    frame = ferry_mapping(boats=table("boats")).run(spark, ferries, base_iri=BASE)
+    assert sorted(map(tuple, frame.select("s", "p", "o", "g").collect()), key=str) == ferry_statements()
+    assert plan_of(frame).split("Initial Plan")[-1].count("/trips]") == 2
+
+
+def test_a_lookup_by_subject_narrows_the_shared_scan(spark, ferries):
+    frame = ferry_mapping().run(spark, ferries, base_iri=BASE, subject=f"{BASE}trip/7")
+    assert frame.count() == sum(s == f"{BASE}trip/7" for s, *_ in ferry_statements()) > 5
+    assert "EqualTo(trip,7)" in plan_of(frame)
+
+
+def test_a_constant_parent_needs_its_row(spark, ferries):
+    item = triples_map("trip", TRIPS, template("trip/{trip}")).add(V + "note", ref("note"))
+    item = item.add(V + "start", parent("any", ("start", "port")))
+    mapping = Mapping.of(item, triples_map("any", PORTS, template("harbour")))
+    found = mapping.run(spark, ferries, base_iri=BASE).where(F.col("p") == V + "start")
+    assert {r.o for r in found.collect()} == {BASE + "harbour"} and found.count() == sum(i % 13 < 10 for i in range(400))
