@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadweave.errors import SourceError
 from quadweave.model import Source
-from quadweave.sources import json_paths, xml_paths
+from quadweave.sources import json_paths, lexed, xml_paths
 
 
 def resolve_location(name: str, root: str | None) -> str:
@@ -72,28 +72,49 @@ def _pick(frame: DataFrame, references: Sequence[str]) -> DataFrame:
     return frame.select(*columns)
 
 
+#: Options of CSV sources that readers of single records know as well.
+SPLITTABLE_OPTIONS = {"sep", "delimiter", "mode"}
+
+
 def read_csv(spark: SparkSession, path: str, options: dict[str, object] | None = None) -> DataFrame:
     """CSV with a header row, every value as text.
 
-    Quoted line breaks are legal, so files are read whole per task by default; ``multi_line=False``
-    lets Spark split large files that have none. An empty field is an empty text, unless
-    ``null_value`` names the text that stands for a missing value. A row with too few or too many
-    fields is an error, unless the option ``mode`` says otherwise.
+    Quoted line breaks are legal: a first pass over the files finds for every task whether its share starts inside a
+    quoted field (see ``lexed``), a second one takes the records apart. ``multi_line=False`` says that there are none and
+    saves the first pass. With reader options beyond a separator and a mode, a file is one task's. Rows end with a line
+    feed, alone or after a carriage return. An empty field is an empty text, unless ``null_value`` names the text
+    that stands for a missing value. A row with too few or too many fields is an error, unless the option ``mode`` says
+    otherwise.
     """
     options = dict(options or {})
     null_value = options.pop("null_value", None)
     multi_line = options.pop("multi_line", True)
-    reader = spark.read.options(
-        header=True,
-        inferSchema=False,
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-        nullValue="\u0000" if null_value is None else null_value,
-        emptyValue="",
-        mode="FAILFAST",
-    ).options(**options)
-    frame = reader.csv(path)
+    settings = {
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multi_line,
+        "nullValue": "\u0000" if null_value is None else null_value,
+        "emptyValue": "",
+        "mode": "FAILFAST",
+        **options,
+    }
+    frame = spark.read.options(header=True, inferSchema=False, **settings).csv(path)
+    separator = str(options.get("sep", options.get("delimiter", ",")))
+    single = set(options) <= SPLITTABLE_OPTIONS and len(separator) == 1 and settings["mode"] in ("FAILFAST", "PERMISSIVE")
+    if multi_line and single and frame.columns:
+        frame = _split_csv(spark, path, frame.columns, separator, settings)
     if null_value is None:
-        frame = frame.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in frame.columns])
+        quoted = [(name, name.replace("`", "``")) for name in frame.columns]
+        frame = frame.select(*[F.coalesce(F.col(f"`{column}`"), F.lit("")).alias(name) for name, column in quoted])
     return frame
+
+
+def _split_csv(spark: SparkSession, path: str, names: list[str], separator: str, settings: dict[str, object]) -> DataFrame:
+    records = lexed.read_records(spark, [path], lexed.csv_lexer(separator))
+    rows = records.where("NOT (block = 0 AND number = 0)").select(F.regexp_replace("value", "\r$", "").alias("value"))
+    escaped = [name.replace("`", "``") for name in names]
+    schema = ", ".join(f"`{name}` string" for name in escaped)
+    parsed = F.from_csv("value", schema, {name: str(value) for name, value in settings.items()})
+    # The generator keeps filters on parsed values above it; below, they would parse once more each.
+    fields = rows.where("value <> ''").select(F.explode(F.array(parsed)).alias("_csv"))
+    return fields.select(*[F.col(f"_csv.`{name}`") for name in escaped])
