@@ -298,6 +298,9 @@ def bound_table_map(spark, folder):
     return Mapping.of(item).run(spark, {None: read(spark, folder, "part")["part"]})
 
 
+NOTES = "(SELECT *, 'clerk ' || CAST(o_custkey % 97 AS VARCHAR) AS o_clerk FROM orders)"
+
+
 @query(
     union(
         st(iri("customer/{}", "c_custkey"), v("name"), "c_name", "customer"),
@@ -312,6 +315,22 @@ def csv_source_map(spark, folder):
     return Mapping.of(item).run(spark, root=root)
 
 
+@query(
+    union(
+        st(iri("order/{}", "o_orderkey"), v("note"), "o_orderpriority || chr(10) || '\"' || o_orderstatus || '\", ' || o_clerk", NOTES),
+        st(iri("order/{}", "o_orderkey"), v("total"), "CAST(o_custkey AS VARCHAR)", NOTES),
+    )
+)
+def csv_line_breaks_map(spark, folder):
+    """CSV files whose quoted fields hold line breaks, quotes and commas, read by many tasks without options."""
+    root = scratch_folder(spark, "csv")
+    note = F.concat("o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('", '), F.concat(F.lit("clerk "), F.col("o_custkey") % 97))
+    orders = read(spark, folder, "orders")["orders"].select("o_orderkey", note.alias("note"), "o_custkey")
+    orders.write.options(header=True, quote='"', escape='"').csv(root + "/orders")
+    item = triples_map("o", csv_source("orders"), template("order/{o_orderkey}"))
+    return Mapping.of(item.add(V + "note", ref("note")).add(V + "total", ref("o_custkey"))).run(spark, root=root)
+
+
 @query(
     st(
         iri("event/{}", "event_id"),
@@ -515,6 +534,58 @@ def parent_self_join(spark, folder):
     )
 
 
+@query(
+    union(
+        st(iri("line/{}/{}", "l_orderkey", "l_linenumber"), v("flag"), "l_returnflag", "lineitem"),
+        st(
+            iri("line/{}/{}", "l_orderkey", "l_linenumber"),
+            v("orderOf"),
+            iri("cust/{}", "o_custkey"),
+            "lineitem JOIN orders ON l_orderkey = o_orderkey",
+            o_kind="iri",
+        ),
+        st(
+            iri("line/{}/{}", "l_orderkey", "l_linenumber"),
+            v("order"),
+            iri("order/{}", "o_orderkey"),
+            "lineitem JOIN orders ON l_orderkey = o_orderkey",
+            o_kind="iri",
+            g=v("orders"),
+        ),
+        st(
+            iri("line/{}/{}", "l_orderkey", "l_linenumber"),
+            v("supplier"),
+            iri("s/{}", "url_encode(s_name)"),
+            "lineitem JOIN supplier ON l_suppkey = s_suppkey",
+            o_kind="iri",
+        ),
+        st(
+            iri("line/{}/{}", "l_orderkey", "l_linenumber"),
+            v("part"),
+            iri("part/{}", "p_partkey"),
+            "lineitem JOIN part ON l_partkey = p_partkey",
+            o_kind="iri",
+        ),
+    )
+)
+def parents_on_one_scan_map(spark, folder):
+    """Four parents on declared keys, two of them on one key: one scan of the child, and one generator for all branches."""
+    line = triples_map("l", LINEITEM, template("line/{l_orderkey}/{l_linenumber}"))
+    line = line.add(V + "flag", ref("l_returnflag"))
+    line = line.add(V + "orderOf", parent("buyer", ("l_orderkey", "o_orderkey")))
+    line = line.add(V + "order", parent("order", ("l_orderkey", "o_orderkey")), V + "orders")
+    line = line.add(V + "supplier", parent("supplier", ("l_suppkey", "s_suppkey")))
+    line = line.add(V + "part", parent("part", ("l_partkey", "p_partkey")))
+    mapping = Mapping.of(
+        line,
+        triples_map("buyer", ORDERS, template("cust/{o_custkey}")),
+        triples_map("order", ORDERS, template("order/{o_orderkey}")),
+        triples_map("supplier", table("supplier", unique=["s_suppkey"]), template("s/{s_name}")),
+        triples_map("part", table("part", unique=["p_partkey"]), template("part/{p_partkey}")),
+    )
+    return mapping.run(spark, read(spark, folder, "lineitem", "orders", "supplier", "part"))
+
+
 def star_maps():
     return (
         triples_map("region", REGION, template("region/{r_regionkey}"), classes=V + "Region").add(V + "name", ref("r_name")),

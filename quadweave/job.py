@@ -42,7 +42,7 @@ def map_to_rdf(
     """
     output_format(fmt)
     names = namespaces(spark, prefixes, prefix_mappings)
-    statements = Mapping.from_statements(read_rdf(spark, mapping, mapping_format)).run(
+    statements = Mapping.from_statements(read_rdf(spark, mapping, mapping_format, cut=False)).run(
         spark, sources, root=root, base_iri=base_iri, limit=limit, functions=functions, configure=configure
     )
     inline = pretty and output_format(fmt) in ("ttl", "ttls", "n3") and not relabel

@@ -144,14 +144,18 @@ def compact_iri(iri: Column, prefixes: Mapping[str, str]) -> Column:
 def compact_column(frame: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     """Shorten with a prefix table too large for an expression: joined on the namespace part.
 
-    When two prefixes name one namespace, the first by name is used. Spark picks the join by the
-    measured size of the table.
+    Namespaces may end anywhere, and hold one another: of those that an IRI starts with and that leave a plain local
+    name, the longest is used. Every different IRI is cut at the lengths that namespaces have, and what stands
+    before the cut is looked up. When two prefixes name one namespace, the first by name is used. Spark picks the joins by
+    measured size.
     """
     chosen = prefixes.groupBy(F.col("iri").alias("_ns")).agg(F.min("prefix").alias("_prefix"))
-    namespace = F.regexp_extract(F.col(column), r"^(.*[/#])", 1)
-    local = F.substring(F.col(column), F.length(namespace) + 1, F.lit(2**31 - 1))
-    joined = frame.withColumn("_key", namespace).join(chosen, F.col("_key") == F.col("_ns"), "left")
-    short = F.concat(F.col("_prefix"), F.lit(":"), local)
+    lengths = chosen.agg(F.collect_set(F.length("_ns"))).scalar()
+    fits = frame.select(F.col(column).alias("_iri")).where("_iri IS NOT NULL").distinct().withColumn("_n", F.explode(lengths))
+    local = F.substring(F.col("_iri"), F.col("_n") + 1, F.lit(2**31 - 1))
+    cut = fits.where((F.col("_n") <= F.length("_iri")) & local.rlike(LOCAL_NAME))
+    found = cut.join(chosen, F.substring(F.col("_iri"), F.lit(1), F.col("_n")) == F.col("_ns"))
+    longest = found.groupBy("_iri").agg(F.max_by(F.concat(F.col("_prefix"), F.lit(":"), local), "_n").alias("_short"))
+    joined = frame.join(longest, F.col(column) == F.col("_iri"), "left")
     full = F.concat(F.lit("<"), F.col(column), F.lit(">"))
-    value = F.when(F.col("_prefix").isNotNull() & local.rlike(LOCAL_NAME), short).otherwise(full)
-    return joined.withColumn(column, value).drop("_key", "_ns", "_prefix")
+    return joined.withColumn(column, F.coalesce("_short", full)).drop("_iri", "_short")

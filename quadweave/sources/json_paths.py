@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 
 from quadweave.errors import SourceError
 
+#: Field of a parsed document that holds its text if it could not be read as the paths want.
+UNREAD = "_unread"
+
 Step = str | int | None  # field name, array index, or every element
 
 _STEP = re.compile(r"\.?([^.\[\]'\"*@?()$\s]+)|\.?\['([^']+)'\]|\.?\[\"([^\"]+)\"\]|\[(\d+)\]|\.?\[?(\*)\]?")
@@ -124,6 +127,14 @@ def _keep_number_text(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9]\.[0-9]|[0-9][eE]|[0-9]{19}"), quoted).otherwise(text)
 
 
+def _checked(text: Column, parsed: Column, dtype: T.DataType) -> Column:
+    """The parsed document. Text that is no JSON is an error; JSON of another shape than the paths want has no match."""
+    odd = parsed.getField(UNREAD).isNotNull() if isinstance(dtype, T.StructType) else parsed.isNull()
+    bad = text.isNotNull() & odd & F.try_parse_json(text).isNull()
+    message = F.concat(F.lit("malformed JSON document: "), F.substring(text, 1, 200))
+    return F.when(bad, F.raise_error(message).cast(dtype)).otherwise(parsed)
+
+
 def expand_json(
     frame: DataFrame,
     column: str,
@@ -143,7 +154,13 @@ def expand_json(
     if isinstance(dtype, T.StringType):
         document = F.col(f"`{column}`")
     else:
-        document = F.from_json(_keep_number_text(F.col(f"`{column}`")), dtype)
+        text = F.col(f"`{column}`")
+        options = {}
+        if isinstance(dtype, T.StructType):
+            dtype = T.StructType([*dtype.fields, T.StructField(UNREAD, T.StringType())])
+            options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREAD}
+        parsed = F.from_json(_keep_number_text(text), dtype, options)
+        document = _checked(text, parsed, dtype)
     # The generator keeps filters on parsed values above it; below, they would parse once more each.
     rows = frame.select(*kept, F.explode(F.array(document)).alias("_json"))
     return _references(_iterate(rows, "_json", steps), "_json", outer, paths, references, types)

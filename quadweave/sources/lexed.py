@@ -14,8 +14,10 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,14 @@ BATCH_ROWS, BATCH_CHARS = 5_000, 1 << 22
 
 @dataclass(frozen=True)
 class Lexer:
-    """``line(text, state)`` is the state at the end of a line; 0 is the state at the start of a file and of a record."""
+    """``line(text, state)`` is the state at the end of a line; 0 is the state at the start of a file and of a record.
+
+    ``easy(text)`` gives these states for all states at the start, where the text shows them at a glance.
+    """
 
     states: int
     line: Callable[[str, int], int]
+    easy: Callable[[str], Sequence[int] | None] = lambda text: None
 
 
 def csv_lexer(separator: str = ",") -> Lexer:
@@ -59,11 +65,11 @@ def csv_lexer(separator: str = ",") -> Lexer:
                 return 0
         return int(fields.match(text, position).end() != len(text))
 
-    return Lexer(2, line)
+    return Lexer(2, line, lambda text: None if '"' in text else (0, 1))
 
 
-def turtle_lexer() -> Lexer:
-    """States: 0 between statements, 1 inside one, 2 and 3 inside a long string; 4 to 6 the same in the braces of a graph."""
+def turtle_lexer(graphs: bool = True) -> Lexer:
+    """States: 0 between statements, 1 inside one, 2 and 3 inside a long string; 4 to 6 as 1 to 3 in the braces of a graph."""
     token = re.compile(
         r"""[^\S\n]+|\#.*|<[^<>"{}|^`\s]*>|(?P<long>\"{3}|'{3})|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|(?P<mark>[{}.])"""
         r"""|(?:\\.|[^\s<>"'\#{}.\\])(?:\.*(?:\\.|[^\s<>"'\#{}().\[\];,\\]))*|(?P<other>.)""",
@@ -71,6 +77,15 @@ def turtle_lexer() -> Lexer:
     )
     ends = {2: re.compile(r'(?:[^"\\]|\\.|"(?!""))*+"{3,5}', re.S), 3: re.compile(r"(?:[^'\\]|\\.|'(?!''))*+'{3,5}", re.S)}
 
+    hard = re.compile(r"""[{}#]|\"{3}|'{3}""")
+    inside, between, blank = (1, 1, 2, 3, 4, 5, 6), (0, 0, 2, 3, 4, 5, 6), (0, 1, 2, 3, 4, 5, 6)
+
+    def easy(text: str) -> Sequence[int] | None:
+        if hard.search(text):
+            return None
+        bare = text.rstrip()  # only a full stop at the end, which is no escaped one, ends a statement
+        return blank if not bare else between if bare.endswith(".") and not bare.endswith("\\.") else inside
+
     def line(text: str, state: int) -> int:
         position, braces, size = 0, state >= 4, len(text)
         state -= 3 * braces
@@ -94,7 +109,7 @@ def turtle_lexer() -> Lexer:
             elif kind or not (match.group()[0] == "#" or match.group().isspace()):
                 state = 1
 
-    return Lexer(7, line)
+    return Lexer(7 if graphs else 4, line, easy)
 
 
 def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -107,6 +122,17 @@ def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
+    """(file, block, first, end) of the rows of each piece in a batch."""
+    if not batch.num_rows:
+        return
+    file, block = batch.column(1), batch.column(2).to_numpy()
+    fresh = pc.not_equal(file.slice(1), file.slice(0, len(file) - 1)).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+    cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), len(file)]
+    for first, end in zip(cuts, cuts[1:]):
+        yield file[first].as_py(), int(block[first]), first, end
+
+
 def _maps(lexer: Lexer):
     """For every piece: by the state at its start, the state at its end and whether a record begins in it."""
 
@@ -119,20 +145,34 @@ def _maps(lexer: Lexer):
             return pa.RecordBatch.from_arrays([pa.array(*x) for x in zip(columns, kinds)], ["file", "block", "ends", "begins"])
 
         for batch in batches:
-            for text, file, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for file, block, first, end in _runs(batch):
                 if key != (file, block):
                     if key is not None:
                         yield found()
                     key, now, begins = (file, block), list(range(lexer.states)), [False] * lexer.states
-                begins = [b or state == 0 for b, state in zip(begins, now)]
-                after = {state: lexer.line(text, state) for state in set(now)}
-                now = [after[state] for state in now]
+                texts = batch.column(0).slice(first, end - first).to_pylist()
+                for at in range(0, len(texts), 64):  # states soon become equal and stay so
+                    different, place = _different(now)
+                    started = [False] * len(different)
+                    for text in texts[at : at + 64]:
+                        known = lexer.easy(text)
+                        for i, state in enumerate(different):
+                            started[i] |= state == 0
+                            different[i] = known[state] if known else lexer.line(text, state)
+                    begins = [b or started[i] for b, i in zip(begins, place)]
+                    now = [different[i] for i in place]
         if key is not None:
             yield found()
 
     return run
 
 
+def _different(now: list[int]) -> tuple[list[int], list[int]]:
+    """The different states of a list, and each one's place among them."""
+    different = sorted(set(now))
+    return different, [different.index(state) for state in now]
+
+
 def _composed(frame: pd.DataFrame) -> pd.DataFrame:
     """A file's pieces in order: the state at start and end of each, and the piece in which an open record began."""
     rows, state, origin = [], 0, -1
@@ -180,21 +220,23 @@ def _taken_apart(lexer: Lexer, whole: bool, chunk: int):
 
         waiting = 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for text, file, block, first_state, first_origin in zip(*columns):
+            for file, block, first, end in _runs(batch):
                 if key != (file, block):
                     closed(state == 0)
-                    key, state, origin, number, lines, size, starts = (file, block), first_state, first_origin, 0, [], 0, False
-                if state == 0 and (size >= chunk or not starts):
-                    closed(True)
-                    number, lines, size, starts = number + starts, [], 0, True
-                lines.append(text)
-                size += len(text) + 1
-                waiting += len(text)
-                state = lexer.line(text, state)
-                if rows and (len(rows) >= BATCH_ROWS or waiting >= BATCH_CHARS):
-                    yield batch_of()
-                    rows, waiting = [], 0
+                    key, state, origin = (file, block), batch.column(3)[first].as_py(), batch.column(4)[first].as_py()
+                    number, lines, size, starts = 0, [], 0, False
+                for text in batch.column(0).slice(first, end - first).to_pylist():
+                    if state == 0 and (size >= chunk or not starts):
+                        closed(True)
+                        number, lines, size, starts = number + starts, [], 0, True
+                    lines.append(text)
+                    size += len(text) + 1
+                    waiting += len(text)
+                    known = lexer.easy(text)
+                    state = known[state] if known else lexer.line(text, state)
+                    if rows and (len(rows) >= BATCH_ROWS or waiting >= BATCH_CHARS):
+                        yield batch_of()
+                        rows, waiting = [], 0
         closed(state == 0)
         if rows:
             yield batch_of()
@@ -202,11 +244,10 @@ def _taken_apart(lexer: Lexer, whole: bool, chunk: int):
     return run
 
 
-def _with_states(spark: SparkSession, paths: Sequence[str], states: DataFrame) -> DataFrame:
+def _with_states(spark: SparkSession, paths: Sequence[str], states: DataFrame, small: bool) -> DataFrame:
     """Lines with the state at the start of their piece, in the order of the piece."""
     columns = ["value", "file", "block", "state", "origin"]
-    size = states.agg(F.sum(F.length("file") + 40)).first()[0] or 0
-    if size <= BROADCAST_BYTES:  # a joined line stays in its place then
+    if small:  # a joined line stays in its place then
         return _lines(spark, paths).join(F.broadcast(states), ["file", "block"]).select(*columns)
     joined = _lines(spark, paths).join(states, ["file", "block"]).repartition("file", "block")
     return joined.sortWithinPartitions("file", "block", "at").select(*columns)
@@ -219,11 +260,14 @@ def read_records(spark: SparkSession, paths: Sequence[str], lexer: Lexer, chunk:
     """
     states = pieces(spark, paths, lexer)
     known = states.select("file", "block", "state", "origin")
-    whole = _with_states(spark, paths, known).mapInArrow(_taken_apart(lexer, True, chunk), RECORD)
-    open_ones = states.filter("state <> 0 OR end <> 0").select("file", "block", "state", "origin")
-    if open_ones.isEmpty():
+    is_open = "state <> 0 OR end <> 0"
+    size, count = states.agg(F.sum(F.length("file") + 40), F.count_if(F.expr(is_open))).first()
+    small = (size or 0) <= BROADCAST_BYTES
+    whole = _with_states(spark, paths, known, small).mapInArrow(_taken_apart(lexer, True, chunk), RECORD)
+    if not count:
         return whole
-    fragments = _with_states(spark, paths, open_ones).mapInArrow(_taken_apart(lexer, False, chunk), FRAGMENT)
+    open_ones = states.filter(is_open).select("file", "block", "state", "origin")
+    fragments = _with_states(spark, paths, open_ones, small).mapInArrow(_taken_apart(lexer, False, chunk), FRAGMENT)
     parts = F.array_sort(F.collect_list(F.struct("block", "value")))
     joined = fragments.groupBy("file", "origin").agg(
         F.min("number").alias("number"), F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value")

@@ -29,6 +29,8 @@ EXTENSIONS = {
     "rj": ("rj",),
 }
 
+TURTLE_FAMILY = ("ttl", "ttls", "n3", "trig", "trigs")
+
 SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
     "nt": lambda spark, paths: rdf_lines.scan_lines(spark, paths, graphs=False),
     "nq": lambda spark, paths: rdf_lines.scan_lines(spark, paths, graphs=True),
@@ -37,16 +39,17 @@ SCANS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
     "trix": lambda spark, paths: scan_trix(spark, paths),
     **{
         name: (lambda spark, paths, name=name: rdf_documents.scan_documents(spark, paths, name))
-        for name in ("trig", "trigs", "rdf", "jsonld")
+        for name in ("rdf", "jsonld")
     },
-    **dict.fromkeys(("ttl", "ttls", "n3"), lambda spark, paths: scan_turtle(spark, paths)),
+    **dict.fromkeys(TURTLE_FAMILY, lambda spark, paths: scan_turtle(spark, paths)),
+    "ttl": lambda spark, paths: scan_turtle(spark, paths, graphs=False),
 }
 
 
-def scan_turtle(spark: SparkSession, paths: list[str], cut: bool = False) -> DataFrame:
-    """A document is one task's row. With ``cut`` it is cut at statement ends where the text shows that this is safe."""
+def scan_turtle(spark: SparkSession, paths: list[str], cut: bool = True, graphs: bool = True) -> DataFrame:
+    """Documents are cut between statements, whatever their size; without ``cut`` each is one task's row."""
     if cut:
-        return turtle_split.scan_large_turtle(spark, _visible_files(spark, paths))
+        return turtle_split.scan_turtle_pieces(spark, _visible_files(spark, paths), graphs=graphs)
     return rdf_documents.scan_documents(spark, paths, "ttl")
 
 
@@ -55,8 +58,8 @@ def scan_trix(spark: SparkSession, paths: list[str], cut: bool = False) -> DataF
     return rdf_xml.scan_large_graphs(spark, _visible_files(spark, paths)) if cut else rdf_xml.scan_graphs(spark, paths)
 
 
-#: Scans that can cut documents finer if the caller asks for it.
-CUT_SCANS = {"trix": scan_trix, **dict.fromkeys(("ttl", "ttls", "n3"), scan_turtle)}
+#: Scans that can cut documents finer, or not at all, if the caller asks for it.
+CUT_SCANS = {"trix": scan_trix, **dict.fromkeys(TURTLE_FAMILY, scan_turtle)}
 
 
 def _visible_files(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -72,14 +75,14 @@ def format_by_extension(path: str) -> str:
 
 
 def read_rdf(
-    spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, *, distinct: bool = True, cut: bool = False
+    spark: SparkSession, paths: str | Sequence[str], fmt: str | None = None, *, distinct: bool = True, cut: bool | None = None
 ) -> DataFrame:
     """The statements of all files at or below ``paths``, as a set.
 
     An explicit format holds for every file; otherwise each file's extension decides. A blank-node
     label means the same node only within one file. ``distinct=False`` leaves out the shuffle when
-    copies do not matter. ``cut=True`` reads Turtle and TriX documents in pieces, whatever their size; the
-    default reads them alike at every size.
+    copies do not matter. Turtle, TriG and N3 documents are read in pieces, whatever their size, unless
+    ``cut`` is False; TriX documents are cut between graphs, and with ``cut=True`` between triples.
     """
     if fmt is not None and fmt not in SCANS:
         raise FormatError(f"Could not determine RDFFormat for `{fmt}`")
@@ -96,7 +99,9 @@ def read_rdf(
     if not by_format:
         return no_statements(spark)
     scans = [
-        scope_bnodes(CUT_SCANS[name](spark, files, cut=True) if cut and name in CUT_SCANS else SCANS[name](spark, files))
+        scope_bnodes(
+            CUT_SCANS[name](spark, files, cut=cut) if cut is not None and name in CUT_SCANS else SCANS[name](spark, files)
+        )
         for name, files in by_format.items()
     ]
     statements = reduce(DataFrame.unionByName, scans)

@@ -71,11 +71,10 @@ def parse_documents(documents: DataFrame, fmt: str) -> DataFrame:
     return documents.select("file", "value").mapInPandas(run, DOCUMENT_SCHEMA)
 
 
-def parse_piece(text: str, file: str, place: int, prefixes: dict[str, str]) -> list[tuple]:
-    """Statements of a piece of a Turtle file, cut at a full stop that ended a line."""
-    text = text.rstrip()
+def parse_piece(text: str, file: str, place: str, prefixes: dict[str, str]) -> list[tuple]:
+    """Statements of a piece of a Turtle or TriG file, cut between statements."""
     try:
-        reader = _TurtleReader(text if text.endswith(".") else text + " .", file, f"{place}.")
+        reader = _TurtleReader(text, file, f"{place}.")
         reader.prefixes = {name[:-1]: reader.resolve(iri) for name, iri in prefixes.items()}
         return [(file, *statement) for statement in reader.statements()]
     except ValueError as error:
@@ -92,7 +91,7 @@ def _row(subject: Node, predicate: str, obj: tuple, graph: str | None) -> Statem
 # --- Turtle, TriG and the N3 subset they share -------------------------------------------------
 
 _TOKEN = re.compile(
-    r"""(?:\s+|\#[^\n]*)*(?:
+    r"""(?:\s+|\#[^\n]*+)*+(?:
     (?P<iri><(?!<)[^<>"{}|^`\x00-\x20]*>)
     |(?P<long>\"{3}(?:\"{0,2}(?:[^"\\]|\\.))*\"{3}|'{3}(?:'{0,2}(?:[^'\\]|\\.))*'{3})
     |(?P<string>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')

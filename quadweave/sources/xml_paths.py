@@ -107,7 +107,7 @@ def _iterate(frame: DataFrame, value: str, steps: Sequence[str]) -> DataFrame:
 def read_xml(
     spark: SparkSession, path: str, iterator: str | None, references: Sequence[str], options: dict[str, object]
 ) -> DataFrame:
-    """One row per iterator match.
+    """One row per iterator match. A malformed document is an error, unless the option ``mode`` says otherwise.
 
     ``/a/b/c`` reads a document from its root, because an element name alone does not tell its
     place. ``unique_tag=True`` promises that the last name occurs nowhere else, and ``//c`` does not
@@ -122,7 +122,7 @@ def read_xml(
         row_tag, inside = steps[0], steps[1:]
     frame = (
         spark.read.format("xml")
-        .options(rowTag=row_tag, inferSchema=False, **options)
+        .options(**{"rowTag": row_tag, "inferSchema": False, "mode": "FAILFAST", **options})
         .schema(_nested(element, inside))
         .load(path)
     )
@@ -136,5 +136,5 @@ def expand_xml(frame: DataFrame, column: str, iterator: str | None, references:
     if anywhere:
         raise SourceError("an iterator over a column of documents has to start at the root element")
     schema = _nested(_element_for(references).dtype(), steps[1:])
-    frame = frame.select(F.explode(F.array(F.from_xml(F.col(f"`{column}`"), schema))).alias("_xml"))
+    frame = frame.select(F.explode(F.array(F.from_xml(F.col(f"`{column}`"), schema, {"mode": "FAILFAST"}))).alias("_xml"))
     return _references(_iterate(frame, "_xml", steps[1:]), "_xml", references)

@@ -121,6 +121,8 @@ def test_turtle_states(text, states):
     lexer, found = turtle_lexer(), [0]
     for line in text.split("\n"):
         found.append(lexer.line(line, found[-1]))
+        easy = lexer.easy(line)
+        assert easy is None or list(easy) == [lexer.line(line, state) for state in range(lexer.states)]
     assert found[1:] == states
 
 

@@ -428,3 +428,36 @@ def test_broken_files_are_errors(spark, tmp_path, name, text):
     mapping = Mapping.of(triples_map("m", source, template("x/{a}"), classes=V + "C"))
     with pytest.raises(Exception, match="(?i)malformed"):
         mapping.run(spark, root=str(tmp_path)).collect()
+
+
+# --- documents that cannot be parsed -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", ['{"a": ', "nonsense {", '{"a": 1} trailing {', '[{"a": 1}'])
+def test_malformed_json_in_a_column_is_an_error(spark, text):
+    frame = spark.createDataFrame([('{"a": "x"}',), (text,), (None,)], "value string")
+    item = triples_map("m", json_source("docs", "$"), template("m/{a}"), classes=V + "Thing")
+    with pytest.raises(Exception, match="malformed JSON document"):
+        Mapping.of(item).run(spark, {"docs": frame}).collect()
+
+
+def test_json_of_another_shape_has_no_match(spark):
+    frame = spark.createDataFrame([('{"a": "x"}',), ("null",), (None,), ('"text"',), ("[1, 2]",), ("{}",)], "value string")
+    item = triples_map("m", json_source("docs", "$"), template("m/{a}"), classes=V + "Thing")
+    assert [r.s for r in Mapping.of(item).run(spark, {"docs": frame}).collect()] == [BASE + "m/x"]
+
+
+@pytest.mark.parametrize("iterator", ["/orchard/plot/tree", "//tree"])
+@pytest.mark.parametrize("text", ["<orchard><plot><tree tag='a'></plot></orchard>", "<orchard><plot><tree tag='a'><x></tree>"])
+def test_malformed_xml_is_an_error(spark, tmp_path, iterator, text):
+    (tmp_path / "trees.xml").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        Mapping.of(tree_map(iterator)).run(spark, root=str(tmp_path)).collect()
+
+
+def test_malformed_xml_in_a_column_is_an_error(spark):
+    good = "<orchard><plot><tree tag='a'/></plot></orchard>"
+    frame = spark.createDataFrame([(good,), ("<orchard><plot>",)], "value string")
+    assert len(Mapping.of(tree_map()).run(spark, {"trees.xml": frame.limit(1)}).collect()) == 1
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        Mapping.of(tree_map()).run(spark, {"trees.xml": frame}).collect()

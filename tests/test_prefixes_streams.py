@@ -166,3 +166,23 @@ def test_distinct_within_a_watermark(spark, tmp_path, arriving):
     query = start_statement_sink(unique, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_longest_namespace_by_table(spark):
+    """Namespaces that end in a colon, a letter or a slash, and that hold one another: the table finds what the expression finds."""
+    from quadweave.operators.prefixes import compact_column, compact_iri
+
+    known = {"u": "urn:x:", "w": "http://w/", "deep": "http://w/a/", "let": "http://w/a/b", "hash": "http://w/a#", "all": ""}
+    iris = [
+        "urn:x:abc", "urn:x:", "urn:x:a:b", "urn:y:abc", "http://w/", "http://w/k", "http://w/a/k", "http://w/a/b", "http://w/a/bc",
+        "http://w/a/b/c", "http://w/a#k", "http://w/a#k/l", "http://w", "plain", "http://w/a/b c", "",
+    ]
+    frame = spark.createDataFrame([(iri, n) for iri in [*iris, None] for n in range(2)], "iri string, n int")
+    table = spark.createDataFrame(list(known.items()), "prefix string, iri string")
+    by_table = compact_column(frame, "iri", table)
+    by_expression = frame.withColumn("iri", compact_iri(F.col("iri"), known))
+    assert by_table.columns == ["iri", "n"]
+    assert sorted(map(str, by_table.collect())) == sorted(map(str, by_expression.collect()))
+    assert {r.iri for r in by_table.collect()} >= {"u:abc", "<urn:x:a:b>", "w:k", "deep:k", "let:", "let:c", "hash:k", "all:plain"}
+    empty = spark.createDataFrame([], "prefix string, iri string")
+    assert compact_column(frame, "iri", empty).where("iri = '<urn:x:abc>'").count() == 2
