@@ -72,14 +72,27 @@ def parse_triples(triples: DataFrame) -> DataFrame:
     )
 
 
-def scan_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A record ends with a graph element, so files split between graphs."""
+def _records(spark: SparkSession, paths: list[str], end: str) -> DataFrame:
+    """(value, file): text up to each end tag, without comments.
+
+    A comment that holds the end tag can't be told from text here, nor can a CDATA section: both are errors.
+    """
     records = (
         spark.read.option("recursiveFileLookup", True)
-        .text(paths, lineSep="</graph>")
+        .text(paths, lineSep=end)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    return parse_graph_elements(_checked(records)).select("file", *STATEMENT_COLUMNS)
+    bare = F.when(F.contains("value", F.lit("<!--")), F.regexp_replace("value", "(?s)<!--.*?-->", "")).otherwise(F.col("value"))
+    message = F.concat(F.lit("Exception occurred while parsing "), F.col("file"), F.lit(": a CDATA section, or an end tag in a comment"))
+    hidden = F.contains("value", F.lit("<!--")) | F.contains("value", F.lit("<![CDATA["))
+    return records.select(bare.alias("value"), "file").select(
+        F.when(hidden, F.raise_error(message).cast("string")).otherwise(F.col("value")).alias("value"), "file"
+    )
+
+
+def scan_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A record ends with a graph element, so files split between graphs."""
+    return parse_graph_elements(_checked(_records(spark, paths, "</graph>"))).select("file", *STATEMENT_COLUMNS)
 
 
 def _checked(records: DataFrame) -> DataFrame:
@@ -93,7 +106,7 @@ def scan_large_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A record ends with a triple element. Its graph is only known without looking at its neighbours
     when the whole file names a single one; files with several graphs are cut between those."""
     ensure_checkpoint_folder(spark)
-    pieces = spark.read.text(paths, lineSep="</triple>").select("value", F.col("_metadata.file_path").alias("file"))
+    pieces = _records(spark, paths, "</triple>")
     start = r"<graph[^>]*>\s*(?:<(uri|id)>([^<]*)</)?"
     tags, texts = (F.regexp_extract_all("value", F.lit(start), i) for i in (1, 2))
     names = (
@@ -118,6 +131,6 @@ def scan_large_graphs(spark: SparkSession, paths: list[str]) -> DataFrame:
     several = broadcast_if_small(files.where("NOT single").select("file"))
     triples = pieces.where(F.contains("value", F.lit("<triple>"))).join(single, "file")
     cut = parse_triples(triples.select("file", "g", F.substring_index("value", "<triple>", -1).alias("triple")))
-    records = spark.read.text(paths, lineSep="</graph>").select("value", F.col("_metadata.file_path").alias("file"))
+    records = _records(spark, paths, "</graph>")
     rest = parse_graph_elements(_checked(records.join(several, "file", "left_semi")))
     return cut.select("file", *STATEMENT_COLUMNS).unionByName(rest.select("file", *STATEMENT_COLUMNS))

@@ -624,3 +624,22 @@ def test_trix_numeric_references_are_decoded(spark, tmp_path):
     triple = "<triple><uri>http://v/a</uri><uri>http://v/p</uri><plainLiteral>caf&#233; &#x41; &amp;amp; \u00fc</plainLiteral></triple>"
     (tmp_path / "a.trix").write_text(f'<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/"><graph>{triple}</graph></TriX>')
     assert [r.o for r in read_rdf(spark, str(tmp_path)).collect()] == ["caf\u00e9 A &amp; \u00fc"]
+
+
+TRIX_TRIPLE = "<triple><uri>http://v/a</uri><uri>http://v/p</uri><plainLiteral>{}</plainLiteral></triple>"
+
+
+@pytest.mark.parametrize("cut", [None, True])
+def test_trix_comments_are_no_statements(spark, tmp_path, cut):
+    hidden = f"<!-- {TRIX_TRIPLE.format('no').replace('</triple>', '')} -->"
+    body = f"<graph>{hidden}{TRIX_TRIPLE.format('x --> y')}<!-- a\n b -->{TRIX_TRIPLE.format('z')}</graph><!-- end -->"
+    (tmp_path / "a.trix").write_text(f'<?xml version="1.0"?><!-- top -->\n<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">{body}</TriX>')
+    assert sorted(r.o for r in read_rdf(spark, str(tmp_path), cut=cut).collect()) == ["x --> y", "z"]
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[<b>]]>", "<!-- </graph> -->"])
+def test_trix_text_that_hides_tags_is_an_error(spark, tmp_path, part):
+    body = f"<graph>{TRIX_TRIPLE.format(part)}</graph>"
+    (tmp_path / "a.trix").write_text(f'<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">{body}</TriX>')
+    with pytest.raises(Exception, match="CDATA section, or an end tag in a comment"):
+        read_rdf(spark, str(tmp_path)).collect()
