@@ -21,6 +21,7 @@ def map_to_rdf(
     *,
     mapping_format: str | None = None,
     sources: MappingType[str | None, DataFrame] | None = None,
+    source_options: MappingType[str | None, MappingType[str, object]] | None = None,
     root: str | None = None,
     output: str | None = None,
     fmt: str = "nq",
@@ -37,12 +38,14 @@ def map_to_rdf(
 
     ``mapping`` are files or directories of mapping documents, ``root`` is where relative source
     names start, and ``sources`` binds DataFrames to source names (``None`` is the unnamed input).
+    ``source_options`` gives sources by name what documents can't say: declared keys (``unique``) and reader options.
     ``prefixes`` are ``p=iri`` declarations or names to look up in ``prefix_mappings``. Without an
     output the lines of the format come back as a DataFrame.
     """
     output_format(fmt)
     names = namespaces(spark, prefixes, prefix_mappings)
-    statements = Mapping.from_statements(read_rdf(spark, mapping, mapping_format, cut=False)).run(
+    described = Mapping.from_statements(read_rdf(spark, mapping, mapping_format, cut=False))
+    statements = described.with_source_options(source_options or {}).run(
         spark, sources, root=root, base_iri=base_iri, limit=limit, functions=functions, configure=configure
     )
     inline = pretty and output_format(fmt) in ("ttl", "ttls", "n3") and not relabel

@@ -277,6 +277,24 @@ class Mapping:
 
         return prune(self, predicates, classes, graphs)
 
+    def with_source_options(self, options: MappingType[str | None, MappingType[str, object]]) -> Mapping:
+        """The mapping with reader options and keys by source name, which mapping documents have no words for.
+
+        ``unique`` declares keys as in :func:`table`; everything else is an option of the source's reader.
+        """
+        missing = set(options) - {item.source.name for item in self.maps}
+        if missing:
+            raise MappingError(f"the mapping has no source named {sorted(map(str, missing))}")
+
+        def extended(source: Source) -> Source:
+            given = dict(options.get(source.name, {}))
+            unique = _keys(given.pop("unique", ())) or source.unique
+            if isinstance(given.get("types"), dict):
+                given["types"] = tuple(sorted(given["types"].items()))
+            return replace(source, options=tuple(sorted({**dict(source.options), **given}.items())), unique=unique)
+
+        return replace(self, maps=tuple(replace(item, source=extended(item.source)) for item in self.maps))
+
     def run(
         self,
         spark: SparkSession,

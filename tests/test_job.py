@@ -5,7 +5,7 @@ import os
 import pytest
 
 from quadweave import Mapping, json_source, map_to_rdf, ref, template, triples_map
-from quadweave.errors import FormatError, IriError, PrefixError, SourceError
+from quadweave.errors import FormatError, IriError, MappingError, PrefixError, SourceError
 
 V = "http://example.org/"
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -98,3 +98,37 @@ def test_typed_json(spark):
         ("true", "boolean"),
         ("7", None),
     }
+
+
+# --- what mapping documents have no words for --------------------------------------------------
+
+CREW = """<sailor> map:subjectMap [ map:template "sailor/{id}" ] ; rml:logicalSource <crew> ;
+  map:predicateObjectMap [ map:predicate <http://example.org/name> ; map:objectMap [ rml:reference "name" ] ] ;
+  map:predicateObjectMap [ map:predicate <http://example.org/ship> ; map:objectMap [ map:parentTriplesMap <ship> ;
+    map:joinCondition [ map:child "ship" ; map:parent "number" ] ] ] .
+<ship> map:subjectMap [ map:template "ship/{title}" ] ; rml:logicalSource <fleet> .
+<crew> rml:referenceFormulation form:CSV ; rml:source "crew.csv" .
+<fleet> rml:referenceFormulation form:CSV ; rml:source "fleet.csv" .
+"""
+
+
+def test_keys_and_reader_options_for_mapping_documents(spark, tmp_path):
+    (tmp_path / "crew.ttl").write_text(HEAD + CREW)
+    (tmp_path / "crew.csv").write_text("id;name;ship\n1;Ann;7\n2;Bo;8\n3;Cy;9\n")
+    (tmp_path / "fleet.csv").write_text("number,title\n7,Adder\n8,Beagle\n")
+    options = {"fleet.csv": {"unique": ["number"]}, "crew.csv": {"sep": ";", "multi_line": False}}
+    frame = map_to_rdf(spark, str(tmp_path / "crew.ttl"), root=str(tmp_path), source_options=options)
+    base = "http://example.com/base/"
+    expected = [f'<{base}sailor/{i}> <{V}name> "{n}" .' for i, n in ((1, "Ann"), (2, "Bo"), (3, "Cy"))]
+    expected += [f"<{base}sailor/{i}> <{V}ship> <{base}ship/{n}> ." for i, n in ((1, "Adder"), (2, "Beagle"))]
+    assert lines(frame) == sorted(expected)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ship#") and plan.count("LeftOuter") == 1 and "Union" not in plan
+
+
+def test_options_of_an_xml_source_and_of_an_unknown_one(spark, place):
+    seeds = str(place / "maps")
+    frame = map_to_rdf(spark, seeds, root=str(place / "data"), source_options={"seeds.xml": {"unique_tag": True}})
+    assert len(lines(frame)) == 3  # the promise is trusted: the tag is taken wherever it stands
+    with pytest.raises(MappingError, match="no source named"):
+        map_to_rdf(spark, seeds, root=str(place / "data"), source_options={"other.csv": {"sep": ";"}})
