@@ -15,7 +15,7 @@ STAGES = [
     ("sharding", stages.shard),
 ]
 
-#: The classifier is trained by gradient descent, which SQL can't express; tests compare with a plain version.
+#: The classifier is trained by gradient descent, which SQL can't express; tests check columns and counts.
 ORACLE_SQL = None
 
 
