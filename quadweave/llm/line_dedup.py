@@ -3,8 +3,9 @@
 Two lines within `edits` edits share at least one of the edits + 1 segments of the shorter, at a place that is shifted
 by no more than the lengths allow. Every distinct line files its segments under (its length, segment number,
 segment) and probes the files of all lengths from its own down to `edits` less, at the places where a shared segment
-may stand if the matches to its left and right are counted (multi-match-aware). Pairs that meet are verified with a
-banded edit distance. Lines connected by verified pairs are one class; the first occurrence stays.
+may stand if the matches to its left and right are counted (multi-match-aware). A first pass finds the keys at which
+different lines meet; only entries of those are kept. Pairs that meet are verified with a banded bit-parallel edit
+distance. Lines connected by verified pairs are one class; the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quadweave.llm.common import broadcast_if_small, components, shared_table
 
 #: Letters that are counted to tell lines apart before their texts are compared.
-LETTERS = "eant"
+LETTERS = "eantiros"
 
 
 def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
@@ -60,18 +61,50 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS occurs, 16 bits each (as many as fit)."""
+    """How often each of LETTERS occurs, 8 bits each (as many as fit)."""
     out = F.lit(0).cast("bigint")
     for letter in LETTERS:
         count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = F.shiftleft(out, 16).bitwiseOR(F.least(count, F.lit(0xFFFF)))
+        out = F.shiftleft(out, 8).bitwiseOR(F.least(count, F.lit(0xFF)))
     return out
 
 
 def letters_apart(x: str, y: str) -> str:
     """SQL of the sum of differences of two letter counts. An edit changes two counts by one at most."""
-    field = "(shiftrightunsigned({0}, {1}) & 65535)"
-    return " + ".join(f"abs({field.format(x, 16 * i)} - {field.format(y, 16 * i)})" for i in range(len(LETTERS)))
+    field = "(shiftrightunsigned({0}, {1}) & 255)"
+    return " + ".join(f"abs({field.format(x, 8 * i)} - {field.format(y, 8 * i)})" for i in range(len(LETTERS)))
+
+
+def within_edits(x: str, y: str, edits: int) -> Column:
+    """Whether two columns of text differ by at most that many edits (insertions, deletions, substitutions).
+
+    Bit-parallel along a band of 2 * edits + 1 diagonals: bit t stands for row j - edits + t of column j. vp and vn say where
+    distances grow or shrink by one downwards, hp where they grow to the right, d0 where they equal their upper left
+    neighbour's; d is the distance in the band's last row, and later in the last row of all. Texts are code points of
+    four bytes each, x with edits fillers before it.
+    """
+    k = edits
+    full, top = (1 << (2 * k + 1)) - 1, 2 * k
+    rows = f"(length(t.a) div 4 - {k})"
+    same = " + ".join(f"if(substring(t.a, 4 * (j + {i}) - 3, 4) = substring(t.b, 4 * j - 3, 4), {1 << i}, 0)" for i in range(top + 1))
+    last = f"({rows} - j + {k})"
+    step = (
+        f"if(j + {k} <= {rows}, 1 - (shiftright(d0, {top}) & 1), (shiftright(hp, {last}) & 1) - (shiftright(d0 & s.vp, {last}) & 1))"
+    )
+    state = (
+        f"named_struct('vp', ((d0 & s.vp) | ~(shiftright(d0, 1) | hp)) & {full}, 'vn', shiftright(d0, 1) & hp, 'd', s.d + {step})"
+    )
+    for name, value in (
+        ("hp", f"(s.vn | ~(d0 | s.vp)) & {full}"),
+        ("d0", f"((((e & s.vp) + s.vp) ^ s.vp) | e | s.vn) & {full}"),
+        ("e", same),
+    ):
+        state = f"element_at(transform(array({value}), {name} -> {state}), 1)"
+    start = f"named_struct('vp', {full - (1 << k) + 1}, 'vn', 0, 'd', {k})"
+    # the last columns take back at most 2 * edits: beyond three times the edits nothing can change any more
+    walk = f"aggregate(sequence(1, length(t.b) div 4), {start}, (s, j) -> if(s.d > {3 * k}, s, {state}), s -> s.d <= {k})"
+    texts = f"named_struct('a', concat(unhex('{'FF' * 4 * k}'), encode({x}, 'UTF-32')), 'b', encode({y}, 'UTF-32'))"
+    return F.expr(f"abs(length({x}) - length({y})) <= {k} AND exists(array({texts}), t -> {walk})")
 
 
 def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, least_chars: int) -> DataFrame:
@@ -84,7 +117,10 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select(
         "h", "line", "length", letter_counts(F.col("line")).alias("letters")
     )
-    keys = segment_keys(long, edits).groupBy("key", "h", "letters").agg(F.max("files").alias("files"))
+    keys = segment_keys(long, edits)
+    met = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("files").alias("files"))
+    met = shared_table(met.filter("files AND low <> high").select("key"), "met-keys")
+    keys = keys.join(broadcast_if_small(met), "key", "left_semi").groupBy("key", "h", "letters").agg(F.max("files").alias("files"))
     keys = shared_table(keys, "segments")
     # every probe, and every filed line for lines of its own length, against the filed ones
     probes = keys.select("key", F.col("h").alias("x"), F.col("letters").alias("lx"))
@@ -104,7 +140,7 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     linked = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("l")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("r")), "b")
-        .filter(F.levenshtein("l", "r", edits) >= 0)
+        .filter(within_edits("l", "r", edits))
         .select("a", "b")
     )
     classes = shared_table(components(linked).withColumnRenamed("node", "h"), "classes")
