@@ -39,11 +39,11 @@ def _segment_sql(length: str, i: int, edits: int) -> tuple[str, str]:
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, key, files) of lines (h, line, length): files tells entries of the index from probes."""
+    """(h, key, files) of lines (h, line, length): files, a key's lowest bit before, tells entries of the index from probes."""
     entries = []
     for i in range(edits + 1):
         start, size = _segment_sql("length", i, edits)
-        entries.append(f"struct(xxhash64(length, {i}, substring(line, {start} + 1, {size})) as key, true as files)")
+        entries.append(f"(xxhash64(length, {i}, substring(line, {start} + 1, {size})) & -2L) + 1L")
     for shorter in range(edits + 1):
         other = f"(length - {shorter})"
         for i in range(edits + 1):
@@ -54,10 +54,10 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
                     continue  # that is the line's own entry
                 entries.append(
                     f"if({start} + {shift} >= 0 AND {start} + {shift} + {size} <= length, "
-                    f"struct(xxhash64({other}, {i}, substring(line, {start} + {shift} + 1, {size})) as key, false as files), null)"
+                    f"xxhash64({other}, {i}, substring(line, {start} + {shift} + 1, {size})) & -2L, null)"
                 )
-    keys = F.explode(F.expr(f"filter(array({', '.join(entries)}), x -> x IS NOT NULL)")).alias("x")
-    return lines.select("h", "letters", keys).select("h", "letters", "x.key", "x.files")
+    keys = lines.select("h", F.explode(F.expr(f"array({', '.join(entries)})")).alias("x")).filter("x IS NOT NULL")
+    return keys.selectExpr("h", "x & -2L AS key", "(x & 1L) = 1L AS files")
 
 
 def letter_counts(line: Column) -> Column:
@@ -114,29 +114,26 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     ).filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
     lines = cut.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.length("line").alias("length"))
     where = shared_table(lines.select("id", "line_no", "h"), "lines")
-    long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select(
-        "h", "line", "length", letter_counts(F.col("line")).alias("letters")
-    )
+    long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select("h", "line", "length")
     keys = segment_keys(long, edits)
     met = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("files").alias("files"))
     met = shared_table(met.filter("files AND low <> high").select("key"), "met-keys")
-    keys = keys.join(broadcast_if_small(met), "key", "left_semi").groupBy("key", "h", "letters").agg(F.max("files").alias("files"))
+    keys = keys.join(broadcast_if_small(met), "key", "left_semi").groupBy("key", "h").agg(F.max("files").alias("files"))
     keys = shared_table(keys, "segments")
+    wanted = shared_table(keys.select("h").distinct(), "wanted")
+    texts = long.select("h", "line").join(broadcast_if_small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = shared_table(texts.withColumn("letters", letter_counts(F.col("line"))), "line-texts")
+    keys = keys.join(texts.select("h", "letters"), "h")
     # every probe, and every filed line for lines of its own length, against the filed ones
     probes = keys.select("key", F.col("h").alias("x"), F.col("letters").alias("lx"))
-    filed = keys.filter("files").select("key", F.col("h").alias("y"), F.col("letters").alias("ly"))
+    filed = keys.filter("files").select(F.col("key").alias("at"), F.col("h").alias("y"), F.col("letters").alias("ly"))
     apart = F.expr(letters_apart("lx", "ly"))
     pairs = (
-        probes.join(filed, (probes["key"] == filed["key"]) & (F.col("x") != F.col("y")) & (apart <= 2 * edits))
+        probes.join(filed, (F.col("key") == F.col("at")) & (F.col("x") != F.col("y")) & (apart <= 2 * edits))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
     pairs = shared_table(pairs, "line-pairs")
-    wanted = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    texts = shared_table(
-        long.select("h", "line").join(broadcast_if_small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")),
-        "line-texts",
-    )
     linked = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("l")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("r")), "b")
