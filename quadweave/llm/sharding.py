@@ -62,9 +62,14 @@ def shard_records(
 
     key: a long, never null, equal for records that belong together; size: a positive long; unit: columns that order
     records of one key. Records of one key share a shard unless they are heavier than a whole shard. Columns of records
-    that are called like the results are replaced. An empty table gives no rows.
+    that are called like the results are replaced; any other names pass through. An empty table gives no rows.
     """
     records = records.drop("shard", "slot")
+    mark = "_"
+    while any(x.startswith(mark) for x in records.columns):
+        mark += "_"
+    range_, heavy_, part_, parts_, splits_ = (mark + x for x in ("range", "heavy", "part", "parts", "splits"))
+    item_, lane_, lanes_, row_, offset_ = (mark + x for x in ("item", "lane", "lanes", "row", "offset"))
     narrow = records.select(*dict.fromkeys([key, size, *unit]))
     total = int(narrow.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
     count = shards * RANGES
@@ -75,72 +80,77 @@ def shard_records(
         return pd.Series(np.searchsorted(cuts, keys.to_numpy(), side="right").astype(np.int32))
 
     spark, full = records.sparkSession, total / count
-    ranged = narrow.withColumn("_range", range_of(key))
-    ranges = ranged.groupBy("_range").agg(F.sum(size).alias("bytes")).collect()  # at most count rows
-    over = [(x["_range"],) for x in ranges if x["bytes"] > 2 * full]
-    crowded = F.broadcast(spark.createDataFrame(over, "_range int"))
+    ranged = narrow.withColumn(range_, range_of(key))
+    ranges = ranged.groupBy(range_).agg(F.sum(size).alias("bytes")).collect()  # at most count rows
+    over = [(x[range_],) for x in ranges if x["bytes"] > 2 * full]
+    crowded = F.broadcast(spark.createDataFrame(over, f"{range_} int"))
     heavy = (
-        ranged.join(crowded, "_range", "left_semi")
-        .groupBy(F.col(key).alias("_heavy"), "_range")
+        ranged.join(crowded, range_, "left_semi")
+        .groupBy(F.col(key).alias(heavy_), range_)
         .agg(F.sum(size).alias("bytes"))
         .filter(F.col("bytes") > full)
         .collect()  # fewer than count rows, since each has more than a count-th of all bytes
     )
     whole = total / shards
-    parts = [(x["_heavy"], -int(-2 * x["bytes"] // whole) if x["bytes"] > whole else 1) for x in heavy]
-    rest = {x["_range"]: x["bytes"] for x in ranges}
+    parts = [(x[heavy_], -int(-2 * x["bytes"] // whole) if x["bytes"] > whole else 1) for x in heavy]
+    rest = {x[range_]: x["bytes"] for x in ranges}
     for x in heavy:
-        rest[x["_range"]] -= x["bytes"]
+        rest[x[range_]] -= x["bytes"]
     splits = [(r, -int(-b // full)) for r, b in rest.items() if b > 2 * full]
 
     def tagged(frame: DataFrame) -> DataFrame:
         return (
-            frame.withColumn("_range", range_of(key))
-            .join(F.broadcast(spark.createDataFrame(parts, "_heavy bigint, _parts int")), F.col(key) == F.col("_heavy"), "left")
-            .join(F.broadcast(spark.createDataFrame(splits, "_range int, _splits int")), "_range", "left")
+            frame.withColumn(range_, range_of(key))
+            .join(F.broadcast(spark.createDataFrame(parts, f"{heavy_} bigint, {parts_} int")), F.col(key) == F.col(heavy_), "left")
+            .join(F.broadcast(spark.createDataFrame(splits, f"{range_} int, {splits_} int")), range_, "left")
             .withColumn(
-                "_part",
-                F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64(F.lit(seed + 1), *unit), F.col("_parts")))
-                .when(F.col("_splits").isNotNull(), F.pmod(F.xxhash64(F.lit(seed + 2), key), F.col("_splits")))
+                part_,
+                F.when(F.col(heavy_).isNotNull(), F.pmod(F.xxhash64(F.lit(seed + 1), *unit), F.col(parts_)))
+                .when(F.col(splits_).isNotNull(), F.pmod(F.xxhash64(F.lit(seed + 2), key), F.col(splits_)))
                 .otherwise(F.lit(0))
                 .cast("int"),
             )
-            .drop("_parts", "_splits")
+            .drop(parts_, splits_)
         )
 
-    sums = tagged(narrow).groupBy("_range", "_heavy", "_part").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
-    items = [x.asDict() for x in sums.orderBy("_range", F.col("_heavy").asc_nulls_first(), "_part").collect()]
+    sums = tagged(narrow).groupBy(range_, heavy_, part_).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    items = [x.asDict() for x in sums.orderBy(range_, F.col(heavy_).asc_nulls_first(), part_).collect()]
     for x in items:
-        x["heavy"] = x["_heavy"]
+        x["heavy"] = x[heavy_]
     chosen = [
-        (x["_range"], x["_heavy"], x["_part"], s, i, max(1, x["rows"] // LANE_ROWS))
+        (x[range_], x[heavy_], x[part_], s, i, max(1, x["rows"] // LANE_ROWS))
         for i, (x, s) in enumerate(zip(items, _pack(items, shards), strict=True))
     ]
     table = F.broadcast(
-        spark.createDataFrame(chosen, "r int, h bigint, p int, shard int, _item int, _lanes int")
+        spark.createDataFrame(chosen, f"{mark}r int, {mark}h bigint, {mark}p int, shard int, {item_} int, {lanes_} int")
     )
 
     def dealt(frame: DataFrame) -> DataFrame:
         return (
             tagged(frame)
-            .join(table, (F.col("_range") == F.col("r")) & F.col("_heavy").eqNullSafe(F.col("h")) & (F.col("_part") == F.col("p")))
-            .drop("_range", "_heavy", "_part", "r", "h", "p")
-            .withColumn("_lane", F.pmod(F.xxhash64(F.lit(seed + 3), key, *unit), F.col("_lanes")))
-            .drop("_lanes")
+            .join(
+                table,
+                (F.col(range_) == F.col(mark + "r"))
+                & F.col(heavy_).eqNullSafe(F.col(mark + "h"))
+                & (F.col(part_) == F.col(mark + "p")),
+            )
+            .drop(range_, heavy_, part_, *(mark + x for x in "rhp"))
+            .withColumn(lane_, F.pmod(F.xxhash64(F.lit(seed + 3), key, *unit), F.col(lanes_)))
+            .drop(lanes_)
         )
 
-    before = Window.partitionBy("shard").orderBy("_item", "_lane").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy(item_, lane_).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         dealt(narrow)
-        .groupBy("shard", "_item", "_lane")
+        .groupBy("shard", item_, lane_)
         .count()
-        .select("_item", "_lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+        .select(item_, lane_, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset_))
     )
-    inner = Window.partitionBy("_item", "_lane").orderBy(key, *unit)
+    inner = Window.partitionBy(item_, lane_).orderBy(key, *unit)
     return (
         dealt(records)
-        .withColumn("_row", F.row_number().over(inner))
-        .join(offsets, ["_item", "_lane"])
-        .withColumn("slot", F.col("_offset") + F.col("_row") - 1)
-        .drop("_item", "_lane", "_offset", "_row")
+        .withColumn(row_, F.row_number().over(inner))
+        .join(offsets, [item_, lane_])
+        .withColumn("slot", F.col(offset_) + F.col(row_) - 1)
+        .drop(item_, lane_, offset_, row_)
     )
