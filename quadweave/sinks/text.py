@@ -66,10 +66,28 @@ def write_rdf(
     compression: str | None = None,
 ) -> WriteReport:
     """Write statements below ``path``, replacing an earlier output; counts come from the same pass."""
-    plan = plan_output(fmt, pretty)
     location = output_location(statements.sparkSession, path)
     if relabel:
         statements = bnodes.relabel(statements)
+    return write_at(
+        statements, location, fmt,
+        prefixes=prefixes, pretty=pretty, inline_bnodes=inline_bnodes, max_group=max_group, compression=compression,
+    )
+
+
+def write_at(
+    statements: DataFrame,
+    location: str,
+    fmt: str,
+    *,
+    prefixes: Mapping[str, str] | None = None,
+    pretty: bool = False,
+    inline_bnodes: bool = False,
+    max_group: int | None = MAX_GROUP,
+    compression: str | None = None,
+) -> WriteReport:
+    """Write statements to exactly that folder, whatever it holds."""
+    plan = plan_output(fmt, pretty)
     raw, distinct = Observation(), Observation()
     if inline_bnodes and pretty and plan.format in ("ttl", "ttls", "n3"):
         # Inlining merges statements into blocks, so only what goes in can be counted on the way.

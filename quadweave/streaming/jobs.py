@@ -3,13 +3,17 @@ left here is starting and stopping the query."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quadweave.errors import FormatError
 from quadweave.operators import rendering
 from quadweave.operators.schema import STATEMENT_COLUMNS
 from quadweave.plans.output import output_format
+from quadweave.sinks.text import WriteReport, write_at
 
 
 def stream_lines(statements: DataFrame, fmt: str = "nq") -> DataFrame:
@@ -46,5 +50,41 @@ def start_statement_sink(
     return _start(writer, path, checkpoint, trigger)
 
 
+def start_dataset_sink(
+    statements: DataFrame,
+    path: str,
+    checkpoint: str,
+    fmt: str = "nq",
+    *,
+    prefixes: Mapping[str, str] | None = None,
+    pretty: bool = False,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write each micro-batch as a dataset of its own, in any output format, with prefixes, below ``path/batch=<number>``.
+
+    A batch that is run again after a failure replaces its folder, so every batch is there once; its counts are
+    kept beside it (see ``written_so_far``). Grouped formats are sets within a batch, not between batches.
+    """
+    output_format(fmt)
+    root = path.rstrip("/")
+
+    def write(batch: DataFrame, number: int) -> None:
+        report = write_at(batch, f"{root}/batch={number}", fmt, prefixes=prefixes, pretty=pretty)
+        counts = batch.sparkSession.createDataFrame(
+            [(report.written_raw, report.written_distinct)], "written_raw bigint, written_distinct bigint"
+        )
+        counts.coalesce(1).write.mode("overwrite").json(f"{root}/_counts/batch={number}")
+
+    writer = statements.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def written_so_far(spark: SparkSession, path: str) -> WriteReport:
+    """What a dataset sink has written in all its finished batches, restarts included; copies between batches count each time."""
+    counts = spark.read.schema("written_raw bigint, written_distinct bigint").json(f"{path.rstrip('/')}/_counts/batch=*")
+    raw, distinct = counts.agg(F.coalesce(F.sum("written_raw"), F.lit(0)), F.sum("written_distinct")).first()
+    return WriteReport(path, raw, distinct)
+
+
 def _start(writer, path: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(path)

@@ -9,7 +9,8 @@ from quadweave import Mapping, parent, table, template, triples_map
 from quadweave.errors import FormatError, PrefixError
 from quadweave.operators import prefixes, statements
 from quadweave.sources.files import scratch_folder
-from quadweave.streaming.jobs import start_line_sink, start_statement_sink, stream_lines
+from quadweave.sources.rdf import read_rdf
+from quadweave.streaming.jobs import start_dataset_sink, start_line_sink, start_statement_sink, stream_lines, written_so_far
 
 V = "http://example.org/"
 BASE = "http://example.com/base/"
@@ -148,6 +149,28 @@ def test_stream_limit_and_lines(spark, tmp_path, arriving):
     assert len(lines) == 7 and all(line.endswith(f"> a <{V}T> .") for line in lines)
 
 
+def test_dataset_sink_with_prefixes_and_counts(spark, tmp_path, arriving):
+    folder, add = arriving
+    mapping = Mapping.of(triples_map("t", table("t"), template("t/{id}"), classes=V + "T"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def drain():
+        stream = spark.readStream.schema("id long, kind long").parquet(folder)
+        statements = mapping.run(spark, {"t": stream})
+        start_dataset_sink(statements, out, checkpoint, "ttl", prefixes={"v": V}, pretty=True).awaitTermination()
+        return written_so_far(spark, out), mapping.run(spark, {"t": spark.read.parquet(folder)}).distinct()
+
+    for end in (None, 150):
+        if end:
+            add(100, end)
+        report, batch = drain()
+        assert (report.written_raw, report.written_distinct) == (batch.count(), batch.count())
+        parts = sorted((tmp_path / "out").glob("batch=*/part-*"))
+        assert parts and all(f"@prefix v: <{V}> ." in part.read_text() and "a v:T" in part.read_text() for part in parts if part.stat().st_size)
+        read = read_rdf(spark, [str(p) for p in parts if p.stat().st_size], "ttl", cut=False)
+        assert read.exceptAll(batch.select(read.columns)).count() == 0 and read.count() == batch.count()
+
+
 def test_formats_that_cannot_stream(spark, arriving):
     stream = spark.readStream.schema("id long, kind long").parquet(arriving[0])
     mapping = Mapping.of(triples_map("t", table("t"), template("t/{id}"), classes=V + "T"))
