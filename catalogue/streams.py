@@ -8,7 +8,7 @@ from catalogue.maps import CUSTOMER, EVENTS, ORDERS
 from catalogue.registry import BASE, V, iri, query, read, st, union, v
 from quadweave import Mapping, parent, ref, template, triples_map
 from quadweave.sources.files import scratch_folder
-from quadweave.streaming.jobs import start_line_sink, start_statement_sink
+from quadweave.streaming.jobs import start_dataset_sink, start_line_sink, start_statement_sink, written_so_far
 
 
 def stream(spark, folder, name):
@@ -51,6 +51,22 @@ def stream_nquads(spark, folder):
     return spark.read.text(root + "/out")
 
 
+@query(
+    f"""WITH d AS (
+      SELECT 'e:' || event_id || ' v:user <{BASE}user/' || user_id || '> .' AS value FROM events
+      UNION ALL SELECT 'e:' || event_id || ' v:type "' || event_type || '" .' FROM events)
+    SELECT value, (SELECT count(*) FROM d) AS written FROM d"""
+)
+def stream_turtle(spark, folder):
+    """Lines of the dataset sink's files below their headers, with the count that it keeps."""
+    root = scratch_folder(spark, "stream")
+    statements = Mapping.of(event_map()).run(spark, {"events": stream(spark, folder, "events")})
+    prefixes = {"e": f"{BASE}event/", "v": V}
+    start_dataset_sink(statements, root + "/out", root + "/checkpoint", "ttl", prefixes=prefixes).awaitTermination()
+    lines = spark.read.text(root + "/out/batch=*").filter("value <> '' AND value NOT LIKE '@prefix %'")
+    return lines.withColumn("written", F.lit(written_so_far(spark, root + "/out").written_raw).cast("bigint"))
+
+
 @query("SELECT least(20, 2 * count(*)) AS n FROM events")
 def stream_limit(spark, folder):
     """How many of the limited statements are statements of the whole mapping: all of them."""
