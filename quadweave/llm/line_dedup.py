@@ -17,6 +17,8 @@ from quadweave.llm.common import broadcast_if_small, components, shared_table
 
 #: Letters that are counted to tell lines apart before their texts are compared.
 LETTERS = "eantiros"
+#: A character that makes a line not blank.
+NOT_BLANK = r"[^ \t\r\x0b\x0c]"
 
 
 def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
@@ -30,34 +32,32 @@ def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _segment_sql(length: str, i: int, edits: int) -> tuple[str, str]:
-    """SQL of start (from 0) and size of segment i of a line of that length."""
-    parts = edits + 1
-    size, more = f"({length} div {parts})", f"({length} % {parts})"
-    start = f"({i} * {size} + greatest({i} - ({parts} - {more}), 0))"
-    return start, f"({size} + if({i} >= {parts} - {more}, 1, 0))"
-
-
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, key, files) of lines (h, line, length): files, a key's lowest bit before, tells entries of the index from probes."""
-    entries = []
-    for i in range(edits + 1):
-        start, size = _segment_sql("length", i, edits)
-        entries.append(f"(xxhash64(length, {i}, substring(line, {start} + 1, {size})) & -2L) + 1L")
-    for shorter in range(edits + 1):
-        other = f"(length - {shorter})"
-        for i in range(edits + 1):
-            start, size = _segment_sql(other, i, edits)
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                if shorter == 0 and shift == 0:
-                    continue  # that is the line's own entry
-                entries.append(
-                    f"if({start} + {shift} >= 0 AND {start} + {shift} + {size} <= length, "
-                    f"xxhash64({other}, {i}, substring(line, {start} + {shift} + 1, {size})) & -2L, null)"
-                )
-    keys = lines.select("h", F.explode(F.expr(f"array({', '.join(entries)})")).alias("x")).filter("x IS NOT NULL")
-    return keys.selectExpr("h", "x & -2L AS key", "(x & 1L) = 1L AS files")
+    """(h, key, files) of lines (h, line, length): files tells entries of the index from probes.
+
+    The places to look at are rows of a small constant table, not branches of one expression: code that stays short is
+    compiled to machine code, a long one is not.
+    """
+    places = [
+        (shorter, i, shift)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)
+    ]
+    table = F.array(
+        *(F.struct(*(F.lit(x).alias(n) for n, x in zip(("shorter", "i", "shift"), place, strict=True))) for place in places)
+    )
+    parts = edits + 1
+    at = lines.select("h", "line", "length", F.inline(table)).withColumn("other", F.expr("length - shorter"))
+    long = f"i >= {parts} - other % {parts}"
+    at = at.withColumns(
+        {
+            "start": F.expr(f"i * (other div {parts}) + greatest(i - ({parts} - other % {parts}), 0) + shift").cast("int"),
+            "size": F.expr(f"other div {parts} + if({long}, 1, 0)").cast("int"),
+        }
+    ).filter("start >= 0 AND start + size <= length")
+    key = F.expr("xxhash64(other, i, substring(line, start + 1, size))")
+    return at.select("h", key.alias("key"), F.expr("shorter = 0 AND shift = 0").alias("files"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -111,7 +111,7 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     """(id, line_no, h, class): every line that isn't blank, the hash of its text, the hash that stands for its class."""
     cut = docs.select(
         F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")
-    ).filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
+    ).filter(F.col("line").rlike(NOT_BLANK))
     lines = cut.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.length("line").alias("length"))
     where = shared_table(lines.select("id", "line_no", "h"), "lines")
     long = lines.filter(F.col("length") >= max(least_chars, edits + 1)).select("h", "line", "length")
