@@ -56,7 +56,9 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
             "size": F.expr(f"other div {parts} + if({long}, 1, 0)").cast("int"),
         }
     ).filter("start >= 0 AND start + size <= length")
-    key = F.expr("xxhash64(other, i, substring(line, start + 1, size))")
+    # bytes are found at once where every character is one byte; else characters are counted from the line's start
+    part = "if(octet_length(line) = length, substring(CAST(line AS binary), start + 1, size), CAST(substring(line, start + 1, size) AS binary))"
+    key = F.expr(f"xxhash64(other, i, {part})")
     return at.select("h", key.alias("key"), F.expr("shorter = 0 AND shift = 0").alias("files"))
 
 
