@@ -1,6 +1,6 @@
 """The stages of the corpus pipeline. Each takes (spark, docs, sf_dir); docs has the columns of documents.
 
-Documents without an id cannot be told apart: the stages that drop by id keep them. All but the last stage return the
+Documents without an id cannot be told apart: the n-gram join, which drops by id, keeps them. All but the last stage return the
 columns they were given. Any columns beyond doc_id, text and source pass through.
 """
 
@@ -18,6 +18,8 @@ from quadweave.llm.sharding import shard_records
 
 #: The least probability of label 1 that keeps a document.
 LEAST_QUALITY = 0.3
+#: Keys of 32 bytes that may be broadcast.
+KEY_ROWS = 1 << 18
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,9 +50,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark."""
-    found = benchmark_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"))
+    """Drop documents that hold a passage of the benchmark; what counts is the text, so ids may be null or shared."""
+    key = "_text_key"
+    while key in docs.columns:
+        key = "_" + key
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    found = benchmark_overlaps(keyed.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    dropped = shared_table(found.select(key).distinct(), "dropped")
+    return keyed.join(broadcast_if_small(dropped, KEY_ROWS), key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
