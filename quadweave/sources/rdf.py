@@ -58,8 +58,13 @@ def scan_trix(spark: SparkSession, paths: list[str], cut: bool = False) -> DataF
     return rdf_xml.scan_large_graphs(spark, _visible_files(spark, paths)) if cut else rdf_xml.scan_graphs(spark, paths)
 
 
+def scan_rdf_json(spark: SparkSession, paths: list[str], cut: bool = True) -> DataFrame:
+    """An object per line, as the sink writes it; without ``cut`` a file is one document with any line breaks."""
+    return rdf_json.scan_rdf_json(spark, paths, whole_documents=not cut)
+
+
 #: Scans that can cut documents finer, or not at all, if the caller asks for it.
-CUT_SCANS = {"trix": scan_trix, **dict.fromkeys(TURTLE_FAMILY, scan_turtle)}
+CUT_SCANS = {"trix": scan_trix, "rj": scan_rdf_json, **dict.fromkeys(TURTLE_FAMILY, scan_turtle)}
 
 
 def _visible_files(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -82,7 +87,8 @@ def read_rdf(
     An explicit format holds for every file; otherwise each file's extension decides. A blank-node
     label means the same node only within one file. ``distinct=False`` leaves out the shuffle when
     copies do not matter. Turtle, TriG and N3 documents are read in pieces, whatever their size, unless
-    ``cut`` is False; TriX documents are cut between graphs, and with ``cut=True`` between triples.
+    ``cut`` is False; TriX documents are cut between graphs, and with ``cut=True`` between triples. RDF/JSON is
+    an object per line, with ``cut=False`` a document per file.
     """
     if fmt is not None and fmt not in SCANS:
         raise FormatError(f"Could not determine RDFFormat for `{fmt}`")
