@@ -4,12 +4,16 @@ Two lines within `edits` edits share at least one of the edits + 1 segments of t
 by no more than the lengths allow. Every distinct line files its segments under (its length, segment number,
 segment) and probes the files of all lengths from its own down to `edits` less, at the places where a shared segment
 may stand if the matches to its left and right are counted (multi-match-aware). A first pass finds the keys at which
-different lines meet; only entries of those are kept. Pairs that meet are verified with a banded bit-parallel edit
-distance. Lines connected by verified pairs are one class; the first occurrence stays.
+different lines meet; only entries of those are kept. Lines of short files meet pair by pair. Lines of long files meet by
+windows: halves of halves of a line that hold all the edits, with equal text around them, are made smaller until few lines
+are left, or until a window is so small that it holds one edit, where all lines link to one. Pairs that meet are verified
+with a banded bit-parallel edit distance. Lines connected by verified pairs are one class; the first occurrence stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,11 @@ from quadweave.llm.common import broadcast_if_small, components, shared_table
 LETTERS = "eantiros"
 #: A character that makes a line not blank.
 NOT_BLANK = r"[^ \t\r\x0b\x0c]"
+#: Filed lines of a key up to this many meet its probes pair by pair; more are told apart by windows. Comparing the letter
+#: counts of a pair takes far less time than making the keys of a line's windows.
+SHORT_FILE = 32
+#: Lines of long files are halved that often before their windows are compared first.
+FIRST_HALVINGS = 2
 
 
 def segment_bounds(length: int, edits: int) -> list[tuple[int, int]]:
@@ -109,6 +118,108 @@ def within_edits(x: str, y: str, edits: int) -> Column:
     return F.expr(f"abs(length({x}) - length({y})) <= {k} AND exists(array({texts}), t -> {walk})")
 
 
+def halved_windows(rows: DataFrame, halvings: int, edits: int, times: int = 1) -> DataFrame:
+    """Rows (line, length, shorter, windows) with the half or halves of each window that may hold its edits.
+
+    A window (piece, more) is one of 2**halvings equal pieces of the shorter line, and how many characters more the longer
+    line has there. It costs max(1, |more|) edits at least. Where pieces are characters with empty pieces between them
+    (finest), a window is a character that is changed or left out, or an empty piece with characters put in.
+    """
+    both = f"filter(sequence(-{edits}, {edits}), e -> greatest(1, abs(e)) + greatest(1, abs(v.more - e)) <= {edits})"
+    half = "named_struct('piece', 2 * v.piece + {0}, 'more', {1})"
+    halves = (
+        f"concat(array(array({half.format(0, 'v.more')}), array({half.format(1, 'v.more')})), "
+        f"transform({both}, e -> array({half.format(0, 'e')}, {half.format(1, 'v.more - e')})))"
+    )
+    none = "array(CAST(array() AS array<struct<piece: bigint, more: int>>))"
+    every = "array(windows)"
+    for _ in range(times):
+        every = (
+            f"flatten(transform({every}, old -> aggregate(old, {none}, "
+            f"(done, v) -> flatten(transform(done, x -> transform({halves}, y -> concat(x, y)))))))"
+        )
+    rows = rows.withColumns(
+        {"least": F.expr("CAST(length - shorter AS bigint)"), "finest": F.expr(f"2 * (length - shorter) <= {1 << halvings}")}
+    )
+    start, end = piece_bounds(halvings)
+    fits = (
+        f"{end} - {start} + v.more >= 0 AND ({end} > {start} OR v.more > 0) AND NOT (finest AND {end} > {start} AND v.more > 0)"
+    )
+    cost = "aggregate(w, 0, (n, v) -> n + greatest(1, abs(v.more)))"
+    return rows.withColumn("windows", F.explode(F.expr(f"filter({every}, w -> {cost} <= {edits} AND forall(w, v -> {fits}))")))
+
+
+def piece_bounds(halvings: int) -> tuple[str, str]:
+    """SQL of the start and end of window v's piece in the shorter line."""
+    return tuple(f"CAST({piece} * least div {1 << halvings} AS int)" for piece in ("v.piece", "(v.piece + 1)"))
+
+
+def window_keys(rows: DataFrame, halvings: int) -> DataFrame:
+    """The rows with key (of the text around the windows), inside (a hash per window) and files.
+
+    Lines that agree around the finest windows are within the edits.
+    """
+    start, end = piece_bounds(halvings)
+    first = "named_struct('at', 0, 'shift', 0, 'around', '', 'inside', CAST(array() AS array<bigint>))"
+    step = (
+        f"named_struct('at', {end} + a.shift + v.more, 'shift', a.shift + v.more, "
+        f"'around', concat(a.around, substring(line, a.at + 1, {start} + a.shift - a.at)), "
+        f"'inside', concat(a.inside, array(xxhash64(substring(line, {start} + a.shift + 1, {end} - {start} + v.more)))))"
+    )
+    key = f"xxhash64(least, windows.piece, {1 << halvings}, a.around, substring(line, a.at + 1))"
+    found = f"aggregate(windows, {first}, (a, v) -> {step}, a -> named_struct('key', {key}, 'inside', a.inside))"
+    files = F.expr("shorter = 0 AND forall(windows, v -> v.more = 0)")
+    return rows.withColumn("found", F.expr(found)).select(
+        "h", "letters", "shorter", "windows", "finest", "found.key", "found.inside", files.alias("files")
+    )
+
+
+def pairs_of_files(keys: DataFrame, edits: int, *, inside: bool = False) -> DataFrame:
+    """Pairs (a, b) of every probe, and every filed line for lines of its own length, with the filed ones of its key."""
+    more = ["inside"] if inside else []
+    probes = keys.select("key", F.col("h").alias("x"), F.col("letters").alias("lx"), *(F.col(c).alias("ix") for c in more))
+    filed = keys.filter("files").select(
+        F.col("key").alias("at"), F.col("h").alias("y"), F.col("letters").alias("ly"), *(F.col(c).alias("iy") for c in more)
+    )
+    apart = F.expr(letters_apart("lx", "ly"))
+    on = (F.col("key") == F.col("at")) & (F.col("x") != F.col("y")) & (apart <= 2 * edits)
+    if inside:  # equal windows hold no edit: the pair meets where fewer windows are left
+        on = on & F.expr("forall(zip_with(ix, iy, (p, q) -> p <> q), unequal -> unequal)")
+    return probes.join(filed, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def window_pairs(lines: DataFrame, edits: int) -> list[DataFrame]:
+    """Tables of pairs (a, b) that connect all lines (h, line, letters) within the edits, and may hold others.
+
+    Rows grow with the lines, not with their square: a line stays under a key as long as many differ from it in each of the
+    key's windows, and those lines have less and less room to differ.
+    """
+    lines = lines.withColumn("length", F.length("line"))
+    whole = "array(named_struct('piece', 0L, 'more', shorter))"
+    rows = lines.withColumn("shorter", F.explode(F.array(*map(F.lit, range(edits + 1))))).filter("length > shorter")
+    rows = rows.withColumn("windows", F.expr(whole))
+    halvings, out = FIRST_HALVINGS, []
+    rows = halved_windows(rows, halvings, edits, times=FIRST_HALVINGS)
+    while True:
+        rows = shared_table(window_keys(rows, halvings), "windows")
+        ends = [(F.min(F.get("inside", F.lit(i))), F.max(F.get("inside", F.lit(i)))) for i in range(edits)]
+        unequal = reduce(Column.__and__, (low.isNull() | (low != high) for low, high in ends))
+        groups = rows.groupBy("key").agg(
+            F.count_if("files").alias("n"), F.min(F.when(F.col("files"), F.col("h"))).alias("first"), unequal.alias("unequal")
+        )
+        groups = shared_table(groups.filter("n > 0 AND unequal").select("key", "n", "first"), "window-keys")
+        rows = rows.join(broadcast_if_small(groups), "key")
+        out.append(shared_table(pairs_of_files(rows.filter(F.col("n") <= SHORT_FILE), edits, inside=True), "line-pairs"))
+        rows = rows.filter(F.col("n") > SHORT_FILE)
+        star = rows.filter("finest AND h <> first").select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b"))
+        out.append(shared_table(star.distinct(), "line-pairs"))
+        rows = shared_table(rows.filter("NOT finest").select("h", "shorter", "windows"), "crowded")
+        if rows.isEmpty():
+            return out
+        halvings += 1
+        rows = halved_windows(rows.join(lines, "h"), halvings, edits)
+
+
 def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, least_chars: int) -> DataFrame:
     """(id, line_no, h, class): every line that isn't blank, the hash of its text, the hash that stands for its class."""
     cut = docs.select(
@@ -126,16 +237,13 @@ def line_classes(docs: DataFrame, *, id_col: str, text_col: str, edits: int, lea
     texts = long.select("h", "line").join(broadcast_if_small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = shared_table(texts.withColumn("letters", letter_counts(F.col("line"))), "line-texts")
     keys = keys.join(texts.select("h", "letters"), "h")
-    # every probe, and every filed line for lines of its own length, against the filed ones
-    probes = keys.select("key", F.col("h").alias("x"), F.col("letters").alias("lx"))
-    filed = keys.filter("files").select(F.col("key").alias("at"), F.col("h").alias("y"), F.col("letters").alias("ly"))
-    apart = F.expr(letters_apart("lx", "ly"))
-    pairs = (
-        probes.join(filed, (F.col("key") == F.col("at")) & (F.col("x") != F.col("y")) & (apart <= 2 * edits))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    pairs = shared_table(pairs, "line-pairs")
+    long_files = keys.groupBy("key").agg(F.count_if("files").alias("n")).filter(F.col("n") > SHORT_FILE).select("key")
+    long_files = shared_table(long_files, "long-files")
+    pairs = shared_table(pairs_of_files(keys.join(broadcast_if_small(long_files), "key", "left_anti"), edits), "line-pairs")
+    if not long_files.isEmpty():
+        crowd = shared_table(keys.join(broadcast_if_small(long_files), "key", "left_semi").select("h").distinct(), "crowd")
+        crowd = texts.join(broadcast_if_small(crowd), "h", "left_semi")
+        pairs = reduce(DataFrame.union, window_pairs(crowd, edits), pairs).distinct()
     linked = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("l")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("r")), "b")
