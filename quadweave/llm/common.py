@@ -23,21 +23,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 @contextmanager
-def short_batches(spark: SparkSession):
-    """While a job runs: at most ARROW_ROWS rows, which may be whole texts or sets, in a batch between JVM and Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(name))
-    spark.conf.set(name, min(before, ARROW_ROWS) if before > 0 else ARROW_ROWS)
+def bounded(spark: SparkSession):
+    """For queries that are made and run meanwhile: at most ARROW_ROWS rows, which may be whole texts or sets, in a batch
+    between JVM and Python; shuffle files go when the query ends, not when the driver's garbage happens to be collected."""
+    rows, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, cleaned = int(spark.conf.get(rows)), spark.conf.get(clean, "false")
+    spark.conf.set(rows, min(before, ARROW_ROWS) if before > 0 else ARROW_ROWS)
+    spark.conf.set(clean, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(rows, before)
+        spark.conf.set(clean, cleaned)
 
 
 def shared_table(frame: DataFrame, purpose: str) -> DataFrame:
     """Write once, read many times: cuts the lineage, and lost executors don't lose it."""
     path = shared_folder(frame.sparkSession, purpose)
-    with short_batches(frame.sparkSession):
+    with bounded(frame.sparkSession):
         frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
@@ -53,14 +56,14 @@ def bitmap(frame: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray
     The driver gets at most 2**(bits - 6) rows of two numbers.
     """
     place = F.pmod(F.col(column), F.lit(1 << bits))
-    words = (
-        frame.select(place.alias("at"))
-        .select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-    with short_batches(frame.sparkSession):
-        words = words.toArrow()
+    with bounded(frame.sparkSession):
+        words = (
+            frame.select(place.alias("at"))
+            .select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+            .groupBy("word")
+            .agg(F.bit_or("bit").alias("bits"))
+            .toArrow()
+        )
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out

@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word n-grams by vertical partitioning.
 
-The global order of n-grams is: rare before frequent, then by hash. Every document's set is kept once, cut by
-that order where needed:
+The global order of n-grams is: rare before frequent, then by hash. Sets are made from the texts again in every
+pass; only sets that meet in step 4 are written. They are cut by that order where needed:
 
 1. *Classes.* Documents with equal sets are one class; only classes are joined.
 2. *Prefix fragment.* Two sets with similarity t share an n-gram among the first n - ceil(t n) + 1 of each, in any
@@ -11,7 +11,9 @@ that order where needed:
    give no pairs.
 4. Classes connected by remaining pairs or long lists are dealt to blocks and every two blocks of a group meet in one
    task. The rest of the order is cut into fragments of n-grams; each fragment's overlaps are counted separately, as
-   products of 0/1 matrices, and summed per pair. A spanning forest of the links leaves the task.
+   products of 0/1 matrices, and summed per pair. A spanning forest of the links leaves the task. Blocks meet in
+   turns, by their distance in the circle of a group's blocks: each turn moves a bounded share of all n-grams, so
+   that the disk does not grow with the square of a group.
 5. Connected components of the links.
 
 No list, pair or candidate is dropped. Frequent n-grams are kept as a bitmap of fixed size; false positives only
@@ -40,8 +42,8 @@ LONG_LIST = 32
 BLOCK_CLASSES = 256
 #: n-grams in a fragment (columns of a 0/1 matrix).
 COLUMNS = 1024
-#: Rows of packed sets that a task unpacks at a time.
-SETS_AT_A_TIME = 256
+#: Sets that meet in one turn may hold so many of all documents' n-grams, or two blocks of a group if they are more.
+TURN_SHARE = 0.5
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -68,60 +70,67 @@ def _prefix_sizes(n: np.ndarray, numerator: int, denominator: int) -> np.ndarray
     return np.where(n > 0, n - -(-n * numerator // denominator) + 1, 0)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, lower: bool) -> DataFrame:
-    """(id, n, sig, grams): the set's size, its 64-bit signature and its hashes, sorted and packed."""
-
-    def run(batches):
-        for batch in batches:
-            for first, end, texts in pieces(batch.column(1)):
-                values, bounds = texts.shingles(words, lower)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(0x5BF03635F0A31D21)))])
-                n = np.diff(bounds)
-                sig = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, end - first),
-                        pa.array(n, pa.int64()),
-                        pa.array(sig.view(np.int64)),
-                        _packed(values, bounds),
-                    ],
-                    ["id", "n", "sig", "grams"],
-                )
-            give_back()
+class Shingled:
+    """The sets of n-grams of a table's texts, made anew in every pass; the table must give the same rows each time."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, lower: bool):
+        self.docs, self.words, self.lower = docs.select(id_col, text_col), words, lower
+        self.kind = docs.schema[id_col].dataType.simpleString()
+
+    def over(self, function, schema: str) -> DataFrame:
+        """function(ids, sig, n, values, bounds) -> arrays of the schema, over runs of rows.
+
+        n: each set's size; sig: its 64-bit signature; values: the sets' hashes in order, cut by bounds.
+        """
+        words, lower = self.words, self.lower
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def run(batches):
+            for batch in batches:
+                for first, end, texts in pieces(batch.column(1)):
+                    values, bounds = texts.shingles(words, lower)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(0x5BF03635F0A31D21)))])
+                    n = np.diff(bounds)
+                    sig = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
+                    ids = batch.column(0).slice(first, end - first)
+                    yield pa.RecordBatch.from_arrays(function(ids, sig, n, values, bounds), names)
+                give_back()
+
+        return self.docs.mapInArrow(run, schema)
+
+    def sizes(self) -> DataFrame:
+        """(id, n, sig), a row per row of the table."""
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, sig bigint, grams binary")
+        def run(ids, sig, n, values, bounds):
+            return [ids, pa.array(n, pa.int64()), pa.array(sig)]
 
+        return self.over(run, f"id {self.kind}, n bigint, sig bigint")
 
-def _over_sets(table: DataFrame, function, schema: str) -> DataFrame:
-    """function(sig, n, values, bounds) -> arrays of the schema, over rows of packed sets."""
+    def packed(self, wanted) -> DataFrame:
+        """(id, n, sig, grams): sets, sorted and packed, whose signatures may be in the bitmap that was broadcast."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SETS_AT_A_TIME):
-                part = batch.slice(at, SETS_AT_A_TIME)
-                values, bounds = _sets(part.column(2))
-                columns = function(part.column(0).to_numpy(), part.column(1).to_numpy(), values, bounds)
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
-            give_back()
+        def run(ids, sig, n, values, bounds):
+            kept = (n > 0) & in_bitmap(wanted.value, sig)
+            values, n = values[np.repeat(kept, n)], n[kept]
+            grams = _packed(values, np.concatenate([[0], np.cumsum(n)]))
+            return [ids.filter(pa.array(kept)), pa.array(n, pa.int64()), pa.array(sig[kept]), grams]
 
-    return table.select("sig", "n", "grams").mapInArrow(run, schema)
+        return self.over(run, f"id {self.kind}, n bigint, sig bigint, grams binary")
 
 
-def _hash_prefixes(table: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _hash_prefixes(sets: Shingled, numerator: int, denominator: int) -> DataFrame:
     """n-grams of half as much again as each prefix in hash order: what may move up into the prefix counts as well."""
 
-    def run(sig, n, values, bounds):
+    def run(ids, sig, n, values, bounds):
         rank = np.arange(len(values)) - np.repeat(bounds[:-1], n)
         kept = values[rank < np.repeat(_prefix_sizes(n, numerator, denominator) * 3 // 2, n)]
         return [pa.array(kept.view(np.int64))]
 
-    return _over_sets(table, run, "gram bigint")
+    return sets.over(run, "gram bigint")
 
 
-def _ordered_prefixes(table: DataFrame, numerator: int, denominator: int, frequent, copied) -> DataFrame:
-    def run(sig, n, values, bounds):
+def _ordered_prefixes(sets: Shingled, numerator: int, denominator: int, frequent, copied) -> DataFrame:
+    def run(ids, sig, n, values, bounds):
         late = in_bitmap(frequent.value, values).astype(np.uint64)
         row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
         key = np.sort((row << np.uint64(HASH_BITS + 1)) | (late << np.uint64(HASH_BITS)) | values)
@@ -136,7 +145,7 @@ def _ordered_prefixes(table: DataFrame, numerator: int, denominator: int, freque
             pa.array(in_bitmap(copied.value, sig)[row]),
         ]
 
-    return _over_sets(table, run, "gram bigint, sig bigint, n bigint, rank int, copied boolean")
+    return sets.over(run, "gram bigint, sig bigint, n bigint, rank int, copied boolean")
 
 
 def _block_links(numerator: int, denominator: int):
@@ -227,41 +236,79 @@ def _pairs(lists: DataFrame, groups: DataFrame, numerator: int, denominator: int
     )
 
 
-def _links(sets: DataFrame, classes: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _dealt(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(component, band, sig, n, blocks, block): the blocks of each group's classes, without groups of one."""
+    # large groups are cut by size of set: sizes of linked sets differ by one band at most, so each goes to two
+    large = members.groupBy("component").count().filter(F.col("count") > BLOCK_CLASSES).select("component", F.lit(True).alias("large"))
+    band = F.floor(F.log("n") / math.log(denominator / numerator) + 1e-9).cast("int")
+    units = members.join(large, "component", "left").withColumns({"own": F.when(F.col("large"), band).otherwise(0)})
+    units = units.withColumn("band", F.explode(F.when(F.col("large"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    # classes of the band below meet in their own band
+    sizes = units.groupBy("component", "band").agg(F.count("*").alias("n_unit"), F.max(F.expr("own = band")).alias("owned"))
+    return (
+        units.join(sizes.filter("n_unit > 1 AND owned"), ["component", "band"])
+        .withColumn("blocks", F.ceil(F.col("n_unit") / BLOCK_CLASSES).cast("int"))
+        .select("component", "band", "sig", "n", "blocks", F.expr("cast(pmod(xxhash64(sig), blocks) as int)").alias("block"))
+    )
+
+
+def _turns(grams: dict[int, int], most: float) -> list[tuple[int, int, int, int]]:
+    """(first, last, part, parts): distances of blocks that meet in one turn, and which part of the pairs at that distance.
+
+    grams: n-grams of the sets in groups of so many blocks. A turn moves at most `most` n-grams, as far as the pairs
+    can be told apart: every two blocks of a group meet at one distance up to half of their number.
+    """
+    turns, first, moved = [], 0, 0
+    for distance in range(max(grams, default=0) // 2 + 1):
+        here = sum(g * (1 if distance in (0, b / 2) else 2) for b, g in grams.items() if distance <= b // 2)
+        if moved and moved + here > most:
+            turns.append((first, distance - 1, 0, 1))
+            first, moved = distance, 0
+        if here > most:
+            parts = math.ceil(here / most)
+            turns += [(distance, distance, part, parts) for part in range(parts)]
+            first, moved = distance + 1, 0
+        else:
+            moved += here
+    return [*turns, (first, max(grams) // 2, 0, 1)] if moved else turns
+
+
+def _meetings(sets: DataFrame, dealt: DataFrame, first: int, last: int, part: int, parts: int) -> DataFrame:
+    """The sets of one turn, a row for each pair (i, i + distance) of blocks that a set's block is in."""
+    found = sets.join(broadcast_if_small(dealt.filter(f"{first} <= blocks div 2")), "sig")
+    found = found.withColumn("distance", F.explode(F.expr(f"sequence({first}, cast(least({last}, blocks div 2) as int))")))
+    here, there = F.col("block"), F.expr("pmod(block - distance, blocks)")
+    opposite = F.col("distance") * 2 == F.col("blocks")  # i and i + distance are one pair with i + distance and i
+    either = F.when(opposite, F.array(F.least(here, there))).otherwise(F.array_distinct(F.array(here, there)))
+    found = found.withColumn("i", F.explode(either))
+    if parts > 1:
+        found = found.filter(F.pmod(F.xxhash64("component", "band", "i"), F.lit(parts)) == part)
+    return found.select("component", "band", "i", "distance", "sig", "n", "grams")
+
+
+def _links(sets: Shingled, classes: DataFrame, lists: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) between classes, as spanning forests of blocks."""
+    spark = classes.sparkSession
     long = shared_table(_long_groups(lists), "long")
     edges = _pairs(lists, long, numerator, denominator).union(long.select("node", "component"))
     groups = components(edges)
     members = shared_table(
         groups.withColumnRenamed("node", "sig").join(classes.select("sig", "least", "n"), "sig"), "members"
     )
-    # large groups are cut by size of set: sizes of linked sets differ by one band at most, so each goes to two
-    large = members.groupBy("component").count().filter(F.col("count") > BLOCK_CLASSES).select("component", F.lit(True).alias("large"))
-    band = F.floor(F.log("n") / math.log(denominator / numerator) + 1e-9).cast("int")
-    units = members.join(large, "component", "left").withColumn(
-        "band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0))))
-    )
-    sizes = units.groupBy("component", "band").agg(F.count("*").alias("n_unit")).filter("n_unit > 1")
-    dealt = shared_table(
-        units.join(sizes, ["component", "band"])
-        .withColumn("blocks", F.ceil(F.col("n_unit") / BLOCK_CLASSES).cast("int"))
-        .select("component", "band", "sig", "least", "blocks", F.expr("cast(pmod(xxhash64(sig), blocks) as int)").alias("block")),
-        "dealt",
-    )
-    blocks = (
-        sets.join(broadcast_if_small(dealt), (sets["sig"] == dealt["sig"]) & sets["id"].eqNullSafe(dealt["least"]))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select(
-            "component",
-            "band",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            sets["sig"],
-            "n",
-            "grams",
-        )
+    dealt = shared_table(_dealt(members, numerator, denominator), "dealt")
+    wanted = spark.sparkContext.broadcast(bitmap(members, "sig"))
+    found, held = sets.packed(wanted), members.select(F.col("sig").alias("_sig"), "least")
+    found = shared_table(
+        found.join(broadcast_if_small(held), (F.col("sig") == F.col("_sig")) & F.col("id").eqNullSafe(F.col("least"))).select("sig", "grams"),
+        "sets",
     )
-    return blocks.groupBy("component", "band", "i", "j").applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint")
+    grams = {r.blocks: r.grams for r in dealt.groupBy("blocks").agg(F.sum("n").alias("grams")).collect()}
+    most = TURN_SHARE * (classes.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0)
+    links = classes.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
+    for turn in _turns(grams, most):
+        met = _meetings(found, dealt, *turn).groupBy("component", "band", "i", "distance")
+        links = links.union(shared_table(met.applyInPandas(_block_links(numerator, denominator), "a bigint, b bigint"), "met"))
+    return links
 
 
 def ngram_components(
@@ -280,30 +327,31 @@ def ngram_components(
     words than an n-gram are one n-gram; a text without words (or null) links with nothing, its component_id
     is its own id and its class_id is null. Repeated rows come back as often as they came. A null id never
     stands for a component unless all its ids are null. Other columns are ignored. An empty table gives no rows.
+    The table is read four times and must give the same rows each time.
     """
     numerator, denominator = similarity
     spark = docs.sparkSession
-    sets = shared_table(shingle_sets(docs, id_col, text_col, words, lower), "sets")
-    full = sets.filter("n > 0")
+    sets = Shingled(docs, id_col, text_col, words, lower)
+    sizes = shared_table(sets.sizes(), "sizes")
     classes = shared_table(
-        full.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
+        sizes.filter("n > 0").groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes"
     )
-    counts = _hash_prefixes(full, numerator, denominator).groupBy("gram").count().filter(F.col("count") > FREQUENT)
+    counts = _hash_prefixes(sets, numerator, denominator).groupBy("gram").count().filter(F.col("count") > FREQUENT)
     frequent = spark.sparkContext.broadcast(bitmap(counts, "gram"))
     copied = spark.sparkContext.broadcast(bitmap(classes.filter("copies > 1"), "sig"))
-    entries = _ordered_prefixes(full, numerator, denominator, frequent, copied)
+    entries = _ordered_prefixes(sets, numerator, denominator, frequent, copied)
     entries = entries.filter("not copied").union(entries.filter("copied").distinct()).drop("copied")
     # counted apart and joined: counting merges a frequent n-gram's rows before the shuffle, the join splits them
     entries = shared_table(entries, "entries")
     lengths = entries.groupBy("gram").agg(F.count("*").alias("length")).filter("length > 1")
     lists = shared_table(entries.join(lengths, "gram"), "lists")
-    reached = components(_links(full, classes, lists, numerator, denominator))
+    reached = components(_links(sets, classes, lists, numerator, denominator))
     joined = classes.join(reached, classes["sig"] == reached["node"]).select("sig", "least", "component")
     named = joined.join(joined.groupBy("component").agg(F.min("least").alias("head")), "component").select("sig", "head")
     ids = classes.join(named, "sig", "left").select(
         F.col("sig").alias("class_id"), F.coalesce("head", "least").alias("component_id")
     )
-    rows = sets.select(
+    rows = sizes.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("class_id")
     )
     return rows.join(ids, "class_id", "left").select(
