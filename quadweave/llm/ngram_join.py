@@ -12,8 +12,8 @@ pass; only sets that meet in step 4 are written. They are cut by that order wher
 4. Classes connected by remaining pairs or long lists are dealt to blocks and every two blocks of a group meet in one
    task. The rest of the order is cut into fragments of n-grams; each fragment's overlaps are counted separately, as
    products of 0/1 matrices, and summed per pair. A spanning forest of the links leaves the task. Blocks meet in
-   turns, by their distance in the circle of a group's blocks: each turn moves a bounded share of all n-grams, so
-   that the disk does not grow with the square of a group.
+   turns, by their distance in the circle of a group's blocks: each turn moves a bounded share of all n-grams, and
+   only its links are kept.
 5. Connected components of the links.
 
 No list, pair or candidate is dropped. Frequent n-grams are kept as a bitmap of fixed size; false positives only
